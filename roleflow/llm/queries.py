@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roleflow.llm import langid, quality, toxicity
+from roleflow.llm import decontaminate, jaccard, langid, mixing, quality, secrets, toxicity
 from roleflow.llm._common import split_of
 from roleflow.session import table
 
@@ -21,6 +21,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (split_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    n_items = F.coalesce(F.when(F.col("items").isNotNull(), F.size("items")), F.lit(0)).cast("long")
+    digest = F.sha2(F.coalesce(F.array_join(names, ","), F.lit("")), 256)
+    return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = langid.fit(docs.where(split_of("doc_id", 4) != 2))
@@ -28,6 +36,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (split_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     settings = toxicity.Settings()
@@ -36,9 +52,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (split_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find(docs.select("doc_id", "text"), secrets.train(docs))
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    fixed = secrets.listed(F.filter("spans", lambda x: x["kind"] < 3))
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(fixed, 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_language, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_jaccard, op7_mix, op9_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": decontaminate.SQL, "op4_jaccard": jaccard.SQL, "op7_mix": mixing.SQL}

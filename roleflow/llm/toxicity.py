@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from roleflow.llm._common import batches, slot, tree_sum
 from roleflow.session import cut
 
-ORDERS = (3, 4, 5, 6)
+ORDERS = (4, 5, 6)
 PAD = "\0" * (max(ORDERS) - 1)
 #: Characters that a task looks at together; a longer text is one piece.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -47,27 +47,33 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarr
         a = b
 
 
-def _grams(codes: np.ndarray, order: int, buckets: int) -> np.ndarray:
-    """Bucket of the n-gram that starts at each code point."""
-    n = len(codes) - order + 1
-    h = np.full(n, 0x9E3779B9 + order, np.uint32)
-    for k in range(order):
-        h = (h ^ codes[k : k + n]) * np.uint32(0x01000193)
-        h ^= h >> np.uint32(15)
-    h *= np.uint32(0x85EBCA6B)
-    return (h ^ (h >> np.uint32(13))) & np.uint32(buckets - 1)
+def _grams(codes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each order with the bucket of the n-gram that starts at each code point; a longer hash grows from the shorter."""
+    shift = np.uint32(32 - buckets.bit_length() + 1)
+    h = np.full(len(codes), 0x811C9DC5, np.uint32)
+    for k in range(max(ORDERS)):
+        h = h[: len(codes) - k]
+        h ^= codes[k:]
+        h *= np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(16)
+        if k + 1 in ORDERS:
+            yield k + 1, (h * np.uint32(0x85EBCA6B)) >> shift
 
 
 def _present(texts: list[str | None], buckets: int, keep: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Distinct (row, bucket) of each piece, of the buckets marked in ``keep`` only if given."""
+    """Distinct (row, bucket) of each piece, of the buckets marked in ``keep``; if none are given, of each order by itself."""
     for first, codes, rows in _pieces(texts):
         found = []
-        for order in ORDERS:
-            grams = _grams(codes, order, buckets)
+        for order, grams in _grams(codes, buckets):
             at = slice(None) if keep is None else np.flatnonzero(keep[grams])
             # An n-gram that begins in the padding belongs to the text that follows it.
             row = rows[order - 1 :]
             found.append(np.unique(row[at] * buckets + grams[at].astype(np.int64)))
+            if keep is None:
+                codes_of = found.pop()
+                yield first, codes_of // buckets, codes_of % buckets
+        if keep is None:
+            continue
         codes_of = np.unique(np.concatenate(found))
         yield first, codes_of // buckets, codes_of % buckets
 
@@ -81,7 +87,7 @@ def counts_of(buckets: int):
             label = np.asarray(batch.column("label").to_pylist(), np.int64)
             for first, rows, grams in _present(batch.column("text").to_pylist(), buckets):
                 for k in (0, 1):
-                    total[k, :-1] += np.bincount(grams[label[first + rows] == k], minlength=buckets)
+                    np.add.at(total[k], grams[label[first + rows] == k], 1.0)
             total[:, -1] += np.bincount(label, minlength=2)
         yield pa.RecordBatch.from_pydict({"label": pa.array([0, 1], pa.int32()), "slot": pa.array([slot()] * 2, pa.int64()), "v": pa.array([x.tobytes() for x in total], pa.binary())})
 
