@@ -54,16 +54,16 @@ def targets(sized: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs(doc_id, source, text)``.
+    """``doc_id, mark, source, size, source_size, target, taken`` for every row of ``docs(doc_id, source, text)``.
 
-    A document's virtual finish time is its source's words up to it, in the order of a hash of doc_id,
+    ``mark`` is a hash of the text. A document's virtual finish time is its source's words up to it, in the order of a hash of doc_id,
     over the source's weight; a second and third pass over the source follow on. Copies enter the mix by that time
     until the next one would exceed the budget. Null text has size 0; null source is a source of its own, the
     last; rows that agree in everything are taken in any order, which their result does not show. An
     empty table gives no rows; without any words all targets are 0.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key")))
+    sized = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.xxhash64("text").alias("mark"), size_of(F.col("text")).alias("size"), key.alias("key")))
     plan = cut(targets(sized, settings))
     n_rows, n_sources = sized.count(), plan.count()
     small = F.broadcast if n_sources <= settings.few else (lambda df: df)
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     order = W.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     queued = queued.withColumn("done", F.col("ahead") + F.sum("size").over(order))
     q, p = queued.alias("q"), small(plan).alias("p")
-    queued = q.join(p, F.col("q.source").eqNullSafe(F.col("p.source"))).select("q.row", "q.doc_id", "q.source", "q.size", "q.key", "q.done", "p.source_size", "p.weight", "p.rank", "p.target", "p.level")
+    queued = q.join(p, F.col("q.source").eqNullSafe(F.col("p.source"))).select("q.row", "q.doc_id", "q.mark", "q.source", "q.size", "q.key", "q.done", "p.source_size", "p.weight", "p.rank", "p.target", "p.level")
 
     # One queue of all sources' copies, again by sums of stretches.
     copies = queued.select("*", F.explode(F.sequence(F.lit(0), F.lit(settings.repeats - 1))).alias("copy"))
@@ -91,7 +91,22 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     copies = copies.join(sums, "part").withColumn("upto", F.col("before") + F.sum("size").over(order))
     budget = plan.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"] * settings.share
     taken = F.sum(F.when(F.col("upto") <= F.lit(budget), F.col("size")).otherwise(F.lit(0)))
-    return copies.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(taken.alias("taken")).drop("row")
+    return copies.groupBy("row", "doc_id", "mark", "source", "size", "source_size", "target").agg(taken.alias("taken")).drop("row")
+
+
+def mixed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken``.
+
+    Rows that agree in doc_id and text share evenly, in whole words, what the mix takes of them.
+    """
+    names = ("size", "source_size", "target", "taken")
+    plan = mix(docs, settings).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.expr("sum(taken) div count(*)").alias("taken")
+    )
+    own = [c for c in docs.columns if c not in names]
+    rows = docs.select(*own, F.xxhash64("text").alias("_own"))
+    both = rows.join(plan.where("taken > 0"), (F.col("_own") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return both.select(*own, *names)
 
 
 #: The same in SQL over a table ``documents``.

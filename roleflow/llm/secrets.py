@@ -23,7 +23,7 @@ class Settings:
 
     sample: int = 2000
     least: int = 20
-    order_smoothing: float = 0.5
+    backing: float = 20.0
     threshold: float = 12.0
     mark: str = "<SECRET>"
 
@@ -60,7 +60,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> list[float]:
 
     From at most ``sample`` documents, in hash order of doc_id: random are the secrets that the fixed patterns find,
     and digests of doc_id in hexadecimal, base64 and capitals; ordinary are the other runs of four
-    characters or more. The driver gets a count for each label and pair, of the fixed alphabet.
+    characters or more, but for those that are to be judged. The driver gets a count for each label and pair, of the fixed alphabet.
     """
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(settings.sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
@@ -68,7 +68,9 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> list[float]:
     made = F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 64), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)), F.translate(F.base64(F.unhex(F.sha2(digest, 256))), "+/=", "-_"))
     values = F.concat(F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("_t", F.lit(f"{ACCESS}|{HEX}"), F.lit(0)))
     values = F.filter(values, lambda x: F.length(x) >= 16)
+    # What is to be judged has no label: long runs with a letter and a digit are in neither sample.
     plain = F.regexp_extract_all(F.regexp_replace("_t", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit(f"{CLASS}{{4,}}"), F.lit(0))
+    plain = F.filter(plain, lambda x: ~((F.length(x) >= settings.least) & x.rlike("[0-9]") & x.rlike("[A-Za-z]")))
     samples = rows.select(F.explode(F.array(F.struct(F.lit(1).alias("label"), F.concat(made, values).alias("runs")), F.struct(F.lit(0).alias("label"), plain.alias("runs")))).alias("x"))
     runs = samples.select("x.label", F.explode("x.runs").alias("run"))
     # A pair a row: the characters of a run and the same moved by one.
@@ -76,15 +78,19 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> list[float]:
     counts = chars.groupBy("label", F.col("p.0").alias("a"), F.col("p.1").alias("b")).count()
     width = len(LETTERS)
     code = {c: i for i, c in enumerate(LETTERS)}
-    table = [[settings.order_smoothing] * (width * width) for _ in range(2)]
+    table = [[[0.0] * width for _ in range(width)] for _ in range(2)]
     for r in counts.where(F.col("a").isin(*LETTERS) & F.col("b").isin(*LETTERS)).toLocalIterator():
-        table[r["label"]][code[r["a"]] * width + code[r["b"]]] += r["count"]
-    out = []
-    for a in range(width):
-        plain_row, random_row = (t[a * width : (a + 1) * width] for t in table)
-        ps, rs = sum(plain_row), sum(random_row)
-        out += [math.log(r / rs) - math.log(p / ps) for r, p in zip(random_row, plain_row, strict=True)]
-    return out
+        table[r["label"]][code[r["a"]]][code[r["b"]]] += r["count"]
+    plain, random = (_transitions(t, settings.backing) for t in table)
+    return [math.log(r) - math.log(p) for rs, ps in zip(random, plain, strict=True) for r, p in zip(rs, ps, strict=True)]
+
+
+def _transitions(counts: list[list[float]], backing: float) -> list[list[float]]:
+    """Probabilities of the next character; what a character has not shown comes from the counts of all."""
+    width = len(counts)
+    total = [sum(row[b] for row in counts) + 0.5 for b in range(width)]
+    share = [x / sum(total) for x in total]
+    return [[(row[b] + backing * share[b]) / (sum(row) + backing) for b in range(width)] for row in counts]
 
 
 def find(docs: DataFrame, ratios: list[float], settings: Settings = Settings()) -> DataFrame:
@@ -133,15 +139,16 @@ def redact(docs: DataFrame, ratios: list[float], settings: Settings = Settings()
     """
     found = find(docs, ratios, settings).withColumn("_spans", F.col("spans"))
     # Only texts with spans are taken apart; of a keyword's span only the value is replaced.
-    value = F.expr(
-        "transform(_spans, x -> named_struct('s', if(x.kind = 0, x.e - length(regexp_extract(substring(text, x.s + 1, x.e - x.s), '[A-Za-z0-9+/_.=-]+$', 0)), x.s), 'e', x.e))"
-    )
+    def value(x: Column) -> Column:
+        held = F.regexp_extract(F.substr(F.col("text"), x["s"] + 1, x["e"] - x["s"]), ASSIGN, 2)
+        return F.struct(F.when(x["kind"] == 0, x["e"] - F.length(held)).otherwise(x["s"]).alias("s"), x["e"].alias("e"))
+
     merged = F.expr(
         "aggregate(array_sort(_values), named_struct('upto', 0, 'out', cast(array() as array<string>)), (a, x) -> "
         "if(x.e <= a.upto, a, named_struct('upto', x.e, 'out', concat(a.out, if(x.s < a.upto, array(), "
         "array(substring(text, a.upto + 1, x.s - a.upto), '" + settings.mark + "'))))), "
         "a -> concat(array_join(a.out, ''), substring(text, a.upto + 1, length(text) - a.upto)))"
     )
-    found = found.withColumn("_values", F.when(F.size("_spans") > 0, value))
+    found = found.withColumn("_values", F.when(F.size("_spans") > 0, F.transform("_spans", value)))
     text = F.when(F.size("_spans") > 0, merged).otherwise(F.col("text"))
     return found.withColumn("_new", text).select(*[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
