@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roleflow.llm import decontaminate, jaccard, langid, mixing, quality, secrets, toxicity
+from roleflow.llm import decontaminate, jaccard, langid, language_model, mixing, neighbours, quality, secrets, toxicity
 from roleflow.llm._common import split_of
 from roleflow.session import table
 
@@ -40,10 +40,20 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score(table(spark, sf_dir, "documents"), split_of("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     settings = toxicity.Settings()
@@ -61,7 +71,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_jaccard, op7_mix, op9_toxicity, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_jaccard, op6_nearest, op7_mix, op8_lm, op9_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
