@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roleflow.llm import decontaminate, jaccard, langid, language_model, mixing, neighbours, quality, secrets, toxicity
+from roleflow.llm import decontaminate, jaccard, langid, language_model, mixing, neighbours, quality, secrets, suffixes, toxicity
 from roleflow.llm._common import split_of
 from roleflow.session import table
 
@@ -40,6 +40,11 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
@@ -71,7 +76,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_jaccard, op6_nearest, op7_mix, op8_lm, op9_toxicity, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_jaccard, op5_suffixes, op6_nearest, op7_mix, op8_lm, op9_toxicity, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
