@@ -87,7 +87,11 @@ def key_index(rows: DataFrame) -> DataFrame:
         "url": F.transform("urls", K.apply_url),
         "req": F.transform("urls", K.requisition_key),
     }
-    pairs = F.flatten(F.array(*[F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("key"))) for k, v in made.items()]))
+
+    def pair(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+
+    pairs = F.flatten(F.array(*[pair(k, v) for k, v in made.items()]))
     spread = rows.select("id", "company_id", "status", "first_seen", F.explode(pairs).alias("p")).where("p.key is not null and p.key <> ''")
     decided = F.col("status").isin(*V.DECIDED).cast("int")
     spread = spread.select("id", "company_id", "first_seen", "p.*", decided.alias("decided"))

@@ -120,8 +120,13 @@ def ngram_support(rows: DataFrame, sizes: Sequence[int] = (2, 3), least: int = 3
     """Word n-grams of rejected titles in ``title, org`` that occur often enough and at employers enough."""
     words = F.filter(F.split(F.lower("title"), r"[^a-z0-9]+"), lambda w: w != "")
     base = rows.select("org", words.alias("w"))
-    grams = F.flatten(F.array(*[F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i, k=k: F.concat_ws(" ", *[F.get("w", i + j) for j in range(k)]))).otherwise(F.array().cast("array<string>")) for k in sizes]))
-    spread = base.select("org", F.explode(grams).alias("ngram"))
+    none = F.array().cast("array<string>")
+
+    def grams(k: int) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(k)]))
+        return F.when(F.size("w") >= k, made).otherwise(none)
+
+    spread = base.select("org", F.explode(F.flatten(F.array(*[grams(k) for k in sizes]))).alias("ngram"))
     found = spread.groupBy("ngram").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("org").alias("orgs"))
     return found.where((F.col("hits") >= least) & (F.col("orgs") >= orgs))
 
