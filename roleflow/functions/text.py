@@ -182,7 +182,8 @@ def _banner_end(text: Column) -> Column:
 
 def is_cookie_boilerplate(text: Column) -> Column:
     end = _banner_end(_filled(text))
-    return F.coalesce(F.length(_stripped(F.substr(_filled(text), end + 1, F.length(_filled(text))))) < COOKIE_REST, F.lit(False))
+    rest = F.length(_stripped(F.substr(_filled(text), end + 1, F.length(_filled(text)))))
+    return end.isNotNull() & (rest < COOKIE_REST)
 
 
 def strip_cookie_boilerplate(text: Column) -> Column:
@@ -204,7 +205,8 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"
 
 def html_to_text(html: Column) -> Column:
     """Markup to lines of text: scripts and styles go, blocks break lines, list items get a dash."""
-    t = F.regexp_replace(_filled(html), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    t = F.regexp_replace(_filled(html), r"(?is)<script\b.*?</script\s*>", " ")
+    t = F.regexp_replace(t, r"(?is)<style\b.*?</style\s*>", " ")
     t = F.regexp_replace(t, r"(?i)<\s*/?\s*(?:br|p|div|h[1-6]|ul|ol)(?:\s[^>]*)?\s*/?\s*>", "\n")
     t = F.regexp_replace(t, r"(?i)<\s*li\b[^>]*>", "\n- ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
