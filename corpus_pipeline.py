@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roleflow.llm import decontaminate, jaccard, mixing, secrets, toxicity
 from roleflow.llm._common import split_of
@@ -15,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject; it learns from the labels outside the held-out fold."""
     settings = toxicity.Settings()
     sample = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", split_of("doc_id", 3) != 1, settings.sample)
-    scored = toxicity.score(docs, toxicity.fit(sample, settings), *docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return toxicity.score(packed, toxicity.fit(sample, settings), "row").where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

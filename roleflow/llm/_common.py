@@ -109,6 +109,11 @@ def slot() -> int:
     return context.partitionId() if context else 0
 
 
+def few_partitions(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than the cluster works on at twice, so that their number does not grow with the input."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def tree_sum(parts: DataFrame, key: str, slots: int, dtype: str = "float64") -> dict:
     """Add up partial arrays ``(key, slot long, v binary)``: at most FAN_IN of them meet in a task, in as many levels as needed.
 

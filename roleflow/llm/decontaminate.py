@@ -88,18 +88,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     or more are. Null or empty texts, and texts without words, have none; rows that repeat get the same answer
     each; an item without item_id counts for hits but is not listed; an empty benchmark hits nothing.
     """
-    found = hits(docs, benchmark, settings).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"), F.col("items").alias("_items"))
-    rows = docs.select("*", F.xxhash64("text").alias("_own"), F.size(words_of(F.col("text"))).cast("long").alias("_words"))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left")
-    n_hit = F.coalesce(covered(F.col("_spans")), F.lit(0).cast("long"))
-    own = [docs[c] for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans", "contaminated")]
-    out = joined.select(*own, F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.col("_items").alias("items"), F.col("_spans").alias("spans"))
+    added = ("n_words", "n_hit", "items", "spans", "contaminated")
+    found = hits(docs, benchmark, settings).withColumnsRenamed({"doc_id": "id", "mark": "found"})
+    # The row travels as one struct, so none of its columns can clash with those made here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("row")
+    rows = docs.select(whole, F.xxhash64("text").alias("own"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("found")), "left")
+    n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
+    out = joined.select("row.*", "n_words", n_hit.alias("n_hit"), "items", "spans")
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without its contaminated documents; all others stay unchanged."""
-    return contamination(docs, benchmark, settings).where("not contaminated").select(*[F.col(c) for c in docs.columns])
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    return contamination(packed, benchmark, settings).where("not contaminated").select("whole.*")
 
 
 def strip(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:

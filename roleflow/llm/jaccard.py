@@ -18,24 +18,26 @@ from roleflow.llm._common import CHUNK, LOWER, U64, batches, mix64, pieces, pref
 from roleflow.operators.graph import connected_components
 from roleflow.session import cut
 
-SKETCH = 8
+#: Words of 64 bits in a sketch of a set.
+SKETCH = 16
 #: Texts whose signatures a task remembers not to give twice.
 SEEN = 1 << 18
-#: Parts that a signature's last 15 bits can number.
-PARTS = 1 << 15
+#: What a signature's last bits hold: its part, the spare parts its set has left, and which of two bands it is for.
+PARTS, SPARE = 1 << 11, 15
+LEFT = SPARE << 1
 
 
 @dataclass(frozen=True)
 class Settings:
     """Two sets link if 100 * intersection >= ``percent`` * union; ``cells`` a part, of which one may differ.
 
-    A signature that more than ``hot`` different sets share counts only where a set has no spare parts left.
+    A signature that more than ``hot`` different sets share counts only for a set that has more such parts than spare ones.
     """
 
     shingle: int = 3
     percent: int = 90
     cells: int = 3
-    hot: int = 500
+    hot: int = 16
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -98,18 +100,18 @@ def _plan(band: int, percent: int, cells: int) -> tuple[int, int, int, int]:
     if k <= 4:
         return 1, k + 3, 3, 0
     parts = k // 2 + 1
-    spare = max(2, parts // 10)
+    spare = min(max(3, parts // 6), SPARE)
     return parts + spare, cells, cells - 1, spare
 
 
-def _signatures(found: np.ndarray, s: Settings) -> tuple[np.ndarray, list[int]]:
-    """Signatures of a set for its band with the next and for the one before, and each one's spare parts that are left.
+def _signatures(found: np.ndarray, s: Settings) -> np.ndarray:
+    """Signatures of a set for its band with the next and for the one before.
 
-    The last bit tells the two apart, the 15 bits before it name the part. Signatures without elements are left
-    out while fewer parts than the spare ones have such.
+    The last bit tells the two apart; before it stand the spare parts that are left, which is no part of the name, and
+    the part. Signatures without elements are left out while no more parts than the spare ones have such.
     """
     band = next(i for i, (_, high) in enumerate(_bands(s.percent)) if len(found) <= high)
-    out, left = [], [0, 0]
+    out = []
     for j in (band, band - 1):
         if j < 0:
             continue
@@ -128,13 +130,12 @@ def _signatures(found: np.ndarray, s: Settings) -> tuple[np.ndarray, list[int]]:
             value, some = sums[:, chosen].sum(axis=2, dtype=U64), count[:, chosen].sum(axis=2) > 0
         part = np.arange(parts, dtype=U64)[:, None]
         salt = (part << U64(32)) + np.arange(value.shape[1], dtype=U64) + U64(j << 16)
-        value = mix64(value + salt * U64(0x9E3779B97F4A7C15)) & ~U64(0xFFFF) | (part % U64(PARTS)) << U64(1) | U64(j & 1)
+        value = mix64(value + salt * U64(0x9E3779B97F4A7C15)) & ~U64(0xFFFF) | (part % U64(PARTS)) << U64(5) | U64(j & 1)
         empty = int((~some.all(axis=1)).sum())
         if empty <= spare:
             value, spare = value[some], spare - empty
-        left[j & 1] = spare if parts < PARTS else -1
-        out.append(value.ravel())
-    return (np.concatenate(out) if out else np.zeros(0, U64)), left
+        out.append(value.ravel() | U64(spare if parts < PARTS else 0) << U64(1))
+    return np.concatenate(out) if out else np.zeros(0, U64)
 
 
 def _sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -174,7 +175,7 @@ def _signed(s: Settings):
                 seen[name] = None
                 if len(seen) > SEEN:
                     seen.popitem(last=False)
-                sigs.append(_signatures(found, s)[0].view(np.int64))
+                sigs.append(_signatures(found, s).view(np.int64))
                 owner.append(np.full(len(sigs[-1]), name, np.int64))
                 held += len(sigs[-1])
                 if held > 1 << 17:
@@ -186,15 +187,15 @@ def _signed(s: Settings):
     return run
 
 
-def _set_rows(s: Settings, spare: bool = False):
-    """mapInArrow: (id, set) of the documents whose set has the name that is asked for, or the spare parts it has left."""
+def _set_rows(s: Settings):
+    """mapInArrow: (id, set) of the documents whose set has the name that is asked for."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, asked, out_id, out = batch.column("doc_id").to_pylist(), batch.column("f1").to_pylist(), [], []
         for row, found in _sets_of(batch, s.shingle):
             if _names(found)[0] == asked[row]:
                 out_id.append(ids[row])
-                out.append(_signatures(found, s)[1] if spare else found.view(np.int64))
+                out.append(found.view(np.int64))
         yield pa.RecordBatch.from_pydict({"id": pa.array(out_id, batch.column("doc_id").type), "set": pa.array(out, pa.list_(pa.int64()))})
 
     return batches(run)
@@ -208,18 +209,18 @@ def _near(a: str, b: str, percent: int) -> Column:
     )
 
 
-def _sets(ids: DataFrame, docs: DataFrame, s: Settings, spare: bool = False) -> DataFrame:
-    """The sets of the documents in ``ids(id, f1)``, or their spare parts."""
-    texts = docs.join(ids.select(F.col("id").alias("doc_id"), "f1").distinct(), "doc_id")
-    return cut(texts.mapInArrow(_set_rows(s, spare), f"id {docs.schema['doc_id'].dataType.simpleString()}, set array<bigint>").dropDuplicates(["id"]))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose sets link, by the sets themselves."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(members.select("id", "f1"), "id")
-    sets = _sets(ids, docs, s)
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) whose sets link: by size and sketch first, then by the sets themselves."""
+    near = pairs
+    for side in "ab":
+        near = near.join(classes.select(F.col("id").alias(side), F.struct("n", "sketch").alias(f"_{side}")), side)
+    near = cut(near.where(_near("_a", "_b", s.percent)).select("a", "b"))
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "f1"), "id")
+    texts = docs.join(ids.select(F.col("id").alias("doc_id"), "f1"), "doc_id")
+    sets = texts.mapInArrow(_set_rows(s), f"id {docs.schema['doc_id'].dataType.simpleString()}, set array<bigint>")
+    sets = cut(sets.dropDuplicates(["id"]))
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    both = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(f"100 * common >= {s.percent} * (size(x) + size(y) - common)").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
@@ -241,46 +242,44 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     classes = cut(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
 
     signed = docs.where("text is not null and doc_id is not null").mapInArrow(_signed(s), "sig bigint, f1 bigint")
+    # The spare parts in a signature are no part of its name.
+    signed = signed.select((F.col("sig").bitwiseAND(~LEFT)).alias("sig"), F.shiftright("sig", 1).bitwiseAND(SPARE).alias("left"), "f1")
     over = W.partitionBy("sig")
-    shared = signed.select("sig", "f1", F.min("f1").over(over).alias("low"), F.max("f1").over(over).alias("high")).where("low < high")
-    shared = cut(shared.select("sig", "f1").distinct())
-    sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
-    members = cut(shared.join(sizes, "sig").join(classes.select("f1", "id", "n", "sketch"), "f1"))
-    crowded = members.where(F.col("size") > s.hot)
-    if not crowded.isEmpty():
-        # A signature that too many share is needed only by a set that has no spare part left.
-        part = F.shiftright("sig", 1).bitwiseAND(PARTS - 1)
-        turn = F.col("sig").bitwiseAND(1).cast("int")
-        full = crowded.groupBy("id", turn.alias("turn")).agg(F.count_distinct(part).alias("full"))
-        spare = _sets(crowded.select("id", "f1"), docs, s, spare=True).withColumnRenamed("set", "left")
-        needed = full.join(spare, "id").where("full > left[turn]").select("id", "turn")
-        kept = crowded.withColumn("turn", turn).join(needed, ["id", "turn"], "left_semi").drop("turn")
-        members = cut(members.where(F.col("size") <= s.hot).unionByName(kept))
+    shared = signed.select("*", F.min("f1").over(over).alias("low"), F.max("f1").over(over).alias("high")).where("low < high")
+    shared = shared.select("sig", "left", "f1").distinct()
+    shared = cut(shared.withColumn("size", F.count(F.lit(1)).over(over)))
+    # A signature that too many share is needed only by a set that has no spare part left.
+    crowded = F.when(F.col("size") > s.hot, F.shiftright("sig", 5).bitwiseAND(PARTS - 1))
+    full = shared.groupBy("f1", F.col("sig").bitwiseAND(1).alias("turn")).agg(F.count_distinct(crowded).alias("full"))
+    joined = shared.withColumn("turn", F.col("sig").bitwiseAND(1)).join(full, ["f1", "turn"])
+    # Two sets that link share more signatures of one turn than either has spare parts left.
+    need = F.when(F.col("full") > F.col("left"), F.col("left")).otherwise(F.col("left") - F.col("full")) + 1
+    needed = joined.where(f"size <= {s.hot} or full > left").select("sig", "turn", "f1", "size", need.alias("need"))
+    members = cut(needed.join(classes.select("f1", "id", "n"), "f1").select("sig", "turn", "id", "n", "size", "need"))
 
     weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    heads = members.join(weights, "id").groupBy("sig").agg(F.max(F.struct("weight", "id", "n", "sketch")).alias("h"))
-    heads = cut(heads.select("sig", F.col("h.id").alias("id"), F.col("h.n").alias("n"), F.col("h.sketch").alias("sketch")))
-    m, h = members.alias("m"), heads.alias("h")
-    tried = m.join(h, (F.col("m.sig") == F.col("h.sig")) & (F.col("m.id") != F.col("h.id")) & _near("m", "h", s.percent))
-    pair = [F.least("m.id", "h.id").alias("a"), F.greatest("m.id", "h.id").alias("b")]
-    links = cut(_verified(cut(tried.select(*pair).distinct()), docs, members, s))
+    heads = members.join(weights, "id").groupBy("sig").agg(F.max(F.struct("weight", "id"))["id"].alias("head"))
+    tried = members.join(heads, "sig").where("id <> head").groupBy("id", "head", "turn").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need")
+    links = cut(_verified(tried.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), docs, classes, s))
     found = connected_components(links)
 
     # What is still apart inside a bucket, against the bucket's other components.
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    main = placed.join(heads.select("sig", F.col("id").alias("head")), "sig").where("id = head").select("sig", "head", F.col("component").alias("main"))
-    placed = cut(placed.join(main, "sig").select("sig", "id", "n", "sketch", "component", "main", "head"))
+    main = placed.join(heads, "sig").where("id = head").select("sig", F.col("component").alias("main"))
+    mixed = placed.join(main, "sig").groupBy("sig", "main").agg(F.max(F.col("component") != F.col("main")).alias("apart")).where("apart")
+    placed = cut(placed.join(mixed.select("sig", "main"), "sig").select("sig", "turn", "id", "n", "need", "component", "main"))
     m, h = placed.where("component <> main").alias("m"), placed.alias("h")
     across = (
         (F.col("m.sig") == F.col("h.sig"))
         & (F.col("m.component") != F.col("h.component"))
-        & (F.col("h.id") != F.col("h.head"))
         & ((F.col("h.component") == F.col("h.main")) | (F.col("m.id") < F.col("h.id")))
-        & _near("m", "h", s.percent)
+        & F.expr(f"100 * least(m.n, h.n) >= {s.percent} * greatest(m.n, h.n)")
     )
-    rest = cut(m.join(h, across).select(*pair).distinct())
+    both = m.join(h, across).select(F.least("m.id", "h.id").alias("a"), F.greatest("m.id", "h.id").alias("b"), "m.turn", F.greatest("m.need", "h.need").alias("need"))
+    rest = both.groupBy("a", "b", "turn").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need")
+    rest = cut(rest.select("a", "b").distinct())
     if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, docs, members, s))
+        links = links.unionByName(_verified(rest, docs, classes, s))
         found = connected_components(links)
     labelled = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"))
     joined = named.select("doc_id", "n", "f1", "f2").join(labelled, ["n", "f1", "f2"], "left")

@@ -103,10 +103,10 @@ def mixed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     plan = mix(docs, settings).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
         F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.expr("sum(taken) div count(*)").alias("taken")
     )
-    own = [c for c in docs.columns if c not in names]
-    rows = docs.select(*own, F.xxhash64("text").alias("_own"))
-    both = rows.join(plan.where("taken > 0"), (F.col("_own") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return both.select(*own, *names)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("row")
+    rows = docs.select(whole, F.xxhash64("text").alias("own"))
+    both = rows.join(plan.where("taken > 0"), (F.col("own") == F.col("_mark")) & F.col("row.doc_id").eqNullSafe(F.col("_id")))
+    return both.select("row.*", *names)
 
 
 #: The same in SQL over a table ``documents``.

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roleflow.llm._common import CHUNK, LOWER, SPACE, U64, batches, mix64, pieces, prefix_hash, slot, substring_hash, tree_sum, utf8
+from roleflow.llm._common import CHUNK, LOWER, SPACE, U64, batches, few_partitions, mix64, pieces, prefix_hash, slot, substring_hash, tree_sum, utf8
 from roleflow.session import cut
 
 
@@ -80,7 +80,7 @@ def word_vectors(docs: DataFrame, s: Settings = Settings()) -> np.ndarray:
         cells = total.astype(np.float32).reshape(-1, block * s.width)
         yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(cells)), pa.int32()), "slot": pa.array([slot()] * len(cells), pa.int64()), "v": pa.array([x.tobytes() for x in cells], pa.binary())})
 
-    texts = docs.select("text")
+    texts = few_partitions(docs.select("text"))
     sums = tree_sum(texts.mapInArrow(run, "block int, slot long, v binary"), "block", texts.rdd.getNumPartitions(), "float32")
     table = np.concatenate([sums[k] for k in sorted(sums)]).reshape(s.buckets, s.width).astype(float) if sums else np.zeros((s.buckets, s.width))
     table = np.sign(table) * np.log1p(np.abs(table))

@@ -43,11 +43,12 @@ def _spans(text: str, matches: str, gaps: str, kind: int, keep: str) -> str:
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_assign``, ``_access``, ``_hex``: spans of the fixed patterns in code points, end exclusive.
+    """``row`` with ``_assign``, ``_access``, ``_hex``: spans of the fixed patterns in code points, end exclusive.
 
     A text is searched once for each pattern; where it has matches, the pieces between them give the places.
     """
-    found = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
+    # The row travels as one struct, so none of its columns can clash with those made here.
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     found = found.withColumns({f"_m{k}": F.regexp_extract_all("_t", F.lit(p), F.lit(0)) for k, p in enumerate((ASSIGN, ACCESS, HEX))})
     found = found.withColumns({f"_g{k}": F.when(F.size(f"_m{k}") > 0, F.split("_t", p, -1)) for k, p in enumerate((ASSIGN, ACCESS, HEX))} | {"_v": F.when(F.size("_m0") > 0, F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2)))})
     keep = ("length(_v[i]) >= 6", "true", "true")
@@ -121,7 +122,7 @@ def find(docs: DataFrame, ratios: list[float], settings: Settings = Settings())
     judged = F.transform("_r", lambda run: run.rlike("[0-9]") & run.rlike("[A-Za-z]") & ~run.rlike(f"{ACCESS}|{HEX}") & (F.when(run.rlike("[0-9]"), ratio(run)).otherwise(F.lit(-1.0)) >= settings.threshold))
     found = found.withColumn("_ok", judged).withColumn("_random", F.expr(_spans("_t", "_r", "_rg", 3, "_ok[i]")))
     alone = F.expr("filter(_random, r -> not exists(_assign, x -> x.s < r.e and r.s < x.e))")
-    own = [F.col(f"`{c}`") for c in docs.columns if c != "spans"]
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c != "spans"]
     return found.select(*own, F.array_sort(F.concat("_assign", "_access", "_hex", alone)).alias("spans"))
 
 
@@ -137,18 +138,18 @@ def redact(docs: DataFrame, ratios: list[float], settings: Settings = Settings()
     Texts without secrets, null included, stay as they are. The pieces between the spans are put together
     again in one pass over the text's characters.
     """
-    found = find(docs, ratios, settings).withColumn("_spans", F.col("spans"))
-    # Only texts with spans are taken apart; of a keyword's span only the value is replaced.
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+
     def value(x: Column) -> Column:
         held = F.regexp_extract(F.substr(F.col("text"), x["s"] + 1, x["e"] - x["s"]), ASSIGN, 2)
         return F.struct(F.when(x["kind"] == 0, x["e"] - F.length(held)).otherwise(x["s"]).alias("s"), x["e"].alias("e"))
 
     merged = F.expr(
-        "aggregate(array_sort(_values), named_struct('upto', 0, 'out', cast(array() as array<string>)), (a, x) -> "
+        "aggregate(array_sort(vals), named_struct('upto', 0, 'out', cast(array() as array<string>)), (a, x) -> "
         "if(x.e <= a.upto, a, named_struct('upto', x.e, 'out', concat(a.out, if(x.s < a.upto, array(), "
-        "array(substring(text, a.upto + 1, x.s - a.upto), '" + settings.mark + "'))))), "
+        f"array(substring(text, a.upto + 1, x.s - a.upto), '{settings.mark}'))))), "
         "a -> concat(array_join(a.out, ''), substring(text, a.upto + 1, length(text) - a.upto)))"
     )
-    found = found.withColumn("_values", F.when(F.size("_spans") > 0, F.transform("_spans", value)))
-    text = F.when(F.size("_spans") > 0, merged).otherwise(F.col("text"))
-    return found.withColumn("_new", text).select(*[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    found = find(packed, ratios, settings).withColumn("vals", F.when(F.size("spans") > 0, F.transform("spans", value)))
+    text = F.when(F.size("spans") > 0, merged).otherwise(F.col("text"))
+    return found.select(*[text.alias("text") if c == "text" else F.col("whole")[c].alias(c) for c in docs.columns])
