@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roleflow.llm._common import U64, batches, mix64, powers, prefix_hash, utf8
+from roleflow.llm._common import U64, batches, mix64, powers, prefix_hash, substring_hash, utf8
 from roleflow.session import cut
 
 #: Bytes of the strings whose hashes pick the anchors.
@@ -33,8 +33,8 @@ class Settings:
     """
 
     least: int = 400
-    block: int = 1 << 20
-    crowd: int = 2 << 20
+    block: int = 1 << 19
+    crowd: int = 1 << 20
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -48,12 +48,14 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hash of the anchor, first and last window start of each run of windows that have the same anchor.
+def anchors(data: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Key, first and last window start of each run of windows with one key, and whether their anchors differ.
 
-    A window's anchor is its first string of the smallest hash, so equal windows have equal anchors.
+    A window's anchor is its first string of the smallest hash, so equal windows have their anchors at the same place. Its key is
+    the hash of the anchor with all that follows or precedes it for half a window, whichever the window is sure to hold.
     """
     width = least - GRAM + 1
+    half = (width - 1) // 2
     for a in range(0, len(data) - least + 1, STRETCH):
         part = data[a : a + STRETCH + least - 1]
         running = prefix_hash(part)
@@ -61,9 +63,14 @@ def anchors(data: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarr
         h = mix64((running[GRAM:] - running[:n]) * powers(n)[1][:n])
         packed = (h >> U64(PLACE)) << U64(PLACE) | np.arange(n, dtype=U64)
         at = (_sliding_min(packed, width) & U64((1 << PLACE) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        right = at - np.arange(len(at)) <= half
+        start = np.where(right, at, at - half)
+        key = substring_hash(running, start, start + GRAM + half) ^ right.astype(U64)
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = np.flatnonzero(new)
         last = np.r_[first[1:], len(at)] - 1
-        yield h[at[first]].view(np.int64), a + first, a + last
+        moved = np.r_[False, at[1:] != at[:-1]] & ~new
+        yield key[first].view(np.int64), a + first, a + last, np.logical_or.reduceat(moved, first)
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -145,7 +152,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(s: Settings):
-    """mapInArrow: (key, tid, first, last) of each text that a task has not seen yet."""
+    """mapInArrow: (key, tid, first, last, moved) of each text that a task has not seen yet."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, None] = OrderedDict()
@@ -158,8 +165,8 @@ def _anchor_rows(s: Settings):
                 seen[tid] = None
                 if len(seen) > SEEN:
                     seen.popitem(last=False)
-                for key, first, last in anchors(data[off[row] : off[row + 1]], s.least):
-                    out.append((key, np.full(len(key), tid, np.int64), first, last))
+                for key, first, last, moved in anchors(data[off[row] : off[row + 1]], s.least):
+                    out.append((key, np.full(len(key), tid, np.int64), first, last, moved))
                 if len(out) >= 2000:
                     yield _rows(out)
                     out = []
@@ -167,8 +174,8 @@ def _anchor_rows(s: Settings):
                 yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        key, tid, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_pydict({"key": key, "tid": tid, "first": first.astype(np.int32), "last": last.astype(np.int32)})
+        key, tid, first, last, moved = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_pydict({"key": key, "tid": tid, "first": first.astype(np.int32), "last": last.astype(np.int32), "moved": pa.array(moved)})
 
     return run
 
@@ -178,7 +185,7 @@ def _surroundings(s: Settings, content: bool):
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, off = utf8(batch.column("text"))
-        out = {k: [] for k in ("key", "tid", "first", "last", "h1", "h2", "around")}
+        out = {k: [] for k in ("key", "tid", "first", "last", "h1", "h2", "around", "moved")}
         size = 0
         for row, (tid, places) in enumerate(zip(batch.column("tid").to_pylist(), batch.column("places").to_pylist(), strict=True)):
             text = data[off[row] : off[row + 1]]
@@ -195,6 +202,7 @@ def _surroundings(s: Settings, content: bool):
                 out["last"].append(last)
                 out["key"].append(np.array([p["key"] for p in places], np.int64))
                 out["tid"].append(np.full(len(places), tid, np.int64))
+                out["moved"].append(np.array([p["moved"] for p in places], bool))
                 continue
             for p, a, b in zip(places, first, last, strict=True):
                 out["key"].append(p["key"])
@@ -208,7 +216,7 @@ def _surroundings(s: Settings, content: bool):
         if content and out["key"]:
             yield pa.RecordBatch.from_pydict({k: pa.array(out[k], pa.binary() if k == "around" else pa.int64()) for k in ("key", "h1", "h2", "around")})
         if not content and out["key"]:
-            yield pa.RecordBatch.from_pydict({k: np.concatenate(out[k]) for k in ("key", "tid", "first", "last", "h1", "h2")})
+            yield pa.RecordBatch.from_pydict({k: np.concatenate(out[k]) for k in ("key", "tid", "first", "last", "h1", "h2", "moved")})
 
     return batches(run)
 
@@ -275,9 +283,9 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), digest: boo
     on the input. Null text is empty; a text shorter than ``least`` stays; a row that repeats makes all of a long
     enough text repeat; matches do not cross texts.
 
-    Equal texts are one. Equal windows have equal anchors, so only windows whose anchor occurs twice are looked at
-    again; equal surroundings of an anchor are one, and repeated as they stand. Different ones meet by
-    anchor in blocks of bounded size, each with a transform of its own. An anchor with more surroundings than fit has its windows
+    Equal texts are one. Equal windows have equal keys, so only windows whose key occurs twice are looked at
+    again; equal surroundings of a key are one, and repeated as they stand. Different ones meet by
+    key in blocks of bounded size, each with a transform of its own. A key with more surroundings than fit has its windows
     compared by two hashes, in a shuffle with no large groups. Texts are told apart by 64 bits of hash.
     """
     s = settings
@@ -286,17 +294,17 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), digest: boo
     long_rows = rows.where(f"n_bytes >= {s.least}")
     copies = cut(long_rows.groupBy("tid").count().where("count > 1").select("tid", F.lit(True).alias("copied")))
 
-    shared = long_rows.select("tid", "text").mapInArrow(_anchor_rows(s), "key long, tid long, first int, last int")
+    shared = long_rows.select("tid", "text").mapInArrow(_anchor_rows(s), "key long, tid long, first int, last int, moved boolean")
     place = F.struct("tid", "first")
     over = W.partitionBy("key")
-    shared = shared.select("*", F.min(place).over(over).alias("x"), F.max(place).over(over).alias("y")).where("x <> y").select("key", "tid", "first", "last")
-    by_text = shared.distinct().groupBy("tid").agg(F.collect_list(F.struct("key", "first", "last")).alias("places"))
+    shared = shared.select("*", F.min(place).over(over).alias("x"), F.max(place).over(over).alias("y")).where("x <> y or moved").select("key", "tid", "first", "last", "moved")
+    by_text = shared.distinct().groupBy("tid").agg(F.collect_list(F.struct("key", "first", "last", "moved")).alias("places"))
     texts = cut(long_rows.select("tid", "text").join(by_text, "tid").dropDuplicates(["tid"]))
 
-    around = cut(texts.mapInArrow(_surroundings(s, content=False), "key long, tid long, first long, last long, h1 long, h2 long"))
-    kinds = around.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "first", "last")).alias("one"))
-    different = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.expr(f"one.last - one.first + {s.least}")).alias("bytes"))
-    different = different.where("kinds > 1")
+    around = cut(texts.mapInArrow(_surroundings(s, content=False), "key long, tid long, first long, last long, h1 long, h2 long, moved boolean"))
+    kinds = around.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "first", "last")).alias("one"), F.max("moved").alias("moved"))
+    different = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("moved").alias("moves"), F.sum(F.expr(f"one.last - one.first + {s.least}")).alias("bytes"))
+    different = different.where("kinds > 1 or moves")
     chosen = cut(kinds.join(different, "key").select("key", "h1", "h2", "one.*", "bytes"))
     asked = chosen.groupBy("tid").agg(F.collect_list(F.struct("key", "first", "last", "h1", "h2")).alias("places"))
     held = texts.select("tid", "text").join(asked.withColumnRenamed("tid", "id"), F.col("tid") == F.col("id")).select("tid", "text", "places")
