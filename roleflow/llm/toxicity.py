@@ -25,10 +25,10 @@ class Settings:
 
     sample: int = 16384
     buckets: int = 1 << 18
-    features: int = 4096
+    features: int = 2048
     smoothing: float = 1.0
-    penalty: float = 2e-3
-    steps: int = 400
+    penalty: float = 2e-5
+    steps: int = 600
     threshold: float = 0.7
 
 
@@ -110,11 +110,11 @@ def kept_of(buckets: int, keep: np.ndarray):
 def _logistic(indptr: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, settings: Settings) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse rows by Adam; ``cols`` hold values in ``width`` columns."""
     ids, ratio = cols
-    row = np.repeat(np.arange(len(y)), np.diff(indptr))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(indptr))
     w, m, v = (np.zeros(width + 1) for _ in range(3))
     w[-1] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     for step in range(1, settings.steps + 1):
-        z = np.bincount(row, w[ids] * ratio, minlength=len(y)) + w[-1]
+        z = np.bincount(row, w[ids].astype(np.float32) * ratio, minlength=len(y)) + w[-1]
         miss = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
         g = np.r_[np.bincount(ids, miss[row] * ratio, minlength=width) / len(y) + settings.penalty * w[:-1], miss.mean()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -154,9 +154,11 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     keep = np.zeros(settings.buckets, bool)
     keep[chosen] = True
     got = rows.mapInArrow(kept_of(settings.buckets, keep), "label int, grams array<int>").toPandas()
-    lengths = np.array([len(g) for g in got["grams"]], np.int64)
-    ids = np.searchsorted(chosen, np.concatenate([np.asarray(g, np.int64) for g in got["grams"]]) if lengths.sum() else np.zeros(0, np.int64))
-    w, bias = _logistic(np.r_[0, np.cumsum(lengths)], (ids, ratio[chosen][ids]), got["label"].to_numpy(float), len(chosen), settings)
+    y, lengths = got["label"].to_numpy(float), np.array([len(g) for g in got["grams"]], np.int64)
+    found = np.concatenate([np.zeros(0, np.int32), *got["grams"]])
+    del got
+    ids = np.searchsorted(chosen, found).astype(np.int32)
+    w, bias = _logistic(np.r_[0, np.cumsum(lengths)], (ids, ratio[chosen].astype(np.float32)[ids]), y, len(chosen), settings)
     weights = np.zeros(settings.buckets)
     weights[chosen] = w * ratio[chosen]
     return Model(weights, bias, settings)
