@@ -235,3 +235,28 @@ def model_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """One result a file, fenced or with words around: the outermost braces, parsed by ``schema``; what does not parse has a null result."""
     rows = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return rows.select("path", F.from_json(F.regexp_extract("value", r"(?s)\{.*\}", 0), schema).alias("result"))
+
+
+def markdown_jobs(pages: DataFrame) -> DataFrame:
+    """Postings that Markdown pages ``url, text`` link to: ``url, title, external_id``.
+
+    Images, links that a page repeats three times or more, links that are no postings and titles that only count a department go.
+    """
+    links = F.regexp_extract_all("text", F.lit(r"(?<!!)\[([^\]\[]{4,200})\]\((https?://[^)\s]+)\)"), F.lit(0))
+    rows = pages.select(F.col("url").alias("page"), F.explode(links).alias("l"))
+    rows = rows.select("page", T.html_to_line(F.regexp_extract("l", r"^\[(.*)\]\(", 1)).alias("title"), F.regexp_extract("l", r"\((https?://[^)]+)\)$", 1).alias("url"))
+    again = rows.groupBy("page", "url").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("title")).where("n < 3")
+    posting = F.col("url").rlike(r"(?i)/(?:jobs?|careers?|vacanc|positions?|openings?|o)/[^/?]+") & ~F.col("url").rlike(r"(?i)/(?:login|privacy|terms|blog|news|about)(?:/|$)")
+    kept = again.where(posting & ~F.col("title").rlike(r"^[^()]*\(\d+\)\s*$"))
+    return kept.select("page", "url", "title", F.substring(F.md5("url"), 1, 12).alias("external_id"))
+
+
+def fits_role(text: Column, org: Column, title: Column, least: float = 0.5) -> Column:
+    """Struct ``(ok, reason)``: a fetched text is of this role if it names the employer, or enough words of the title."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    name = F.trim(F.regexp_replace(F.lower(org), r"(?i)[,.]?\s*\b(?:inc|llc|ltd|gmbh|foundation|corp)\b\.?$", ""))
+    words = F.array_distinct(F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & ~w.isin("the", "and", "for", "with")))
+    found = F.filter(words, lambda w: low.contains(w))
+    share = F.try_divide(F.size(found).cast("double"), F.size(words).cast("double"))
+    named = (name != "") & low.contains(name)
+    return F.struct((named | F.coalesce(share >= least, F.lit(False))).alias("ok"), F.when(named, "org").when(share >= least, "title").otherwise("neither").alias("reason"))
