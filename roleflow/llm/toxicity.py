@@ -144,6 +144,8 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     if not n0 or not n1:
         share = (n1 + 1) / (n0 + n1 + 2)
         return Model(np.zeros(settings.buckets), float(np.log(share / (1 - share))), settings)
+    # Orders are counted apart, so n-grams that share a bucket may count a document twice.
+    pos, neg = np.minimum(pos, n1), np.minimum(neg, n0)
     p = (pos + settings.smoothing) / (n1 + 2 * settings.smoothing)
     q = (neg + settings.smoothing) / (n0 + 2 * settings.smoothing)
     ratio = np.log(p / q)

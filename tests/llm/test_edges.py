@@ -163,3 +163,32 @@ def test_pipeline_stages(spark, docs, none, labels, benchmark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     ids = {r["doc_id"] for r in out.collect()}
     assert 7 not in ids and not ids & set(range(0, 60, 6)) and len(ids) > 20
+
+
+def test_language_model_base_matches_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    texts = [(i, t) for i, t in enumerate(["a b a", "B c", None, "", "d d\td a", "ünï a\x0bb", "A", "zz " * 50])] * 2
+    texts += [(20, "a b a"), (21, "q")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["<end>"]
+    train = [t for i, t in texts if i % 5 != 1]
+    count = Counter(w for t in train for w in words(t))
+    total, kinds = sum(count.values()), len(count)
+    # Few common tokens, so most take the way of the rare ones.
+    settings = language_model.Settings(common=4, sample=1)
+    got = language_model.score(docs, F.col("doc_id") % 5 != 1, settings).collect()
+    want = sorted((i, len(words(t)), sum(count[w] > 0 for w in words(t)), round(sum(math.log10((count[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in words(t)), 6)) for i, t in texts)
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
+    assert {r["train_tokens"] for r in got} == {total}
+
+
+def test_mix_follows_its_sql_and_reruns_agree(spark, docs):
+    plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    one, two = mixing.mix(plain), mixing.mix(plain.repartition(7))
+    keys = ("doc_id", "size", "source_size", "target", "taken")
+    assert same_rows(one, two, *keys)
+    sums = one.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max("size").alias("m")).collect()
+    assert all(abs(r["t"] - r["g"]) <= 2 * max(x["m"] for x in sums) for r in sums)
