@@ -252,7 +252,8 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     crowded = F.when(F.col("size") > s.hot, F.shiftright("sig", 5).bitwiseAND(PARTS - 1))
     full = shared.groupBy("f1", F.col("sig").bitwiseAND(1).alias("turn")).agg(F.count_distinct(crowded).alias("full"))
     joined = shared.withColumn("turn", F.col("sig").bitwiseAND(1)).join(full, ["f1", "turn"])
-    # Two sets that link share more signatures of one turn than either has spare parts left.
+    # Two sets that link share more signatures of one turn than either has spare parts left. One that passes over its crowded parts
+    # hides them from the other too, so of the two numbers the smaller is sure.
     need = F.when(F.col("full") > F.col("left"), F.col("left")).otherwise(F.col("left") - F.col("full")) + 1
     needed = joined.where(f"size <= {s.hot} or full > left").select("sig", "turn", "f1", "size", need.alias("need"))
     members = cut(needed.join(classes.select("f1", "id", "n"), "f1").select("sig", "turn", "id", "n", "size", "need"))
@@ -275,7 +276,7 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         & ((F.col("h.component") == F.col("h.main")) | (F.col("m.id") < F.col("h.id")))
         & F.expr(f"100 * least(m.n, h.n) >= {s.percent} * greatest(m.n, h.n)")
     )
-    both = m.join(h, across).select(F.least("m.id", "h.id").alias("a"), F.greatest("m.id", "h.id").alias("b"), "m.turn", F.greatest("m.need", "h.need").alias("need"))
+    both = m.join(h, across).select(F.least("m.id", "h.id").alias("a"), F.greatest("m.id", "h.id").alias("b"), "m.turn", F.least("m.need", "h.need").alias("need"))
     rest = both.groupBy("a", "b", "turn").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need")
     rest = cut(rest.select("a", "b").distinct())
     if not rest.isEmpty():
