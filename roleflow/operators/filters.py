@@ -22,7 +22,7 @@ def company_reasons(rows: DataFrame, includes: DataFrame, never: DataFrame) -> D
     named = rows.withColumn("_key", K.lookup_name(F.col("org")))
     rules = includes.select(K.lookup_name(F.col("name")).alias("_key"), "scope", "pattern").groupBy("_key").agg(F.collect_list(F.struct("scope", "pattern")).alias("_rules"))
     banned = never.select(K.lookup_name(F.col("name")).alias("_key"), F.lit(True).alias("_never")).distinct()
-    joined = named.join(F.broadcast(rules), "_key", "left").join(F.broadcast(banned), "_key", "left")
+    joined = named.join(rules, "_key", "left").join(banned, "_key", "left")
     fits = F.exists(
         "_rules",
         lambda r: F.when(r["scope"] == "desc", F.regexp_like(F.lower(F.coalesce("description", F.lit(""))), r["pattern"])).otherwise(F.regexp_like(F.lower(F.coalesce("title", F.lit(""))), r["pattern"])),
