@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from roleflow.llm._common import CHUNK, LOWER, U64, batches, mix64, pieces, prefix_hash, substring_hash, utf8, words
 from roleflow.operators.graph import connected_components
-from roleflow.session import cut
+from roleflow.session import cut, stored
 
 #: Words of 64 bits in a sketch of a set.
 SKETCH = 16
@@ -247,7 +247,7 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     over = W.partitionBy("sig")
     shared = signed.select("*", F.min("f1").over(over).alias("low"), F.max("f1").over(over).alias("high")).where("low < high")
     shared = shared.select("sig", "left", "f1").distinct()
-    shared = cut(shared.withColumn("size", F.count(F.lit(1)).over(over)))
+    shared = stored(shared.withColumn("size", F.count(F.lit(1)).over(over)))
     # A signature that too many share is needed only by a set that has no spare part left.
     crowded = F.when(F.col("size") > s.hot, F.shiftright("sig", 5).bitwiseAND(PARTS - 1))
     full = shared.groupBy("f1", F.col("sig").bitwiseAND(1).alias("turn")).agg(F.count_distinct(crowded).alias("full"))
@@ -256,7 +256,7 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     # hides them from the other too, so of the two numbers the smaller is sure.
     need = F.when(F.col("full") > F.col("left"), F.col("left")).otherwise(F.col("left") - F.col("full")) + 1
     needed = joined.where(f"size <= {s.hot} or full > left").select("sig", "turn", "f1", "size", need.alias("need"))
-    members = cut(needed.join(classes.select("f1", "id", "n"), "f1").select("sig", "turn", "id", "n", "size", "need"))
+    members = stored(needed.join(classes.select("f1", "id"), "f1").select("sig", "turn", "id", "size", "need"))
 
     weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
     heads = members.join(weights, "id").groupBy("sig").agg(F.max(F.struct("weight", "id"))["id"].alias("head"))
@@ -268,13 +268,14 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     main = placed.join(heads, "sig").where("id = head").select("sig", F.col("component").alias("main"))
     mixed = placed.join(main, "sig").groupBy("sig", "main").agg(F.max(F.col("component") != F.col("main")).alias("apart")).where("apart")
-    placed = cut(placed.join(mixed.select("sig", "main"), "sig").select("sig", "turn", "id", "n", "need", "component", "main"))
+    placed = placed.join(mixed.select("sig", "main"), "sig").join(classes.select("id", "n", "sketch"), "id")
+    placed = stored(placed.select("sig", "turn", "id", "n", "need", "component", "main", "sketch"))
     m, h = placed.where("component <> main").alias("m"), placed.alias("h")
     across = (
         (F.col("m.sig") == F.col("h.sig"))
         & (F.col("m.component") != F.col("h.component"))
         & ((F.col("h.component") == F.col("h.main")) | (F.col("m.id") < F.col("h.id")))
-        & F.expr(f"100 * least(m.n, h.n) >= {s.percent} * greatest(m.n, h.n)")
+        & _near("m", "h", s.percent)
     )
     both = m.join(h, across).select(F.least("m.id", "h.id").alias("a"), F.greatest("m.id", "h.id").alias("b"), "m.turn", F.least("m.need", "h.need").alias("need"))
     rest = both.groupBy("a", "b", "turn").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need")
