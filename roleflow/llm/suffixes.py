@@ -320,7 +320,11 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), digest: boo
         place = F.struct("key", "h1", "h2", "a")
         over = W.partitionBy("w1", "w2")
         windows = windows.select("*", F.min(place).over(over).alias("x"), F.max(place).over(over).alias("y")).where("x <> y")
-        runs = runs.unionByName(windows.select("key", "h1", "h2", "a", F.col("a").alias("b")))
+        # Neighbouring windows are one run.
+        inside = W.partitionBy("key", "h1", "h2").orderBy("a")
+        windows = windows.withColumn("island", F.col("a") - F.row_number().over(inside))
+        windows = windows.groupBy("key", "h1", "h2", "island").agg(F.min("a").alias("a"), F.max("a").alias("b")).drop("island")
+        runs = runs.unionByName(windows)
     same = kinds.where("n > 1").select("key", "h1", "h2", F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
     runs = runs.unionByName(same)
     spans = around.join(runs, ["key", "h1", "h2"]).select("tid", (F.col("first") + F.col("a")).alias("a"), F.when(F.col("b") < 0, F.col("last")).otherwise(F.col("first") + F.col("b")).alias("b"))
