@@ -25,7 +25,7 @@ class Settings:
     """``common``: tokens counted in arrays, taken from ``sample`` documents; all others are counted by a shuffle.
 
     Which tokens are common changes no result, only the way to it. ``rounds``: parts of the training
-    documents, after each of which the executors' updates are averaged; ``stride``: one position in so many gives a gradient.
+    documents, after each of which the executors' updates are averaged.
     """
 
     common: int = 1 << 16
@@ -33,7 +33,6 @@ class Settings:
     classes: int = 16
     buckets: int = 1 << 15
     rounds: int = 2
-    stride: int = 3
     rate: float = 0.4
 
 
@@ -150,10 +149,9 @@ def _updates(weights: np.ndarray, squares: np.ndarray, label: np.ndarray, s: Set
         w, q, touched = weights.copy(), squares.copy(), np.zeros(s.buckets, np.float32)
         for batch in it:
             for *_, codes, rows in _chunks(batch):
-                pick = np.arange(int(codes[0] >> U64(40)) % s.stride, len(codes), s.stride)
-                features = _features(codes, rows, s.buckets)[:, pick]
-                y = label[(codes[pick] & U64(ENDINGS - 1)).astype(np.int64)]
-                for a in range(0, len(pick), 16384):
+                features = _features(codes, rows, s.buckets)
+                y = label[(codes & U64(ENDINGS - 1)).astype(np.int64)]
+                for a in range(0, len(codes), 16384):
                     part, own = features[:, a : a + 16384], y[a : a + 16384]
                     miss = _softmax(w, part)
                     miss[np.arange(len(own)), own] -= 1
@@ -173,7 +171,7 @@ def _updates(weights: np.ndarray, squares: np.ndarray, label: np.ndarray, s: Set
 
 
 def _train(training: DataFrame, label: np.ndarray, s: Settings) -> np.ndarray:
-    """Class weights after each training document was used once; a bucket's change is the mean of those that saw it."""
+    """Class weights after each position of the training documents was used once; a bucket's change is the mean of those that saw it."""
     cells = s.buckets * s.classes
     w, q = np.zeros((s.buckets, s.classes), np.float32), np.zeros((s.buckets, s.classes), np.float32)
     for k in range(s.rounds):

@@ -185,6 +185,25 @@ def test_language_model_base_matches_brute_force(spark):
     assert {r["train_tokens"] for r in got} == {total}
 
 
+def test_language_model_trains_on_every_position():
+    import numpy as np
+    import pyarrow as pa
+
+    settings = language_model.Settings()
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(5)]
+    zero = np.zeros((settings.buckets, settings.classes), np.float32)
+    run = language_model._updates(zero, zero, np.zeros(language_model.ENDINGS, np.int64), settings)
+    for parts in ([texts], [texts[:2], texts[2:]]):
+        given = [pa.RecordBatch.from_pydict({"text": p}) for p in parts]
+        (out,) = run(iter(given))
+        touched = np.frombuffer(out.column("v")[0].as_py(), np.float32)[-settings.buckets :] > 0
+        want = np.zeros(settings.buckets, bool)
+        for batch in given:
+            for *_, codes, rows in language_model._chunks(batch):
+                want[language_model._features(codes, rows, settings.buckets)] = True
+        assert (touched == want).all()
+
+
 def test_mix_follows_its_sql_and_reruns_agree(spark, docs):
     plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     one, two = mixing.mix(plain), mixing.mix(plain.repartition(7))
