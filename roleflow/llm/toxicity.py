@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roleflow.llm._common import batches, slot, tree_sum
+from roleflow.llm._common import batches
 from roleflow.session import cut
 
-ORDERS = (4, 5, 6)
+ORDERS = (3, 4, 5, 6)
 PAD = "\0" * (max(ORDERS) - 1)
 #: Characters that a task looks at together; a longer text is one piece.
 PIECE = 1 << 17
@@ -21,14 +21,15 @@ PIECE = 1 << 17
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: labelled documents that the classifier is fitted on, at most; ``features``: n-grams it keeps."""
+    """``sample``: labelled documents that the classifier is fitted on, at most; it goes over them ``passes`` times at most,
+    or until the gradient is ``close`` of what it was at first."""
 
     sample: int = 16384
     buckets: int = 1 << 18
-    features: int = 2048
     smoothing: float = 1.0
     penalty: float = 2e-5
-    steps: int = 600
+    passes: int = 60
+    close: float = 1e-3
     threshold: float = 0.7
 
 
@@ -60,66 +61,105 @@ def _grams(codes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
             yield k + 1, (h * np.uint32(0x85EBCA6B)) >> shift
 
 
-def _present(texts: list[str | None], buckets: int, keep: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Distinct (row, bucket) of each piece, of the buckets marked in ``keep``; if none are given, of each order by itself."""
+def _present(texts: list[str | None], buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First row and number of rows of each piece, and its distinct (row, bucket) in order as row * buckets + bucket."""
     for first, codes, rows in _pieces(texts):
-        found = []
-        for order, grams in _grams(codes, buckets):
-            at = slice(None) if keep is None else np.flatnonzero(keep[grams])
-            # An n-gram that begins in the padding belongs to the text that follows it.
-            row = rows[order - 1 :]
-            found.append(np.unique(row[at] * buckets + grams[at].astype(np.int64)))
-            if keep is None:
-                codes_of = found.pop()
-                yield first, codes_of // buckets, codes_of % buckets
-        if keep is None:
-            continue
-        codes_of = np.unique(np.concatenate(found))
-        yield first, codes_of // buckets, codes_of % buckets
-
-
-def counts_of(buckets: int):
-    """mapInArrow: documents of each label that hold each bucket; the last cell counts the documents."""
+        n = int(rows[-1]) + 1
+        kind = np.uint32 if n * buckets <= 1 << 32 else np.int64
+        start = (rows * buckets).astype(kind)
+        # An n-gram that begins in the padding belongs to the text that follows it.
+        keys = np.concatenate([start[order - 1 :] + grams for order, grams in _grams(codes, buckets)], dtype=kind)
+        keys.sort()
+        yield first, n, keys[np.r_[True, keys[1:] != keys[:-1]]]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, buckets + 1))
-        for batch in it:
-            label = np.asarray(batch.column("label").to_pylist(), np.int64)
-            for first, rows, grams in _present(batch.column("text").to_pylist(), buckets):
-                for k in (0, 1):
-                    np.add.at(total[k], grams[label[first + rows] == k], 1.0)
-            total[:, -1] += np.bincount(label, minlength=2)
-        yield pa.RecordBatch.from_pydict({"label": pa.array([0, 1], pa.int32()), "slot": pa.array([slot()] * 2, pa.int64()), "v": pa.array([x.tobytes() for x in total], pa.binary())})
 
-    return run
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as the gaps between them, a byte each; a byte of 255 goes on to the next one."""
+    gap = np.diff(keys.astype(np.int64), prepend=0)
+    more = gap // 255
+    out = np.full(len(gap) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gap % 255
+    return out.tobytes()
+
 
+def _unpacked(data: bytes) -> np.ndarray:
+    gap = np.frombuffer(data, np.uint8)
+    return np.cumsum(gap, dtype=np.int64)[gap != 255]
 
-def kept_of(buckets: int, keep: np.ndarray):
-    """mapInArrow: the kept buckets of each document."""
+
+def present_of(buckets: int):
+    """mapInArrow: labels and packed buckets of the documents, a row a piece."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, lists = batch.column("text").to_pylist(), {}
-        for first, rows, grams in _present(texts, buckets, keep):
-            for row, part in zip(np.unique(rows), np.split(grams, np.flatnonzero(np.diff(rows)) + 1), strict=False):
-                lists[first + int(row)] = part.tolist()
-        yield pa.RecordBatch.from_pydict({"label": batch.column("label").cast(pa.int32()), "grams": pa.array([lists.get(i, []) for i in range(len(texts))], pa.list_(pa.int32()))})
+        label = np.asarray(batch.column("label").to_pylist(), np.uint8)
+        for first, n, keys in _present(batch.column("text").to_pylist(), buckets):
+            yield pa.RecordBatch.from_pydict({"label": pa.array([label[first : first + n].tobytes()], pa.binary()), "grams": pa.array([_packed(keys)], pa.binary())})
 
     return batches(run)
 
 
-def _logistic(indptr: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, settings: Settings) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows by Adam; ``cols`` hold values in ``width`` columns."""
-    ids, ratio = cols
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(indptr))
-    w, m, v = (np.zeros(width + 1) for _ in range(3))
-    w[-1] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
-    for step in range(1, settings.steps + 1):
-        z = np.bincount(row, w[ids].astype(np.float32) * ratio, minlength=len(y)) + w[-1]
-        miss = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.r_[np.bincount(ids, miss[row] * ratio, minlength=width) / len(y) + settings.penalty * w[:-1], miss.mean()]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w[:-1], float(w[-1])
+def _sums(packed: DataFrame, buckets: int, weights: np.ndarray | None = None, bias: float = 0.0) -> list[np.ndarray]:
+    """Sums over all documents of what each adds to its buckets, the last cell being that of every document.
+
+    Without ``weights`` they are the documents of each label; with them the gradient of the logistic loss, and in an
+    array of one cell the loss itself. The driver gets arrays of fixed size from the 16 partitions at most that :func:`fit` makes.
+    """
+    low = None if weights is None else weights.astype(np.float32)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, loss = np.zeros((2 if low is None else 1, buckets + 1)), 0.0
+        for batch in it:
+            for label, data in zip(batch.column("label").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                y, keys = np.frombuffer(label, np.uint8).astype(float), _unpacked(data)
+                row, gram = keys // buckets, keys % buckets
+                if low is None:
+                    parts = (1 - y, y)
+                else:
+                    z = np.bincount(row, low[gram], minlength=len(y)) + bias
+                    loss += float(np.sum(np.logaddexp(0, z) - y * z))
+                    parts = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y,)
+                for out, x in zip(total, parts, strict=True):
+                    out[:-1] += np.bincount(gram, x[row], minlength=buckets)
+                    out[-1] += x.sum()
+        yield pa.RecordBatch.from_pydict({"v": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "loss": [loss]})
+
+    total, loss = np.zeros((2 if low is None else 1, buckets + 1)), 0.0
+    for r in packed.mapInArrow(run, "v binary, loss double").collect():
+        total += np.frombuffer(r["v"], np.float32).reshape(total.shape)
+        loss += r["loss"]
+    return [*total, np.array([loss])]
+
+
+def _minimum(f, x: np.ndarray, passes: int, close: float) -> np.ndarray:
+    """Where ``f``, which gives value and gradient, is least: limited-memory BFGS until the gradient's norm is ``close`` of the first."""
+    value, g = f(x)
+    first, moves, used = float(np.linalg.norm(g)), [], 1
+    while used < passes and np.linalg.norm(g) > close * first:
+        d, stack = g.copy(), []
+        for s, y, rho in reversed(moves):
+            stack.append(rho * (s @ d))
+            d -= stack[-1] * y
+        if moves:
+            s, y, _ = moves[-1]
+            d *= (s @ y) / (y @ y)
+        else:
+            d /= first
+        for (s, y, rho), alpha in zip(moves, reversed(stack), strict=True):
+            d += s * (alpha - rho * (y @ d))
+        step, slope = 1.0, float(g @ d)
+        while used < passes:
+            new, grad = f(x - step * d)
+            used += 1
+            if new <= value - 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, y = -step * d, grad - g
+        x, value, g = x + s, new, grad
+        if s @ y > 1e-12:
+            moves = [*moves[-7:], (s, y, 1 / float(s @ y))]
+    return x
 
 
 @dataclass(frozen=True)
@@ -132,38 +172,31 @@ class Model:
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on ``labelled(text, label 0/1)``, which the caller bounds (see :func:`labelled_sample`).
 
-    The n-gram counts of the labels are summed on the executors; the driver gets their two
-    fixed-size arrays and the kept n-grams of the bounded sample. With no rows, or rows of
-    one label only, every score is that label's smoothed share.
+    Every n-gram bucket that the rows hold has a weight. Each document's buckets are made once and stay in the
+    checkpoint folder; counts and gradients over them are summed on the executors, and the driver gets arrays of fixed size only.
+    With no rows, or rows of one label only, every score is that label's smoothed share.
     """
-    rows = cut(labelled.select("text", F.col("label").cast("int").alias("label")).coalesce(16))
-    parts = rows.mapInArrow(counts_of(settings.buckets), "label int, slot long, v binary")
-    sums = tree_sum(parts, "label", 16)
-    zero = np.zeros(settings.buckets + 1)
-    (neg, n0), (pos, n1) = ((s[:-1], s[-1]) for s in (sums.get(0, zero), sums.get(1, zero)))
+    s = settings
+    rows = labelled.select("text", F.col("label").cast("int").alias("label")).coalesce(16)
+    packed = cut(rows.mapInArrow(present_of(s.buckets), "label binary, grams binary"))
+    neg, pos, _ = _sums(packed, s.buckets)
+    (neg, n0), (pos, n1) = (neg[:-1], float(neg[-1])), (pos[:-1], float(pos[-1]))
     if not n0 or not n1:
         share = (n1 + 1) / (n0 + n1 + 2)
-        return Model(np.zeros(settings.buckets), float(np.log(share / (1 - share))), settings)
-    # Orders are counted apart, so n-grams that share a bucket may count a document twice.
-    pos, neg = np.minimum(pos, n1), np.minimum(neg, n0)
-    p = (pos + settings.smoothing) / (n1 + 2 * settings.smoothing)
-    q = (neg + settings.smoothing) / (n0 + 2 * settings.smoothing)
+        return Model(np.zeros(s.buckets), float(np.log(share / (1 - share))), settings)
+    p = (pos + s.smoothing) / (n1 + 2 * s.smoothing)
+    q = (neg + s.smoothing) / (n0 + 2 * s.smoothing)
     ratio = np.log(p / q)
-    # Keep the n-grams whose presence says most about the label: G statistic of the 2 x 2 table.
-    both = (pos + neg + 2 * settings.smoothing) / (n0 + n1 + 4 * settings.smoothing)
-    gain = n1 * (p * np.log(p / both) + (1 - p) * np.log((1 - p) / (1 - both))) + n0 * (q * np.log(q / both) + (1 - q) * np.log((1 - q) / (1 - both)))
-    chosen = np.sort(np.argpartition(-gain, min(settings.features, settings.buckets - 1))[: settings.features])
-    keep = np.zeros(settings.buckets, bool)
-    keep[chosen] = True
-    got = rows.mapInArrow(kept_of(settings.buckets, keep), "label int, grams array<int>").toPandas()
-    y, lengths = got["label"].to_numpy(float), np.array([len(g) for g in got["grams"]], np.int64)
-    found = np.concatenate([np.zeros(0, np.int32), *got["grams"]])
-    del got
-    ids = np.searchsorted(chosen, found).astype(np.int32)
-    w, bias = _logistic(np.r_[0, np.cumsum(lengths)], (ids, ratio[chosen].astype(np.float32)[ids]), y, len(chosen), settings)
-    weights = np.zeros(settings.buckets)
-    weights[chosen] = w * ratio[chosen]
-    return Model(weights, bias, settings)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        g, total = _sums(packed, s.buckets, w[:-1] * ratio, float(w[-1]))
+        value = float(total[0]) / (n0 + n1) + s.penalty / 2 * float(w[:-1] @ w[:-1])
+        return value, g / (n0 + n1) * np.r_[ratio, 1.0] + s.penalty * np.r_[w[:-1], 0.0]
+
+    start = np.zeros(s.buckets + 1)
+    start[-1] = np.log((n1 + 1e-3) / (n0 + 1e-3))
+    w = _minimum(loss, start, s.passes, s.close)
+    return Model(w[:-1] * ratio, float(w[-1]), settings)
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -173,14 +206,12 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     known n-grams. Columns of ``docs`` that are not named in ``keep`` are not read.
     """
     weights, bias, s = model.weights, model.bias, model.settings
-    mark = weights != 0
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(batch.num_columns - 1).to_pylist()
         z = np.full(len(texts), bias)
-        for first, rows, grams in _present(texts, s.buckets, mark):
-            part = np.bincount(rows, weights[grams])
-            z[first : first + len(part)] += part
+        for first, n, keys in _present(texts, s.buckets):
+            z[first : first + n] += np.bincount(keys // s.buckets, weights[keys % s.buckets], minlength=n)
         out = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(out), pa.array((out >= s.threshold).astype(np.int32))], names=[*keep, "score", "predicted"])

@@ -60,6 +60,19 @@ def test_toxicity(docs, none, labels):
     assert toxicity.score(docs, empty, "doc_id").select("score").distinct().count() == 1
 
 
+def test_toxicity_keeps_rare_words_of_a_wide_vocabulary(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    plain, bad = [word(6) for _ in range(40)], [word(10) for _ in range(400)]
+    prose = lambda: [rng.choice(plain) for _ in range(25)]
+    learn = [(" ".join([*prose(), bad[i % 400], *prose()]), 1) for i in range(1200)] + [(" ".join(prose() + prose()), 0) for _ in range(1200)]
+    model = toxicity.fit(spark.createDataFrame(learn, "text string, label int"))
+    given = [(i, " ".join([*prose(), bad[i], *prose()])) for i in range(400)] + [(400 + i, " ".join(prose() + prose())) for i in range(400)]
+    found = {r["doc_id"] for r in toxicity.score(spark.createDataFrame(given, "doc_id long, text string"), model, "doc_id").where("predicted = 1").collect()}
+    assert len([i for i in found if i < 400]) >= 380 and not [i for i in found if i >= 400]
+    assert 3 in toxicity.ORDERS
+
+
 def test_quality(docs, none, labels):
     sample = toxicity.labelled_sample(docs, labels, "quality", F.lit(True), 1000)
     small = quality.Settings(steps=20)
