@@ -19,9 +19,8 @@ SPANS = "array<struct<s:int,kind:int,e:int>>"
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: documents that the Markov models are trained on, at most; ``least``: length of a run that is judged."""
+    """``least``: length of a run that is judged; ``threshold``: nats by which a secret is likelier random than ordinary."""
 
-    sample: int = 2000
     least: int = 20
     backing: float = 20.0
     threshold: float = 12.0
@@ -57,19 +56,18 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> list[float]:
-    """Log-likelihood ratios of character pairs, random over ordinary, learned from labelled samples.
+    """Log-likelihood ratios of character pairs, random over ordinary, learned from all documents.
 
-    From at most ``sample`` documents, in hash order of doc_id: random are the secrets that the fixed patterns find,
+    Random are the secrets that the fixed patterns find,
     and digests of doc_id in hexadecimal, base64 and capitals; ordinary are the other runs of four
-    characters or more, but for those that are to be judged. The driver gets a count for each label and pair, of the fixed alphabet.
+    characters or more, but for long ones with a letter and a digit, which may be secrets. The driver gets a count for each label and pair, of the fixed alphabet.
     """
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(settings.sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select("doc_id", "text").withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
     digest = F.sha2(F.col("doc_id").cast("string"), 512)
     made = F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 64), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)), F.translate(F.base64(F.unhex(F.sha2(digest, 256))), "+/=", "-_"))
     values = F.concat(F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("_t", F.lit(f"{ACCESS}|{HEX}"), F.lit(0)))
     values = F.filter(values, lambda x: F.length(x) >= 16)
-    # What is to be judged has no label: long runs with a letter and a digit are in neither sample.
+    # Long runs with a letter and a digit are in neither sample.
     plain = F.regexp_extract_all(F.regexp_replace("_t", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit(f"{CLASS}{{4,}}"), F.lit(0))
     plain = F.filter(plain, lambda x: ~((F.length(x) >= settings.least) & x.rlike("[0-9]") & x.rlike("[A-Za-z]")))
     samples = rows.select(F.explode(F.array(F.struct(F.lit(1).alias("label"), F.concat(made, values).alias("runs")), F.struct(F.lit(0).alias("label"), plain.alias("runs")))).alias("x"))
@@ -97,15 +95,15 @@ def _transitions(counts: list[list[float]], backing: float) -> list[list[float]]
 def find(docs: DataFrame, ratios: list[float], settings: Settings = Settings()) -> DataFrame:
     """``docs`` with ``spans``: array of (s, kind, e) by start, then kind; the kinds are numbered as in KINDS.
 
-    Besides the fixed patterns, a run of ``least`` characters or more with a letter and a digit is a secret if its pairs are
-    likelier in random strings than in ordinary ones by ``threshold`` nats, and no other span is in it. Null text is
-    empty and has no span. No row is shuffled or dropped.
+    Besides the fixed patterns, every run of ``least`` characters or more is a secret if its pairs are likelier in random
+    strings than in ordinary ones by ``threshold`` nats. A run that holds matches of the fixed patterns is judged on
+    the rest, and ends where an assignment in it begins. Null text is empty and has no span. No row is shuffled or dropped.
     """
     width = len(LETTERS)
     found = base(docs).withColumn("_r", F.regexp_extract_all("_t", F.lit(settings.run), F.lit(0)))
     found = found.withColumn("_rg", F.when(F.size("_r") > 0, F.split("_t", settings.run, -1)))
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
-    codes = F.split(F.lit(",".join(str(max(LETTERS.find(chr(i)), 0)) for i in range(128))), ",").cast("array<int>")
+    codes = F.split(F.lit(",".join(str(LETTERS.find(chr(i))) for i in range(128))), ",").cast("array<int>")
 
     def ratio(run: Column) -> Column:
         start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
@@ -114,14 +112,19 @@ def find(docs: DataFrame, ratios: list[float], settings: Settings = Settings())
             start,
             lambda a, c: F.struct(
                 F.get(codes, F.ascii(c)).alias("last"),
-                F.when(a["last"] < 0, a["sum"]).otherwise(a["sum"] + F.get(table, a["last"] * width + F.get(codes, F.ascii(c)))).alias("sum"),
+                F.when((a["last"] < 0) | (F.get(codes, F.ascii(c)) < 0), a["sum"]).otherwise(a["sum"] + F.get(table, a["last"] * width + F.get(codes, F.ascii(c)))).alias("sum"),
             ),
             lambda a: a["sum"],
         )
 
-    judged = F.transform("_r", lambda run: run.rlike("[0-9]") & run.rlike("[A-Za-z]") & ~run.rlike(f"{ACCESS}|{HEX}") & (F.when(run.rlike("[0-9]"), ratio(run)).otherwise(F.lit(-1.0)) >= settings.threshold))
+    # A blank stands for what a fixed pattern takes out of a run; no pair goes over it.
+    held = f"{ASSIGN[:-2]}{{6,}})|{ACCESS}|{HEX}"
+    judged = F.transform("_r", lambda run: ratio(F.regexp_replace(run, held, " ")) >= settings.threshold)
     found = found.withColumn("_ok", judged).withColumn("_random", F.expr(_spans("_t", "_r", "_rg", 3, "_ok[i]")))
-    alone = F.expr("filter(_random, r -> not exists(_assign, x -> x.s < r.e and r.s < x.e))")
+    alone = F.expr(
+        "transform(filter(_random, r -> not exists(_assign, x -> x.s <= r.s and r.s < x.e)), r -> named_struct('s', r.s, 'kind', r.kind, "
+        "'e', coalesce(array_min(transform(filter(_assign, x -> r.s < x.s and x.s < r.e), x -> x.s)), r.e)))"
+    )
     own = [F.col("row")[c].alias(c) for c in docs.columns if c != "spans"]
     return found.select(*own, F.array_sort(F.concat("_assign", "_access", "_hex", alone)).alias("spans"))
 

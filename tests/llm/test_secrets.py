@@ -62,3 +62,23 @@ def test_listing(spark, docs):
     row = secrets.find(docs, secrets.train(docs)).where("doc_id = 2").select(secrets.listed("spans").alias("x")).first()
     assert row["x"] == "assign:0:17"
     assert hashlib.sha256(b"assign:0:17").hexdigest()
+
+
+def test_every_run_is_judged_on_what_the_patterns_leave(spark, docs):
+    letters, digest = "zQhRTxWqvBJnMykLXpJfHgGd", "0123456789abcdef01234567"
+    texts = [f"key {letters} end", f"key zQ8rT2xW9vB4nM7kL1pJ6hG3_{digest} end", f"zQ8rT2xW9vB4nM7kL1pJ6hG3/token=abcdefgh", f"see some/ordinary/page/{digest} end"]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["text"] for r in secrets.redact(given, secrets.train(docs)).collect()}
+    assert rows[0] == "key <SECRET> end" and rows[1] == "key <SECRET> end"
+    assert rows[2] in ("<SECRET>token=<SECRET>", "<SECRET>/token=<SECRET>")
+    assert rows[3] == "see some/ordinary/page/<SECRET> end"
+
+
+def test_training_counts_all_documents(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"))
+    last = ids.orderBy(F.xxhash64(F.col("doc_id").cast("string")).desc()).first()["doc_id"]
+    docs = ids.withColumn("text", F.when(F.col("doc_id") == last, "qqqq " * 20_000).otherwise("alpha beta gamma"))
+    # The pair qq is only in the document that comes last in hash order.
+    assert secrets.train(docs)[secrets.LETTERS.index("q") * (len(secrets.LETTERS) + 1)] < -3
