@@ -8,22 +8,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roleflow.session import stored
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A text without any of these, in lower case, holds no assignment.
+NAMES = ("passw", "secret", "token", "api")
 #: A run of the class that is long enough is found from its first character on, so the length can stand in the pattern.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CLASS = "[A-Za-z0-9+/_=-]"
-SPANS = "array<struct<s:int,kind:int,e:int>>"
+SPAN = "struct<s:int,kind:int,e:int>"
+#: Matches that one list is made of before the lists are put together, and characters that a piece of a text has.
+GROUP, PIECE = 256, 4096
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``least``: length of a run that is judged; ``threshold``: nats by which a secret is likelier random than ordinary."""
+    """``least``: length of a run that is judged; ``threshold``: nats by which a secret is likelier random than ordinary, at least;
+    ``alarms``: share of ordinary long runs that may pass for random; ``made``: random strings that are made as samples."""
 
     least: int = 20
     backing: float = 20.0
     threshold: float = 12.0
+    alarms: float = 0.001
+    made: int = 8192
     mark: str = "<SECRET>"
 
     @property
@@ -31,16 +40,52 @@ class Settings:
         return f"(?<!{CLASS}){CLASS}{{{self.least},}}"
 
 
-def _spans(text: str, matches: str, gaps: str, kind: int, keep: str) -> str:
-    """SQL for the spans of ``matches``, which stand between ``gaps``; ``keep`` is a condition on match number i."""
-    start = f"a.at + length({gaps}[i])"
-    end = f"{start} + length({matches}[i])"
+@dataclass(frozen=True)
+class Model:
+    """Log-likelihood ratios of character pairs, and the threshold; of the runs that calibrated it, the share of random ones it finds and
+    of ordinary ones it takes for random (null without such runs)."""
+
+    ratios: list[float]
+    threshold: float
+    found: float | None = None
+    alarms: float | None = None
+
+
+def _fold(size: str, start: str, step: str, item: str, finish: str = "flatten(o.out)") -> str:
+    """SQL of a fold over i from 0 to ``size`` - 1 that makes a list of ``item``: ``step`` gives state and list from ``a.st, a.out, i``.
+
+    The list grows in groups, so that a long one isn't copied for each of its items.
+    """
+    empty = f"cast(array() as array<{item}>)"
     return (
-        f"if(size({matches}) > 0, aggregate(sequence(0, size({matches}) - 1), named_struct('at', 0, 'out', cast(array() as {SPANS})), "
-        f"(a, i) -> named_struct('at', {end}, 'out', if({keep}, concat(a.out, array(named_struct('s', {start}, 'kind', {kind}, 'e', {end}))), a.out)), a -> a.out), cast(array() as {SPANS}))"
+        f"aggregate(if({size} > 0, sequence(0, cast(({size} - 1) div {GROUP} as int)), cast(array() as array<int>)), "
+        f"named_struct('st', {start}, 'out', cast(array() as array<array<{item}>>)), "
+        f"(o, g) -> aggregate(sequence(g * {GROUP}, least(g * {GROUP} + {GROUP - 1}, {size} - 1)), named_struct('st', o.st, 'out', {empty}), "
+        f"(a, i) -> {step}, a -> named_struct('st', a.st, 'out', concat(o.out, array(a.out)))), o -> {finish})"
     )
 
 
+def _spans(matches: str, gaps: str, kind: int, keep: str) -> str:
+    """SQL for the spans of ``matches``, which stand between ``gaps``; ``keep`` is a condition on match number i."""
+    start = f"a.st + length({gaps}[i])"
+    end = f"{start} + length({matches}[i])"
+    step = f"named_struct('st', {end}, 'out', if({keep}, concat(a.out, array(named_struct('s', {start}, 'kind', {kind}, 'e', {end}))), a.out))"
+    return _fold(f"size({matches})", "0", step, SPAN)
+
+
+def _all(pattern: str, group: int, sure: Column) -> Column:
+    """What the pattern finds; texts that are ``sure`` to hold nothing are not searched."""
+    return F.when(sure, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("_t", F.lit(pattern), F.lit(group)))
+
+
+def _without_names() -> Column:
+    low = F.lower("_t")
+    out = F.lit(True)
+    for name in NAMES:
+        out &= ~low.contains(name)
+    return out
+
+
 def base(docs: DataFrame) -> DataFrame:
     """``row`` with ``_assign``, ``_access``, ``_hex``: spans of the fixed patterns in code points, end exclusive.
 
@@ -48,40 +93,66 @@ def base(docs: DataFrame) -> DataFrame:
     """
     # The row travels as one struct, so none of its columns can clash with those made here.
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
-    found = found.withColumns({f"_m{k}": F.regexp_extract_all("_t", F.lit(p), F.lit(0)) for k, p in enumerate((ASSIGN, ACCESS, HEX))})
+    sure = (_without_names(), ~F.col("_t").contains("AKIA"), F.lit(False))
+    found = found.withColumns({f"_m{k}": _all(p, 0, sure[k]) for k, p in enumerate((ASSIGN, ACCESS, HEX))})
     found = found.withColumns({f"_g{k}": F.when(F.size(f"_m{k}") > 0, F.split("_t", p, -1)) for k, p in enumerate((ASSIGN, ACCESS, HEX))} | {"_v": F.when(F.size("_m0") > 0, F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2)))})
     keep = ("length(_v[i]) >= 6", "true", "true")
-    found = found.withColumns({f"_{KINDS[k]}": F.expr(_spans("_t", f"_m{k}", f"_g{k}", k, keep[k])) for k in range(3)})
+    found = found.withColumns({f"_{KINDS[k]}": F.expr(_spans(f"_m{k}", f"_g{k}", k, keep[k])) for k in range(3)})
     return found.drop(*[f"_{x}{k}" for x in "mg" for k in range(3)], "_v")
 
 
-def train(docs: DataFrame, settings: Settings = Settings()) -> list[float]:
-    """Log-likelihood ratios of character pairs, random over ordinary, learned from all documents.
+def samples(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``label, run, count``: the labelled samples, each different run of characters once.
 
-    Random are the secrets that the fixed patterns find,
-    and digests of doc_id in hexadecimal, base64 and capitals; ordinary are the other runs of four
-    characters or more, but for long ones with a letter and a digit, which may be secrets. The driver gets a count for each label and pair, of the fixed alphabet.
+    Label 1 are the secrets that the fixed patterns find in all documents, label 2 digests in hexadecimal, base64 and capitals, as many as
+    the settings say; label 0 the other runs of four characters or more of all documents, but for long ones with a letter and a
+    digit, which may be secrets and are in no sample.
     """
-    rows = docs.select("doc_id", "text").withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
-    digest = F.sha2(F.col("doc_id").cast("string"), 512)
-    made = F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 64), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)), F.translate(F.base64(F.unhex(F.sha2(digest, 256))), "+/=", "-_"))
-    values = F.concat(F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("_t", F.lit(f"{ACCESS}|{HEX}"), F.lit(0)))
-    values = F.filter(values, lambda x: F.length(x) >= 16)
-    # Long runs with a letter and a digit are in neither sample.
-    plain = F.regexp_extract_all(F.regexp_replace("_t", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit(f"{CLASS}{{4,}}"), F.lit(0))
+    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    fixed = f"{ASSIGN}|{ACCESS}|{HEX}"
+    values = F.concat(_all(ASSIGN, 2, _without_names()), F.regexp_extract_all("_t", F.lit(f"{ACCESS}|{HEX}"), F.lit(0)))
+    plain = F.regexp_extract_all(F.regexp_replace("_t", fixed, " "), F.lit(f"{CLASS}{{4,}}"), F.lit(0))
     plain = F.filter(plain, lambda x: ~((F.length(x) >= settings.least) & x.rlike("[0-9]") & x.rlike("[A-Za-z]")))
-    samples = rows.select(F.explode(F.array(F.struct(F.lit(1).alias("label"), F.concat(made, values).alias("runs")), F.struct(F.lit(0).alias("label"), plain.alias("runs")))).alias("x"))
-    runs = samples.select("x.label", F.explode("x.runs").alias("run"))
-    # A pair a row: the characters of a run and the same moved by one.
-    chars = runs.select("label", F.split("run", "").alias("c")).select("label", F.explode(F.expr("arrays_zip(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1))")).alias("p"))
-    counts = chars.groupBy("label", F.col("p.0").alias("a"), F.col("p.1").alias("b")).count()
-    width = len(LETTERS)
-    code = {c: i for i, c in enumerate(LETTERS)}
-    table = [[[0.0] * width for _ in range(width)] for _ in range(2)]
+    both = F.array(F.struct(F.lit(1).alias("label"), F.filter(values, lambda x: F.length(x) >= 16).alias("runs")), F.struct(F.lit(0).alias("label"), plain.alias("runs")))
+    seen = rows.select(F.explode(both).alias("x")).select("x.label", F.explode("x.runs").alias("run"))
+    digest = F.sha2(F.col("id").cast("string"), 512)
+    forms = F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 64), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)), F.translate(F.base64(F.unhex(F.sha2(digest, 256))), "+/=", "-_"))
+    made = docs.sparkSession.range(settings.made).select(F.lit(2).alias("label"), F.explode(forms).alias("run"))
+    return seen.unionByName(made).groupBy("label", "run").count()
+
+
+def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
+    """Markov models of the labelled :func:`samples`, compared: pairs of characters, random over ordinary.
+
+    Found and made random strings weigh the same. A run counts for each of its occurrences; equal runs are one row before their pairs
+    are made. The driver gets a count for each label and pair, of the fixed alphabet. The threshold is such that of the ordinary
+    long runs that were kept out of a first model (a fifth of all, by hash) no more than ``alarms`` pass.
+    """
+    runs = stored(samples(docs, settings)).withColumn("held", F.pmod(F.xxhash64("run"), F.lit(5)) == 0)
+    chars = runs.select("label", "held", "count", F.split("run", "").alias("c"))
+    pairs = chars.select("label", "held", "count", F.explode(F.expr("arrays_zip(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1))")).alias("p"))
+    counts = pairs.groupBy("label", "held", F.col("p.0").alias("a"), F.col("p.1").alias("b")).agg(F.sum("count").alias("n"))
+    width, code = len(LETTERS), {c: i for i, c in enumerate(LETTERS)}
+    tables = {held: [[[0.0] * width for _ in range(width)] for _ in range(3)] for held in (True, False)}
     for r in counts.where(F.col("a").isin(*LETTERS) & F.col("b").isin(*LETTERS)).toLocalIterator():
-        table[r["label"]][code[r["a"]]][code[r["b"]]] += r["count"]
-    plain, random = (_transitions(t, settings.backing) for t in table)
-    return [math.log(r) - math.log(p) for rs, ps in zip(random, plain, strict=True) for r, p in zip(rs, ps, strict=True)]
+        tables[r["held"]][r["label"]][code[r["a"]]][code[r["b"]]] += r["n"]
+    part = _ratios(tables[False], settings)
+    every = _ratios([[[x + y for x, y in zip(u, v, strict=True)] for u, v in zip(s, t, strict=True)] for s, t in zip(*tables.values(), strict=True)], settings)
+    long = runs.where(F.col("held") & (F.length("run") >= settings.least)).select((F.col("label") > 0).alias("random"), _ratio(F.col("run"), part).alias("nats"))
+    mark = long.where("not random").agg(F.percentile_approx("nats", 1 - settings.alarms, 10_000).alias("x")).first()["x"]
+    threshold = max(settings.threshold, mark if mark is not None else 0.0)
+    share = {r["random"]: r["share"] for r in long.groupBy("random").agg(F.avg((F.col("nats") >= threshold).cast("double")).alias("share")).collect()}
+    return Model(every, threshold, share.get(True), share.get(False))
+
+
+def _ratios(counts: list[list[list[float]]], settings: Settings) -> list[float]:
+    """Log-likelihood ratios of pairs from the counts of the labels 0, 1 and 2."""
+    plain, found, made = counts
+    mass = [sum(map(sum, t)) for t in (found, made)]
+    scale = mass[1] / mass[0] if mass[0] and mass[1] else 1.0
+    random = [[x * scale + y for x, y in zip(u, v, strict=True)] for u, v in zip(found, made, strict=True)]
+    p, r = (_transitions(t, settings.backing) for t in (plain, random))
+    return [math.log(x) - math.log(y) for xs, ys in zip(r, p, strict=True) for x, y in zip(xs, ys, strict=True)]
 
 
 def _transitions(counts: list[list[float]], backing: float) -> list[list[float]]:
@@ -92,41 +163,45 @@ def _transitions(counts: list[list[float]], backing: float) -> list[list[float]]
     return [[(row[b] + backing * share[b]) / (sum(row) + backing) for b in range(width)] for row in counts]
 
 
-def find(docs: DataFrame, ratios: list[float], settings: Settings = Settings()) -> DataFrame:
+def _ratio(run: Column, ratios: list[float]) -> Column:
+    """The sum of the ratios of a run's pairs; a character outside the alphabet breaks the run."""
+    width = len(LETTERS)
+    table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
+    codes = F.split(F.lit(",".join(str(LETTERS.find(chr(i))) for i in range(128))), ",").cast("array<int>")
+    return F.aggregate(
+        F.split(run, ""),
+        F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")),
+        lambda a, c: F.struct(
+            F.get(codes, F.ascii(c)).alias("last"),
+            F.when((a["last"] < 0) | (F.get(codes, F.ascii(c)) < 0), a["sum"]).otherwise(a["sum"] + F.get(table, a["last"] * width + F.get(codes, F.ascii(c)))).alias("sum"),
+        ),
+        lambda a: a["sum"],
+    )
+
+
+def find(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with ``spans``: array of (s, kind, e) by start, then kind; the kinds are numbered as in KINDS.
 
     Besides the fixed patterns, every run of ``least`` characters or more is a secret if its pairs are likelier in random
-    strings than in ordinary ones by ``threshold`` nats. A run that holds matches of the fixed patterns is judged on
-    the rest, and ends where an assignment in it begins. Null text is empty and has no span. No row is shuffled or dropped.
+    strings than in ordinary ones by the model's threshold. A run that holds matches of the fixed patterns is judged on
+    the rest, and ends where an assignment in it begins. Null text is empty and has no span. No row is shuffled or dropped; the
+    work on a text is linear in its length and in its matches.
     """
-    width = len(LETTERS)
     found = base(docs).withColumn("_r", F.regexp_extract_all("_t", F.lit(settings.run), F.lit(0)))
     found = found.withColumn("_rg", F.when(F.size("_r") > 0, F.split("_t", settings.run, -1)))
-    table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
-    codes = F.split(F.lit(",".join(str(LETTERS.find(chr(i))) for i in range(128))), ",").cast("array<int>")
-
-    def ratio(run: Column) -> Column:
-        start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
-        return F.aggregate(
-            F.split(run, ""),
-            start,
-            lambda a, c: F.struct(
-                F.get(codes, F.ascii(c)).alias("last"),
-                F.when((a["last"] < 0) | (F.get(codes, F.ascii(c)) < 0), a["sum"]).otherwise(a["sum"] + F.get(table, a["last"] * width + F.get(codes, F.ascii(c)))).alias("sum"),
-            ),
-            lambda a: a["sum"],
-        )
-
     # A blank stands for what a fixed pattern takes out of a run; no pair goes over it.
     held = f"{ASSIGN[:-2]}{{6,}})|{ACCESS}|{HEX}"
-    judged = F.transform("_r", lambda run: ratio(F.regexp_replace(run, held, " ")) >= settings.threshold)
-    found = found.withColumn("_ok", judged).withColumn("_random", F.expr(_spans("_t", "_r", "_rg", 3, "_ok[i]")))
-    alone = F.expr(
-        "transform(filter(_random, r -> not exists(_assign, x -> x.s <= r.s and r.s < x.e)), r -> named_struct('s', r.s, 'kind', r.kind, "
-        "'e', coalesce(array_min(transform(filter(_assign, x -> r.s < x.s and x.s < r.e), x -> x.s)), r.e)))"
-    )
+    judged = F.transform("_r", lambda run: _ratio(F.regexp_replace(run, held, " "), model.ratios) >= model.threshold)
+    found = found.withColumn("_ok", judged).withColumn("_random", F.expr(_spans("_r", "_rg", 3, "_ok[i]")))
+    # From the last to the first: a random run ends where the next assignment begins. Then from the first to the last: it is none of its
+    # own if it begins inside an assignment.
+    found = found.withColumn("_x", F.expr("if(size(_random) > 0, reverse(array_sort(concat(_assign, _random))), _random)"))
+    end = "if(_x[i].kind = 0, _x[i].e, least(_x[i].e, a.st))"
+    ended = _fold("size(_x)", "2147483647", f"named_struct('st', if(_x[i].kind = 0, _x[i].s, a.st), 'out', concat(a.out, array(named_struct('s', _x[i].s, 'kind', _x[i].kind, 'e', {end}))))", SPAN)
+    found = found.withColumn("_x", F.expr(ended)).withColumn("_x", F.reverse("_x"))
+    alone = _fold("size(_x)", "0", "named_struct('st', if(_x[i].kind = 0, greatest(a.st, _x[i].e), a.st), 'out', if(_x[i].kind = 3 and _x[i].s >= a.st, concat(a.out, array(_x[i])), a.out))", SPAN)
     own = [F.col("row")[c].alias(c) for c in docs.columns if c != "spans"]
-    return found.select(*own, F.array_sort(F.concat("_assign", "_access", "_hex", alone)).alias("spans"))
+    return found.select(*own, F.array_sort(F.concat("_assign", "_access", "_hex", F.expr(alone))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -135,24 +210,28 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, ratios: list[float], settings: Settings = Settings()) -> DataFrame:
+def _piece(a: str, b: str) -> str:
+    """SQL for the characters from ``a`` to before ``b`` of a text that stands in ``_b`` as pieces of PIECE characters."""
+    first, last = f"cast({a} div {PIECE} as int)", f"cast(({b} - 1) div {PIECE} as int)"
+    within = f"substring(_b[{first}], {a} % {PIECE} + 1, {b} - {a})"
+    over = f"concat(substring(_b[{first}], {a} % {PIECE} + 1, {PIECE}), array_join(slice(_b, {first} + 2, {last} - {first} - 1), ''), substring(_b[{last}], 1, ({b} - 1) % {PIECE} + 1))"
+    return f"if({a} >= {b}, '', if({first} = {last}, {within}, {over}))"
+
+
+def redact(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by the mark; a keyword and its sign stay, its value goes.
 
-    Texts without secrets, null included, stay as they are. The pieces between the spans are put together
-    again in one pass over the text's characters.
+    Texts without secrets, null included, stay as they are. A text with secrets is cut once into pieces of a fixed length, from which the
+    parts between the secrets are taken, so the work is linear in the text and in its secrets.
     """
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-
-    def value(x: Column) -> Column:
-        held = F.regexp_extract(F.substr(F.col("text"), x["s"] + 1, x["e"] - x["s"]), ASSIGN, 2)
-        return F.struct(F.when(x["kind"] == 0, x["e"] - F.length(held)).otherwise(x["s"]).alias("s"), x["e"].alias("e"))
-
-    merged = F.expr(
-        "aggregate(array_sort(vals), named_struct('upto', 0, 'out', cast(array() as array<string>)), (a, x) -> "
-        "if(x.e <= a.upto, a, named_struct('upto', x.e, 'out', concat(a.out, if(x.s < a.upto, array(), "
-        f"array(substring(text, a.upto + 1, x.s - a.upto), '{settings.mark}'))))), "
-        "a -> concat(array_join(a.out, ''), substring(text, a.upto + 1, length(text) - a.upto)))"
-    )
-    found = find(packed, ratios, settings).withColumn("vals", F.when(F.size("spans") > 0, F.transform("spans", value)))
+    found = find(packed, model, settings).withColumn("_b", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    # Of an assignment only the value goes.
+    value = f"length(regexp_extract({_piece('x.s', 'x.e')}, _assignment, 2))"
+    found = found.withColumn("_assignment", F.lit(ASSIGN))
+    found = found.withColumn("_v", F.when(F.size("spans") > 0, F.array_sort(F.expr(f"transform(spans, x -> named_struct('s', if(x.kind = 0, x.e - {value}, x.s), 'e', x.e))"))))
+    part = f"if(_v[i].s < a.st, cast(array() as array<string>), array({_piece('a.st', '_v[i].s')}, '{settings.mark}'))"
+    step = f"named_struct('st', greatest(a.st, _v[i].e), 'out', if(_v[i].e <= a.st, a.out, concat(a.out, {part})))"
+    merged = F.expr(_fold("size(_v)", "0", step, "string", f"concat(array_join(flatten(o.out), ''), {_piece('o.st', 'length(text)')})"))
     text = F.when(F.size("spans") > 0, merged).otherwise(F.col("text"))
     return found.select(*[text.alias("text") if c == "text" else F.col("whole")[c].alias(c) for c in docs.columns])
