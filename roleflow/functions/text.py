@@ -168,16 +168,36 @@ def is_marketing_page(text: Column) -> Column:
 def _banner_end(text: Column) -> Column:
     """Where a consent banner at the top ends, in characters; null without one.
 
-    The banner opens within the head of the text, with little before it, and goes on as long as another consent word follows
-    within the gap; it ends with the line if that is near.
+    The banner opens within the head of the text, with little before it, and goes on as long as another consent word ends
+    within the gap; it ends with the paragraph or else the line if that is near. The words and what stands between them
+    give their places, and one fold over these numbers follows the banner, so the work is linear in the text.
     """
     head = F.substring(text, 1, COOKIE_HEAD)
     opening = F.regexp_instr(head, F.lit(f"(?i){COOKIE_BANNER}"))
-    chain = rf"(?is)^.{{0,{COOKIE_HEAD}}}?(?:{COOKIE_BANNER})(?:.{{0,{COOKIE_GAP}}}?(?:{COOKIE_WORD}))*"
-    end = F.length(F.regexp_extract(text, chain, 0))
-    line = F.locate("\n", F.substr(text, end + 1, F.lit(300)))
     before = F.length(_stripped(F.substr(text, F.lit(1), F.greatest(opening - 1, F.lit(0)))))
-    return F.when((opening > 0) & (before < COOKIE_REST), F.when(line > 0, end + line - 1).otherwise(end))
+    first = opening - 1 + F.length(F.regexp_extract(head, f"(?i){COOKIE_BANNER}", 0))
+    word = f"(?i){COOKIE_WORD}"
+    sizes = F.arrays_zip(
+        F.transform(F.split(text, word, -1), F.length).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.length).alias("word")
+    )
+    # ``at`` is where the last word looked at ends, ``upto`` where the banner ends so far.
+    start = F.struct(F.lit(0).alias("at"), first.alias("upto"), F.lit(True).alias("on"))
+
+    def follow(a: Column, x: Column) -> Column:
+        begin, end = a["at"] + x["gap"], a["at"] + x["gap"] + F.coalesce(x["word"], F.lit(0))
+        later = x["word"].isNotNull() & (begin >= a["upto"])
+        near = later & a["on"] & (end <= a["upto"] + COOKIE_GAP)
+        return F.struct(end.alias("at"), F.when(near, end).otherwise(a["upto"]).alias("upto"), (a["on"] & (near | ~later)).alias("on"))
+
+    end = F.aggregate(sizes, start, follow, lambda a: a["upto"])
+    return F.when((opening > 0) & (before < COOKIE_REST), _to_break(text, end))
+
+
+def _to_break(text: Column, end: Column) -> Column:
+    """``end`` moved to the paragraph's end, or else the line's, if that is less than 300 characters away."""
+    near = F.substr(text, end + 1, F.lit(301))
+    paragraph, line = F.locate("\n\n", near), F.locate("\n", near)
+    return F.when((paragraph > 0) & (paragraph <= 300), end + paragraph - 1).when((line > 0) & (line <= 300), end + line - 1).otherwise(end)
 
 
 def is_cookie_boilerplate(text: Column) -> Column:

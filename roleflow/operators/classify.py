@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roleflow import vocabulary as V
@@ -47,12 +46,12 @@ def group_reasons(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     The group takes the category of its longest text; places exclude a group only if they exclude each of its rows. Only undecided
     rows keep a reason.
     """
-    w = W.partitionBy(*keys)
-    first = F.max_by("category", F.struct(F.col("n"), -F.col("id"))).over(w)
-    all_geo = F.min(F.col("category") == "delete_geo").over(w)
-    marked = rows.withColumn("_first", first).withColumn("_geo", all_geo)
+    rolled = rows.groupBy(*keys).agg(F.max_by("category", F.struct(F.col("n"), -F.col("id"))).alias("_first"), F.min(F.col("category") == "delete_geo").alias("_geo"))
     group = F.when(F.col("_first") == "delete_geo", F.when(F.col("_geo"), F.col("_first"))).when(F.col("_first").startswith("delete_"), F.col("_first"))
-    return marked.withColumn("reason", F.when(F.col("status") == "unseen", group)).drop("_first", "_geo")
+    reasons = rolled.select(*[F.col(k).alias(f"_{k}") for k in keys], group.alias("_reason"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = rows.join(reasons, on, "left")
+    return joined.withColumn("reason", F.when(F.col("status") == "unseen", F.col("_reason"))).drop("_reason", *[f"_{k}" for k in keys])
 
 
 def stamp(rows: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -80,8 +79,7 @@ def judge_queue(rows: DataFrame, top: int) -> DataFrame:
     return open_rows.withColumn("ask", asked).orderBy(F.col("board").isNull(), "first_seen", "id").limit(top)
 
 
-def escalations(groups: DataFrame, scores: DataFrame, least: int, strong: str) -> DataFrame:
-    """Groups of ``group, member_ids`` whose best member reaches ``least`` and that the strong model has not scored."""
-    members = groups.select("group", F.explode("member_ids").alias("id")).join(scores, "id")
-    rolled = members.groupBy("group").agg(F.max("score").alias("best"), F.max(F.col("scored_by") == strong).alias("done"))
+def escalations(rows: DataFrame, group: str, least: int, strong: str) -> DataFrame:
+    """Groups of rows ``group, score, scored_by`` whose best member reaches ``least`` and that the strong model has not scored."""
+    rolled = rows.groupBy(F.col(group).alias("group")).agg(F.max("score").alias("best"), F.max(F.col("scored_by") == strong).alias("done"))
     return rolled.where((F.col("best") >= least) & ~F.coalesce("done", F.lit(False))).select("group", "best")

@@ -9,6 +9,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roleflow import vocabulary as V
+from roleflow.session import cut
+
+
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """``rows`` with ``name``: their place from 1 in a total order, which no task sees as a whole.
+
+    Rows are dealt by ranges of the order and written once, so that the ranges stay what they are; a place is that inside
+    the range and the rows of the ranges before it, of which there is one count each.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    upto = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = dealt.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_in", inside).join(before, "_range").withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")
 
 
 def due_first(rows: DataFrame, as_of: Column, top: int) -> DataFrame:
@@ -23,7 +38,8 @@ def due_first(rows: DataFrame, as_of: Column, top: int) -> DataFrame:
 def round_robin(rows: DataFrame, stratum: Sequence[str], order: Sequence[str], top: int) -> DataFrame:
     """The ``top`` rows that come up when the strata take turns, each in its own order."""
     w = W.partitionBy(*stratum).orderBy(*order)
-    return rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", *stratum).limit(top)
+    # No row can come up after more turns than rows are asked for; the bound lets each task keep its first ones only.
+    return rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= top).orderBy("turn", *stratum).limit(top)
 
 
 def seeds(rows: DataFrame, positive: Column, top: int) -> DataFrame:
@@ -35,7 +51,7 @@ def balanced_seeds(rows: DataFrame, positive: Column, richness: Column, top: int
     """Half of each class by richest content; what one class lacks comes from the other."""
     marked = rows.withColumn("positive", positive).withColumn("rich", richness)
     w = W.partitionBy("positive").orderBy(F.desc("rich"), "id")
-    placed = marked.withColumn("rn", F.row_number().over(w))
+    placed = marked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
     return placed.orderBy(F.col("rn") > top // 2, F.desc("positive"), "rn").limit(top)
 
 
@@ -53,8 +69,12 @@ def today(rows: DataFrame, as_of: Column) -> DataFrame:
         .when((s == "unseen") & (F.col("score") >= V.PROTECT_SCORE), "new")
         .otherwise("rest")
     )
-    w = W.partitionBy("list").orderBy(F.asc_nulls_last("deadline"), F.desc_nulls_last("score"), "id")
-    return rows.withColumn("list", name).withColumn("place", F.row_number().over(w))
+    order = [F.asc("list"), F.asc_nulls_last("deadline"), F.desc_nulls_last("score"), F.asc("id")]
+    placed = numbered(rows.withColumn("list", name), order, "_all")
+    # The lists stand one after the other in that order: a place in a list is the place in all less the lists before.
+    before = W.orderBy("list").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy("list").count().select("list", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_skip"))
+    return placed.join(F.broadcast(sizes), "list").withColumn("place", (F.col("_all") - F.col("_skip")).cast("int")).drop("_all", "_skip")
 
 
 def review_sections(rows: DataFrame, section: str, as_of: Column) -> DataFrame:
@@ -66,8 +86,8 @@ def review_sections(rows: DataFrame, section: str, as_of: Column) -> DataFrame:
 
 
 def batches(rows: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
-    """Rows in order with the number of their batch; the order is global, so ``rows`` is what is to be handed out."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size))
+    """Rows with the number of their batch in a global order that ends with an id."""
+    return numbered(rows, order, "_place").withColumn("batch", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def page(rows: DataFrame, order: Sequence[Column], size: int, number: int) -> DataFrame:
@@ -82,16 +102,18 @@ def audit_sample(rows: DataFrame, sure: Column, score: Column, threshold: int, s
     rest = ~(sure | F.coalesce(score >= threshold, F.lit(False)))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string")))
     marked = rows.withColumn("_rest", rest).withColumn("_key", key)
-    w = W.partitionBy("_rest")
-    placed = marked.withColumn("_r", F.row_number().over(w.orderBy("_key"))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return placed.where(~F.col("_rest") | (F.col("_r") <= F.round(F.col("_n") * share))).drop("_rest", "_key", "_r", "_n")
+    drawn = numbered(marked.where("_rest"), ["_key", "id"], "_place")
+    n = drawn.count()
+    half_up = int(n * share + 0.5)
+    return marked.where("not _rest").unionByName(drawn.where(F.col("_place") <= half_up).drop("_place")).drop("_rest", "_key")
 
 
 def grouped_by_best(rows: DataFrame, key: str) -> DataFrame:
     """Rows with the place of their group by its best score, and their own inside it."""
-    best = F.max("score").over(W.partitionBy(key))
-    with_best = rows.withColumn("best", best)
-    return with_best.withColumn("group_place", F.dense_rank().over(W.orderBy(F.desc_nulls_last("best"), key))).withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc_nulls_last("score"), "id")))
+    groups = rows.groupBy(key).agg(F.max("score").alias("best"))
+    # Only the groups, a row each, are put in one order.
+    ranked = groups.withColumn("group_place", F.row_number().over(W.orderBy(F.desc_nulls_last("best"), key)))
+    return rows.join(ranked, key).withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc_nulls_last("score"), "id")))
 
 
 def applications(rows: DataFrame, key: Sequence[str], as_of: Column) -> DataFrame:

@@ -230,9 +230,10 @@ def tier(alignment: Column, score: Column) -> Column:
 
 def representatives(rows: DataFrame, keys: Sequence[str], text: str = "description") -> DataFrame:
     """One row of each group: one with a description, then the longest, then the smallest id."""
-    has = F.length(F.coalesce(F.col(text), F.lit(""))) > 0
-    w = W.partitionBy(*keys).orderBy(has.desc(), F.length(text).desc_nulls_last(), "id")
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    # A null or empty text has length 0, so the length says also which rows have one; only keys, lengths and ids are grouped.
+    best = F.max_by("id", F.struct(F.length(F.coalesce(F.col(text), F.lit(""))), -F.col("id"))).alias("id")
+    chosen = rows.groupBy(*keys).agg(best).select("id")
+    return rows.join(chosen, "id", "left_semi")
 
 
 def trim_to_budget(rows: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
@@ -244,6 +245,18 @@ def trim_to_budget(rows: DataFrame, key: str, order: str, text: str, budget: int
     return part.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n").alias("content"))
 
 
+def verdict_histogram(cleaned: DataFrame) -> DataFrame:
+    """Rows of ``verdict, bare`` by verdict: how many, their share in percent, and the characters that are kept."""
+    counted = cleaned.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bare")).alias("chars"))
+    share = F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(W.partitionBy()), 2)
+    return counted.select("verdict", "n", share.alias("share"), "chars")
+
+
+def worst_descriptions(cleaned: DataFrame, top: int) -> DataFrame:
+    """The first ``top`` rejected descriptions by verdict and employer."""
+    return cleaned.where("verdict <> 'ok'").select("id", "org", "verdict").orderBy("verdict", "org", "id").limit(top)
+
+
 def merge_duplicates(rows: DataFrame, key: str) -> DataFrame:
     """Groups of several rows with one key: the survivor, the others, and the fields that it takes from them.
 

@@ -164,7 +164,13 @@ def applications_table(spark, sf):
     return K.applications(rows, ["company_id"], as_of()).select("company_id", "id", "waiting_days")
 
 
-@q()
+@q(
+    """+l AS (SELECT conv_id, text[:2000] AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text[:2000]) AS k FROM conversations),
+r AS (SELECT conv_id, k, line, 0 AS part, length(line) AS n FROM l WHERE k = 1 UNION ALL
+  SELECT l.conv_id, l.k, l.line, CASE WHEN r.n + 1 + length(l.line) <= 2000 THEN r.part ELSE r.part + 1 END, CASE WHEN r.n + 1 + length(l.line) <= 2000 THEN r.n + 1 + length(l.line) ELSE length(l.line) END
+  FROM r JOIN l ON l.conv_id = r.conv_id AND l.k = r.k + 1)
+SELECT conv_id, CAST(part AS INT) AS part, string_agg(line, chr(10) ORDER BY k) AS text FROM r GROUP BY conv_id, part""".replace("+l", "WITH RECURSIVE l", 1)
+)
 def message_parts(spark, sf):
     return K.pack(table(spark, sf, "conversations"), "conv_id", "turn", "text", 2000)
 

@@ -90,9 +90,8 @@ def judge_queue(spark, sf):
 )
 def escalations(spark, sf):
     v = bound(spark, sf, "vacancy")
-    groups = v.groupBy(F.col("company_id").alias("group")).agg(F.collect_list("id").alias("member_ids"))
-    scores = v.select("id", "score", F.when(F.col("id") % 29 == 0, "strong").otherwise("light").alias("scored_by"))
-    return C.escalations(groups, scores, 95, "strong")
+    scored = v.withColumn("scored_by", F.when(F.col("id") % 29 == 0, "strong").otherwise("light"))
+    return C.escalations(scored, "company_id", 95, "strong")
 
 
 @q(

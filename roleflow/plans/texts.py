@@ -8,6 +8,7 @@ from roleflow import vocabulary as V
 from roleflow.functions import keys as K
 from roleflow.functions import text as T
 from roleflow.operators import resolve as R
+from roleflow.operators import rollups as G
 from roleflow.operators import screening as S
 from roleflow.plans.bindings import AS_OF, Registry, bound
 from roleflow.session import table
@@ -38,18 +39,30 @@ def _html(column: str) -> str:
     return t
 
 
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _junk(t: str) -> dict[str, str]:
+    """The page tests in SQL over the text ``t``."""
+    posting = f"regexp_matches({t}, '(?i){_quoted(T.POSTING)}')"
+    labels = f"len(list_distinct(list_transform(regexp_extract_all({t}, '(?i){_quoted(T.NAVIGATION)}'), lambda x: lower(x))))"
+    marketing = " + ".join(f"regexp_matches({t}, '(?i){_quoted(m)}')::INT" for m in T.MARKETING)
+    return {
+        "error_page": f"length({t}) <= {T.ERROR_MOST} AND regexp_matches({t}[:{T.ERROR_HEAD}], '(?i){_quoted(T.ERROR_PAGE)}')",
+        "navigation": f"CASE WHEN length({t}) <= {T.NAVIGATION_MOST} THEN {_count(t, T.NAVIGATION)} >= {T.NAVIGATION_SHORT} ELSE {labels} >= {T.NAVIGATION_LONG} AND NOT {posting} END",
+        "script": f"{_count(t, T.SCRIPT)} >= {T.SCRIPT_LEAST}",
+        "marketing": f"({marketing}) >= 2 AND {_count(t, T.POSTING)} <= 1",
+    }
+
+
 @q(f"SELECT id, {_count('description', T.NAVIGATION)} AS navigation, {_count('description', T.POSTING)} AS posting, {_count('description', T.COOKIE_WORD)} AS consent, {_count('description', T.SCRIPT)} AS script FROM posting", "posting")
 def marker_counts(spark, sf):
     d = F.col("description")
     return bound(spark, sf, "posting").select("id", T.count_of(d, T.NAVIGATION).alias("navigation"), T.count_of(d, T.POSTING).alias("posting"), T.count_of(d, T.COOKIE_WORD).alias("consent"), T.count_of(d, T.SCRIPT).alias("script"))
 
 
-@q(
-    f"""+p AS (SELECT page_id, {_html('html')} AS t FROM pages)
-SELECT page_id, length(t) <= 1200 AND regexp_matches(t[:600], '(?i){_quoted(T.ERROR_PAGE)}') AS error_page,
-CASE WHEN length(t) <= 600 THEN {_count('t', T.NAVIGATION)} >= 6 ELSE len(list_distinct(list_transform(regexp_extract_all(t, '(?i){_quoted(T.NAVIGATION)}'), lambda x: lower(x)))) >= 4 AND NOT regexp_matches(t, '(?i){_quoted(T.POSTING)}') END AS navigation,
-{_count('t', T.SCRIPT)} >= 3 AS script, ({' + '.join(f"regexp_matches(t, '(?i){_quoted(m)}')::INT" for m in T.MARKETING)}) >= 2 AND {_count('t', T.POSTING)} <= 1 AS marketing FROM p""".replace("+p", "WITH p", 1)
-)
+@q(f"WITH p AS (SELECT page_id, {_html('html')} AS t FROM pages) SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _junk('t').items())} FROM p")
 def page_junk_flags(spark, sf):
     t = F.col("t")
     pages = table(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html")).alias("t"))
@@ -93,11 +106,45 @@ def not_a_vacancy_signals(spark, sf):
     return bound(spark, sf, "posting").agg(*[F.count_if(t.rlike(f"(?i){p}")).alias(k) for k, p in (("offering", T.OFFERING), ("role", T.ROLE_NOUN), ("test", T.TEST_POSTING))])
 
 
-@q()
+#: Descriptions with what a fetched page adds to them, by the length of the text; both engines read it alike.
+_SHOWN = """CASE length(description) % 9
+WHEN 0 THEN concat('We use cookies. ', repeat('cookie policy and consent text here ', 40), description) WHEN 1 THEN concat('<p>', description, '</p><ul><li>one</li></ul>')
+WHEN 2 THEN concat('home about us contact us menu login careers ', substring(description, 1, 100)) WHEN 3 THEN concat('404 not found ', substring(description, 1, 200))
+WHEN 4 THEN concat(description, ' jQuery( jQuery( jQuery(') WHEN 5 THEN concat('Featured insights. Latest news. ', description) WHEN 6 THEN substring(description, 1, 60)
+WHEN 7 THEN concat(description, ' This site uses cookies to improve.') ELSE description END"""
+
+
+def _verdicts() -> str:
+    """clean_description in SQL: ``id, org, t, bare, verdict`` of the shown descriptions."""
+    banner, word, j = f"(?i)(?:{_quoted(T.COOKIE_BANNER)})", f"(?i)(?:{T.COOKIE_WORD})", _junk("t")
+    return f"""+s0 AS (SELECT id, org, {_SHOWN} AS d FROM posting),
+s1 AS (SELECT id, org, CASE WHEN regexp_matches(d, '(?i)<\\s*/?\\s*(?:br|p|div|li|ul|ol|h[1-6]|span|strong|em|b|i)\\b[^>]*>') THEN {_html('d')} ELSE {_strip('d')} END AS t FROM s0),
+s2 AS (SELECT *, regexp_matches(t[:{T.COOKIE_HEAD}], '{banner}') AS has, length(regexp_extract(t[:{T.COOKIE_HEAD}], '(?s)^(.*?){banner}', 1)) AS opening, length(regexp_extract(t[:{T.COOKIE_HEAD}], '{banner}')) AS n,
+  list_transform(regexp_split_to_array(t, '{word}'), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(t, '{word}'), lambda x: length(x)) AS ws FROM s1),
+s3 AS (SELECT *, opening + n AS first, list_transform(range(1, len(ws) + 1), lambda i: struct_pack(b := list_sum(gaps[:i]) + coalesce(list_sum(ws[:i - 1]), 0), e := list_sum(gaps[:i]) + list_sum(ws[:i]))) AS places FROM s2),
+s4 AS (SELECT *, list_transform(list_filter(places, lambda x: x.b >= first), lambda x: x.e) AS ends FROM s3),
+s5 AS (SELECT *, list_concat([first], ends) AS stops, list_min(list_filter(range(1, len(ends) + 1), lambda i: ends[i] - list_concat([first], ends)[i] > {T.COOKIE_GAP})) AS gap FROM s4),
+s6 AS (SELECT *, CASE WHEN has AND length({_strip('substring(t, 1, opening)')}) < {T.COOKIE_REST} THEN CASE WHEN gap IS NULL THEN stops[len(stops)] ELSE stops[gap] END END AS stop FROM s5),
+s7 AS (SELECT *, instr(substring(t, stop + 1, 301), chr(10) || chr(10)) AS pa, instr(substring(t, stop + 1, 301), chr(10)) AS li FROM s6),
+s8 AS (SELECT *, CASE WHEN pa BETWEEN 1 AND 300 THEN stop + pa - 1 WHEN li BETWEEN 1 AND 300 THEN stop + li - 1 ELSE stop END AS upto FROM s7),
+s9 AS (SELECT *, CASE WHEN upto IS NOT NULL THEN {_strip('substring(t, upto + 1)')} WHEN regexp_matches(t, '{banner}') THEN regexp_replace(regexp_extract(t, '(?s)^(.*?){banner}', 1), '\\s+$', '') ELSE t END AS bare FROM s8),
+v AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN upto IS NOT NULL AND length(bare) < {T.COOKIE_REST} THEN 'cookie_wall' WHEN {j['error_page']} THEN 'error_page' WHEN ({j['navigation']}) OR {j['script']} THEN 'nav_junk'
+  WHEN {j['marketing']} THEN 'marketing_page' WHEN length(bare) < {T.DESCRIPTION_LEAST} THEN 'too_short' ELSE 'ok' END AS verdict FROM s9)"""
+
+
+def _cleaned(spark, sf):
+    return bound(spark, sf, "posting").select("id", "org", T.clean_description(F.expr(_SHOWN)).alias("c")).select("id", "org", F.col("c.text").alias("bare"), "c.verdict")
+
+
+@q(f"{_verdicts()} SELECT verdict, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS share, CAST(sum(CASE WHEN verdict = 'ok' THEN length(bare) END) AS BIGINT) AS chars FROM v GROUP BY verdict", "posting")
 def description_verdicts(spark, sf):
     """Histogram of the quality verdict with its share, over all descriptions."""
-    verdicts = bound(spark, sf, "posting").groupBy(T.clean_description(F.col("description"))["verdict"].alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-    return verdicts
+    return G.verdict_histogram(_cleaned(spark, sf))
+
+
+@q(f"{_verdicts()} SELECT id, org, verdict FROM v WHERE verdict <> 'ok' ORDER BY verdict, org, id LIMIT 10", "posting")
+def description_worst(spark, sf):
+    return G.worst_descriptions(_cleaned(spark, sf), 10)
 
 
 @q(

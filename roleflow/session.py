@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own, or a temporary one where none is set (tests)."""
+    """The shared folder for checkpoints: the cluster's own, or a temporary one where none is set on a single machine (tests).
+
+    A cluster without ``spark.checkpoint.dir`` is an error: executors do not see a folder that the driver makes for itself.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roleflow-")
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="roleflow-")
     sc.setCheckpointDir(folder)
     return folder
 
@@ -32,15 +39,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like :func:`cut`, as a compressed table: for many narrow rows it takes a fraction of the space.
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, whatever kind of store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Compressed tables in the checkpoint folder, for many narrow rows: they take a fraction of a checkpoint's space.
 
-    The table stays in the checkpoint folder for as long as that does.
+    They are there as long as the ``with`` block lasts, so a frame that leaves it must have been :func:`cut` from them.
     """
-    spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def put(self, df: DataFrame) -> DataFrame:
+        folder = f"{ensure_checkpoint_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        self.folders.append(folder)
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def __exit__(self, *_: object) -> None:
+        for folder in self.folders:
+            remove(self.spark, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -146,7 +146,8 @@ def search_index(spark, path, org):
 def incomplete_runs(spark: SparkSession, path: str) -> DataFrame:
     """Hits seen against hits that the index advertised: ``advertised, observed, complete``."""
     rows = _json(spark, path, "nbHits bigint, hits array<struct<objectID:string>>")
-    seen = rows.agg(F.max("nbHits").alias("advertised"), F.size(F.array_distinct(F.flatten(F.collect_list("hits.objectID")))).alias("observed"))
+    spread = rows.select("nbHits", F.explode_outer("hits.objectID").alias("hit"))
+    seen = spread.agg(F.max("nbHits").alias("advertised"), F.count_distinct("hit").alias("observed"))
     return seen.withColumn("complete", F.col("observed") >= F.col("advertised"))
 
 
