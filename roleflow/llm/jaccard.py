@@ -16,22 +16,22 @@ from pyspark.sql import functions as F
 
 from roleflow.llm._common import CHUNK, LOWER, U64, batches, mix64, pieces, prefix_hash, substring_hash, utf8, words
 from roleflow.operators.graph import connected_components
-from roleflow.session import cut, stored
+from roleflow.session import Scratch, cut
 
 #: Words of 64 bits in a sketch of a set.
 SKETCH = 16
 #: Texts whose signatures a task remembers not to give twice.
 SEEN = 1 << 18
-#: What a signature's last bits hold: its part, the spare parts its set has left, and which of two bands it is for.
-PARTS, SPARE = 1 << 11, 15
-LEFT = SPARE << 1
+#: What a signature's last bits hold: its part, how many parts of its set have an empty signature, and which of two bands it is for.
+#: The number is UNCOUNTED for a set of more parts than are told apart, and KEPT for one that keeps its empty signatures.
+PARTS, EMPTY, UNCOUNTED, KEPT = 1 << 13, 255, 254, 255
 
 
 @dataclass(frozen=True)
 class Settings:
     """Two sets link if 100 * intersection >= ``percent`` * union; ``cells`` a part, of which one may differ.
 
-    A signature that more than ``hot`` different sets share counts only for a set that has more such parts than spare ones.
+    A signature that more than ``hot`` different sets share counts only for a set whose spare parts are fewer than its crowded and empty ones.
     """
 
     shingle: int = 3
@@ -71,7 +71,7 @@ def _names(found: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(found: np.ndarray) -> np.ndarray:
-    """Parities of the set's elements in 512 cells: two sets differ in at least as many elements as sketches in bits."""
+    """Parities of the set's elements in 64 * SKETCH cells: two sets differ in at least as many elements as sketches in bits."""
     cell = (mix64(found ^ U64(0xA4093822299F31D0)) & U64(SKETCH * 64 - 1)).astype(np.int64)
     bits = np.bincount(cell, minlength=SKETCH * 64).astype(np.uint8) & 1
     return np.packbits(bits).view(np.int64)
@@ -100,15 +100,15 @@ def _plan(band: int, percent: int, cells: int) -> tuple[int, int, int, int]:
     if k <= 4:
         return 1, k + 3, 3, 0
     parts = k // 2 + 1
-    spare = min(max(3, parts // 6), SPARE)
+    spare = min(max(3, parts // 6), UNCOUNTED - 1)
     return parts + spare, cells, cells - 1, spare
 
 
 def _signatures(found: np.ndarray, s: Settings) -> np.ndarray:
     """Signatures of a set for its band with the next and for the one before.
 
-    The last bit tells the two apart; before it stand the spare parts that are left, which is no part of the name, and
-    the part. Signatures without elements are left out while no more parts than the spare ones have such.
+    The last bit tells the two apart; before it stands the number of parts with a signature without elements, which is no part of the
+    name, and before that the part. Signatures without elements are left out while no more parts than the spare ones have such.
     """
     band = next(i for i, (_, high) in enumerate(_bands(s.percent)) if len(found) <= high)
     out = []
@@ -130,11 +130,12 @@ def _signatures(found: np.ndarray, s: Settings) -> np.ndarray:
             value, some = sums[:, chosen].sum(axis=2, dtype=U64), count[:, chosen].sum(axis=2) > 0
         part = np.arange(parts, dtype=U64)[:, None]
         salt = (part << U64(32)) + np.arange(value.shape[1], dtype=U64) + U64(j << 16)
-        value = mix64(value + salt * U64(0x9E3779B97F4A7C15)) & ~U64(0xFFFF) | (part % U64(PARTS)) << U64(5) | U64(j & 1)
+        value = mix64(value + salt * U64(0x9E3779B97F4A7C15)) & ~U64((1 << 22) - 1) | (part % U64(PARTS)) << U64(9) | U64(j & 1)
         empty = int((~some.all(axis=1)).sum())
+        told = KEPT
         if empty <= spare:
-            value, spare = value[some], spare - empty
-        out.append(value.ravel() | U64(spare if parts < PARTS else 0) << U64(1))
+            value, told = value[some], empty
+        out.append(value.ravel() | U64(told if parts <= PARTS else UNCOUNTED) << U64(1))
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
@@ -146,7 +147,7 @@ def _sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray
 
 
 def _classes(s: Settings):
-    """mapInArrow: of each document its set's size and name, with a sketch."""
+    """mapInArrow: of each document its text's mark, its set's size and name, and a sketch."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, f1, f2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
@@ -156,7 +157,7 @@ def _classes(s: Settings):
             f1[row], f2[row] = _names(found)
             sketch[row] = _sketch(found)
         cells = pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, SKETCH, dtype=np.int32)), pa.array(sketch.ravel()))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": n, "f1": f1, "f2": f2, "sketch": cells})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "n": n, "f1": f1, "f2": f2, "sketch": cells})
 
     return batches(run)
 
@@ -187,16 +188,36 @@ def _signed(s: Settings):
     return run
 
 
+def _spares(s: Settings) -> Column:
+    """The spare parts of a set of ``n`` elements in its band (turn 0 or 1, as the band is even or odd) or in the one before."""
+    highs = [high for _, high in _bands(s.percent)]
+    spare = F.array(*[F.lit(_plan(j, s.percent, s.cells)[3]) for j in range(len(highs))])
+    band = F.size(F.filter(F.array(*[F.lit(h) for h in highs]), lambda h: h < F.col("n")))
+    return F.get(spare, band - F.pmod(band - F.col("turn"), F.lit(2)))
+
+
+def _need(a: str, b: str) -> Column:
+    """Signatures of one turn that two sets share if they link, of those that both keep.
+
+    More parts than the spare ones agree. Of these, no more are lost than both sets have empty ones, if one leaves them out, and than both have
+    crowded ones, if one passes over them; who passes over has enough spare parts for both, so one is left.
+    """
+    empty = F.expr(f"if(least({a}.empty, {b}.empty) >= {UNCOUNTED}, 0, least({a}.empty, {b}.empty))")
+    crowded = F.expr(f"if({a}.passes or {b}.passes, least({a}.full, {b}.full), 0)")
+    bound = F.greatest(F.col(f"{a}.spare") + 1 - empty - crowded, F.lit(1))
+    return F.when(F.expr(f"{a}.empty = {UNCOUNTED} or {b}.empty = {UNCOUNTED}"), F.lit(1)).otherwise(bound)
+
+
 def _set_rows(s: Settings):
-    """mapInArrow: (id, set) of the documents whose set has the name that is asked for."""
+    """mapInArrow: (f1, set) of the texts whose set has the name that is asked for."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, asked, out_id, out = batch.column("doc_id").to_pylist(), batch.column("f1").to_pylist(), [], []
+        asked, names, out = batch.column("f1").to_pylist(), [], []
         for row, found in _sets_of(batch, s.shingle):
             if _names(found)[0] == asked[row]:
-                out_id.append(ids[row])
+                names.append(asked[row])
                 out.append(found.view(np.int64))
-        yield pa.RecordBatch.from_pydict({"id": pa.array(out_id, batch.column("doc_id").type), "set": pa.array(out, pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({"f1": pa.array(names, pa.int64()), "set": pa.array(out, pa.list_(pa.int64()))})
 
     return batches(run)
 
@@ -210,81 +231,106 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose sets link: by size and sketch first, then by the sets themselves."""
+    """The pairs (a, b) of names whose sets link: by size and sketch first, then by the sets themselves."""
     near = pairs
     for side in "ab":
-        near = near.join(classes.select(F.col("id").alias(side), F.struct("n", "sketch").alias(f"_{side}")), side)
+        near = near.join(classes.select(F.col("f1").alias(side), F.struct("n", "sketch").alias(f"_{side}")), side)
     near = cut(near.where(_near("_a", "_b", s.percent)).select("a", "b"))
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "f1"), "id")
-    texts = docs.join(ids.select(F.col("id").alias("doc_id"), "f1"), "doc_id")
-    sets = texts.mapInArrow(_set_rows(s), f"id {docs.schema['doc_id'].dataType.simpleString()}, set array<bigint>")
-    sets = cut(sets.dropDuplicates(["id"]))
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    asked = near.select(F.explode(F.array("a", "b")).alias("f1")).distinct().join(classes.select("id", "f1"), "f1")
+    texts = docs.join(asked.withColumnRenamed("id", "doc_id"), "doc_id")
+    # A doc_id may stand for several texts; only the one with the name is the class's.
+    sets = cut(texts.mapInArrow(_set_rows(s), "f1 bigint, set array<bigint>").dropDuplicates(["f1"]))
+    left, right = sets.select(F.col("f1").alias("a"), F.col("set").alias("x")), sets.select(F.col("f1").alias("b"), F.col("set").alias("y"))
     both = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(f"100 * common >= {s.percent} * (size(x) + size(y) - common)").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
-
-    Links are exact and none is lost. Equal sets are one class before anything is compared, so copies cost nothing.
-    Classes that share a signature are candidates: first each with the one of its bucket that
-    shares most signatures; what these links leave apart is then compared across the
-    parts, never inside one. Candidates are compared on whole sets. A text without words, null included, has
-    no shingle and links with nothing; a row without doc_id links with nothing and has no component; rows of one doc_id
-    and different texts are one node.
-    """
-    s = settings
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
-    named = cut(docs.mapInArrow(_classes(s), f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, sketch array<bigint>"))
-    known = named.where("n > 0 and doc_id is not null")
-    classes = cut(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
-
+def _members(docs: DataFrame, classes: DataFrame, s: Settings, tables: Scratch) -> DataFrame:
+    """``sig, turn, f1, empty, full, passes, spare``: the signatures that several sets share, for the sets that need them."""
     signed = docs.where("text is not null and doc_id is not null").mapInArrow(_signed(s), "sig bigint, f1 bigint")
-    # The spare parts in a signature are no part of its name.
-    signed = signed.select((F.col("sig").bitwiseAND(~LEFT)).alias("sig"), F.shiftright("sig", 1).bitwiseAND(SPARE).alias("left"), "f1")
+    told = F.shiftright("sig", 1).bitwiseAND(EMPTY).cast("short").alias("empty")
+    signed = signed.select(F.col("sig").bitwiseAND(~(EMPTY << 1)).alias("sig"), told, "f1")
     over = W.partitionBy("sig")
     shared = signed.select("*", F.min("f1").over(over).alias("low"), F.max("f1").over(over).alias("high")).where("low < high")
-    shared = shared.select("sig", "left", "f1").distinct()
-    shared = stored(shared.withColumn("size", F.count(F.lit(1)).over(over)))
-    # A signature that too many share is needed only by a set that has no spare part left.
-    crowded = F.when(F.col("size") > s.hot, F.shiftright("sig", 5).bitwiseAND(PARTS - 1))
-    full = shared.groupBy("f1", F.col("sig").bitwiseAND(1).alias("turn")).agg(F.count_distinct(crowded).alias("full"))
-    joined = shared.withColumn("turn", F.col("sig").bitwiseAND(1)).join(full, ["f1", "turn"])
-    # Two sets that link share more signatures of one turn than either has spare parts left. One that passes over its crowded parts
-    # hides them from the other too, so of the two numbers the smaller is sure.
-    need = F.when(F.col("full") > F.col("left"), F.col("left")).otherwise(F.col("left") - F.col("full")) + 1
-    needed = joined.where(f"size <= {s.hot} or full > left").select("sig", "turn", "f1", "size", need.alias("need"))
-    members = stored(needed.join(classes.select("f1", "id"), "f1").select("sig", "turn", "id", "size", "need"))
-
-    weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    heads = members.join(weights, "id").groupBy("sig").agg(F.max(F.struct("weight", "id"))["id"].alias("head"))
-    tried = members.join(heads, "sig").where("id <> head").groupBy("id", "head", "turn").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need")
-    links = cut(_verified(tried.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), docs, classes, s))
+    shared = shared.select("sig", "empty", "f1").distinct()
+    shared = tables.put(shared.withColumn("size", F.count(F.lit(1)).over(over)))
+    # A signature that too many share is needed only by a set whose spare parts do not make up for such parts.
+    turn = F.col("sig").bitwiseAND(1).cast("int").alias("turn")
+    part = F.when(F.col("size") > s.hot, F.shiftright("sig", 9).bitwiseAND(PARTS - 1))
+    full = shared.groupBy("f1", turn).agg(F.count_distinct(part).cast("int").alias("full"), F.first("empty").alias("empty"))
+    full = full.join(classes.select("f1", "n"), "f1").withColumn("spare", _spares(s))
+    full = full.select("f1", "turn", "full", "spare", ((F.col("empty") < UNCOUNTED) & (F.col("full") <= F.col("spare") - F.col("empty"))).alias("passes"))
+    joined = shared.withColumn("turn", turn).join(full, ["f1", "turn"]).where(f"size <= {s.hot} or not passes")
+    return tables.put(joined.select("sig", "turn", "f1", "size", "empty", "full", "passes", "spare"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, s: Settings, tables: Scratch) -> DataFrame:
+    """Links (src, dst) between names that join all that is linked; see :func:`groups`."""
+    members = _members(docs, classes, s, tables)
+    state = F.struct("f1", "empty", "full", "passes", "spare")
+    weights = members.groupBy("f1").agg(F.sum("size").alias("weight"))
+    heads = members.join(weights, "f1").groupBy("sig").agg(F.max(F.struct("weight", "f1", "empty", "full", "passes", "spare")).alias("h"))
+    met = members.select("sig", "turn", state.alias("m")).join(heads, "sig").where("m.f1 <> h.f1")
+    met = met.select(F.col("m.f1").alias("f1"), F.col("h.f1").alias("head"), "turn", _need("m", "h").alias("need"))
+    tried = met.groupBy("f1", "head", "turn").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need")
+    links = cut(_verified(tried.select(F.least("f1", "head").alias("a"), F.greatest("f1", "head").alias("b")).distinct(), docs, classes, s))
     found = connected_components(links)
 
     # What is still apart inside a bucket, against the bucket's other components.
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    main = placed.join(heads, "sig").where("id = head").select("sig", F.col("component").alias("main"))
+    placed = members.join(found.withColumnRenamed("node", "f1"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
+    main = placed.join(heads.select("sig", F.col("h.f1").alias("head")), "sig").where("f1 = head").select("sig", F.col("component").alias("main"))
     mixed = placed.join(main, "sig").groupBy("sig", "main").agg(F.max(F.col("component") != F.col("main")).alias("apart")).where("apart")
-    placed = placed.join(mixed.select("sig", "main"), "sig").join(classes.select("id", "n", "sketch"), "id")
-    placed = stored(placed.select("sig", "turn", "id", "n", "need", "component", "main", "sketch"))
+    placed = placed.join(mixed.select("sig", "main"), "sig").join(classes.select("f1", "n", "sketch"), "f1")
+    placed = tables.put(placed.select("sig", "turn", "f1", "n", "empty", "full", "passes", "spare", "component", "main", "sketch"))
     m, h = placed.where("component <> main").alias("m"), placed.alias("h")
     across = (
         (F.col("m.sig") == F.col("h.sig"))
         & (F.col("m.component") != F.col("h.component"))
-        & ((F.col("h.component") == F.col("h.main")) | (F.col("m.id") < F.col("h.id")))
+        & ((F.col("h.component") == F.col("h.main")) | (F.col("m.f1") < F.col("h.f1")))
         & _near("m", "h", s.percent)
     )
-    both = m.join(h, across).select(F.least("m.id", "h.id").alias("a"), F.greatest("m.id", "h.id").alias("b"), "m.turn", F.least("m.need", "h.need").alias("need"))
+    both = m.join(h, across).select(F.least("m.f1", "h.f1").alias("a"), F.greatest("m.f1", "h.f1").alias("b"), "m.turn", _need("m", "h").alias("need"))
     rest = both.groupBy("a", "b", "turn").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("shared >= need")
-    rest = cut(rest.select("a", "b").distinct())
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, docs, classes, s))
+    return links.unionByName(_verified(cut(rest.select("a", "b").distinct()), docs, classes, s))
+
+
+def _labelled(docs: DataFrame, s: Settings, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, mark, n, f1, f2`` of all documents, and ``n, f1, f2, id, component_id, component_f1`` of their classes.
+
+    A component is named by its class of the smallest doc_id, and by that one's name. With ``by_id`` classes that hold rows of one
+    doc_id are linked by it.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    named = cut(docs.mapInArrow(_classes(s), f"doc_id {kind}, mark bigint, n bigint, f1 bigint, f2 bigint, sketch array<bigint>"))
+    known = named.where("n > 0 and doc_id is not null")
+    classes = cut(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
+    with Scratch(docs.sparkSession) as tables:
+        links = _links(docs, classes, s, tables)
+        if by_id:
+            same = known.groupBy("doc_id").agg(F.min("f1").alias("src"), F.max("f1").alias("last")).where("src < last")
+            same = same.join(known.select("doc_id", F.col("f1").alias("dst")), "doc_id").where("src <> dst")
+            links = links.unionByName(same.select("src", "dst"))
         found = connected_components(links)
-    labelled = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"))
-    joined = named.select("doc_id", "n", "f1", "f2").join(labelled, ["n", "f1", "f2"], "left")
+    with_id = classes.select("f1", "id").join(found.withColumnRenamed("node", "f1"), "f1")
+    first = with_id.groupBy("component").agg(F.min(F.struct("id", "f1")).alias("x")).select("component", F.col("x.id").alias("least_id"), F.col("x.f1").alias("least_f1"))
+    labels = found.join(first, "component").select(F.col("node").alias("f1"), "least_id", "least_f1")
+    joined = classes.join(labels, "f1", "left")
+    return named.drop("sketch"), joined.select("n", "f1", "f2", "id", F.coalesce("least_id", "id").alias("component_id"), F.coalesce("least_f1", "f1").alias("component_f1"))
+
+
+def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
+
+    Links are exact and none is lost. Equal sets are one class before anything is compared, so copies cost nothing.
+    Classes that share a signature are candidates: first each with the one of its bucket that
+    shares most signatures; what these links leave apart is then compared across the
+    parts, never inside one. Candidates are compared on whole sets. A text without words, null included, has
+    no shingle and links with nothing; a row without doc_id links with nothing and has no component; rows of one doc_id
+    and different texts are one node, and each has the number of its own shingles.
+    """
+    named, classes = _labelled(docs, settings, by_id=True)
+    joined = named.join(classes.select("n", "f1", "f2", "component_id"), ["n", "f1", "f2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -292,17 +338,21 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def deduplicate(docs: DataFrame, settings: Settings = Settings(shingle=5, percent=80, cells=2)) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest doc_id; its columns stay.
 
-    Texts without words are in no group and stay, and so does a row without doc_id; of rows with one doc_id in a group
-    of several rows, one stays.
+    Texts without words are in no group and stay, and so does a row without doc_id. A text is judged by itself: rows of one doc_id and
+    different texts are different documents. Of rows that repeat, one stays.
     """
-    found = groups(docs, settings).where("doc_id is not null and n_shingles > 0")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    named, classes = _labelled(docs, settings, by_id=False)
+    rows = named.where("n > 0 and doc_id is not null").join(classes, ["n", "f1", "f2"])
+    stays = (F.col("f1") == F.col("component_f1")) & (F.col("doc_id") == F.col("component_id"))
+    rows = cut(rows.select("doc_id", "mark", stays.alias("stays")))
+    again = rows.where("stays").groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    gone = rows.where("not stays").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    on = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    kept = docs.join(gone, on, "left_anti")
     if again.isEmpty():
         return kept
-    several = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(several)
+    several = kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, on, "left_anti").unionByName(several)
 
 
 #: The same links in SQL over a table ``documents``.

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roleflow.session import stored
+from roleflow.session import Scratch
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A text without any of these, in lower case, holds no assignment.
@@ -128,7 +128,12 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     are made. The driver gets a count for each label and pair, of the fixed alphabet. The threshold is such that of the ordinary
     long runs that were kept out of a first model (a fifth of all, by hash) no more than ``alarms`` pass.
     """
-    runs = stored(samples(docs, settings)).withColumn("held", F.pmod(F.xxhash64("run"), F.lit(5)) == 0)
+    with Scratch(docs.sparkSession) as tables:
+        return _fitted(tables.put(samples(docs, settings)), settings)
+
+
+def _fitted(runs: DataFrame, settings: Settings) -> Model:
+    runs = runs.withColumn("held", F.pmod(F.xxhash64("run"), F.lit(5)) == 0)
     chars = runs.select("label", "held", "count", F.split("run", "").alias("c"))
     pairs = chars.select("label", "held", "count", F.explode(F.expr("arrays_zip(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1))")).alias("p"))
     counts = pairs.groupBy("label", "held", F.col("p.0").alias("a"), F.col("p.1").alias("b")).agg(F.sum("count").alias("n"))
