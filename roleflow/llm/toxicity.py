@@ -15,6 +15,8 @@ from roleflow.session import cut
 
 ORDERS = (3, 4, 5, 6)
 PAD = "\0" * (max(ORDERS) - 1)
+#: Partitions of the bounded sample that the classifier is fitted on: each sends the driver an array for each pass.
+PARTS = 4
 #: Characters that a task looks at together; a longer text is one piece.
 PIECE = 1 << 17
 
@@ -102,7 +104,7 @@ def _sums(packed: DataFrame, buckets: int, weights: np.ndarray | None = None, bi
     """Sums over all documents of what each adds to its buckets, the last cell being that of every document.
 
     Without ``weights`` they are the documents of each label; with them the gradient of the logistic loss, and in an
-    array of one cell the loss itself. The driver gets arrays of fixed size from the 16 partitions at most that :func:`fit` makes.
+    array of one cell the loss itself. The driver gets an array of fixed size from each of the PARTS partitions that :func:`fit` makes.
     """
     low = None if weights is None else weights.astype(np.float32)
 
@@ -177,7 +179,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     With no rows, or rows of one label only, every score is that label's smoothed share.
     """
     s = settings
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).coalesce(16)
+    rows = labelled.select("text", F.col("label").cast("int").alias("label")).coalesce(PARTS)
     packed = cut(rows.mapInArrow(present_of(s.buckets), "label binary, grams binary"))
     neg, pos, _ = _sums(packed, s.buckets)
     (neg, n0), (pos, n1) = (neg[:-1], float(neg[-1])), (pos[:-1], float(pos[-1]))
