@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from roleflow.functions.naming import let
+
 # Words and forms of titles that do not change which role is meant.
 LEVELS = ("senior", "sr", "snr", "junior", "jr", "jnr", "lead", "principal")
 ABBREVIATIONS = {
@@ -119,8 +121,7 @@ def body_text(description: Column) -> Column:
 
 def body_fingerprint(description: Column) -> Column:
     """Hash of a normalised description; null where it is too short to stand for a role."""
-    t = body_text(description)
-    return F.when(F.length(t) >= BODY_LEAST, F.substring(F.md5(t), 1, 16))
+    return let(body_text(description), lambda t: F.when(F.length(t) >= BODY_LEAST, F.substring(F.md5(t), 1, 16)))
 
 
 def apply_url(url: Column) -> Column:

@@ -62,5 +62,5 @@ def all_excluded(locations: Column, keep: Sequence[str], ban: Sequence[str], ban
 
 def chips(text: Column) -> Column:
     """Places of a free text that ``;`` and ``/`` separate, each once, in order."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[;/]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[;/]"), lambda p: F.trim(p))
     return F.array_distinct(F.filter(parts, lambda p: p != ""))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from roleflow.functions.naming import let
+
 # Phrases and limits that decide what counts as page junk.
 COOKIE_BANNER = (
     r"we use cookies|we value your privacy|we care about your privacy|"
@@ -190,7 +192,7 @@ def _banner_end(text: Column) -> Column:
         return F.struct(end.alias("at"), F.when(near, end).otherwise(a["upto"]).alias("upto"), (a["on"] & (near | ~later)).alias("on"))
 
     end = F.aggregate(sizes, start, follow, lambda a: a["upto"])
-    return F.when((opening > 0) & (before < COOKIE_REST), _to_break(text, end))
+    return F.when((opening > 0) & (before < COOKIE_REST), let(end, lambda e: _to_break(text, e)))
 
 
 def _to_break(text: Column, end: Column) -> Column:
@@ -200,19 +202,24 @@ def _to_break(text: Column, end: Column) -> Column:
     return F.when((paragraph > 0) & (paragraph <= 300), end + paragraph - 1).when((line > 0) & (line <= 300), end + line - 1).otherwise(end)
 
 
+def _rest(text: Column, end: Column) -> Column:
+    return _stripped(F.substr(text, end + 1, F.length(text)))
+
+
 def is_cookie_boilerplate(text: Column) -> Column:
-    end = _banner_end(_filled(text))
-    rest = F.length(_stripped(F.substr(_filled(text), end + 1, F.length(_filled(text)))))
-    return end.isNotNull() & (rest < COOKIE_REST)
+    """Whether a consent banner at the top leaves too little after it."""
+    return let(_filled(text), lambda t: let(_banner_end(t), lambda end: end.isNotNull() & (F.length(_rest(t, end)) < COOKIE_REST)))
+
+
+def _without_banner(text: Column, end: Column) -> Column:
+    tail = F.regexp_instr(text, F.lit(f"(?i){COOKIE_BANNER}"))
+    trailing = F.when(tail > 0, F.regexp_replace(F.substr(text, F.lit(1), F.greatest(tail - 1, F.lit(0))), r"\s+$", "")).otherwise(text)
+    return F.when(end.isNotNull(), _rest(text, end)).otherwise(trailing)
 
 
 def strip_cookie_boilerplate(text: Column) -> Column:
     """The text without a consent banner at its top, or else at its end."""
-    t = _filled(text)
-    end = _banner_end(t)
-    tail = F.regexp_instr(t, F.lit(f"(?i){COOKIE_BANNER}"))
-    trailing = F.when(tail > 0, F.regexp_replace(F.substr(t, F.lit(1), F.greatest(tail - 1, F.lit(0))), r"\s+$", "")).otherwise(t)
-    return F.when(end.isNotNull(), _stripped(F.substr(t, end + 1, F.length(t)))).otherwise(trailing)
+    return let(_filled(text), lambda t: let(_banner_end(t), lambda end: _without_banner(t, end)))
 
 
 def is_boilerplate_junk(text: Column) -> Column:
@@ -250,18 +257,21 @@ def snippet(text: Column, most: int = 400) -> Column:
 def clean_description(text: Column) -> Column:
     """Struct ``(text, verdict)``: the usable description, or null and why it was rejected; checks go in a fixed order."""
     tagged = _filled(text).rlike(r"(?i)<\s*/?\s*(?:br|p|div|li|ul|ol|h[1-6]|span|strong|em|b|i)\b[^>]*>")
-    t = F.when(tagged, html_to_text(text)).otherwise(_stripped(text))
-    bare = strip_cookie_boilerplate(t)
-    verdict = (
-        F.when(t == "", "empty")
-        .when(is_cookie_boilerplate(t), "cookie_wall")
-        .when(is_error_page(t), "error_page")
-        .when(is_navigation_junk(t) | is_script_junk(t), "nav_junk")
-        .when(is_marketing_page(t), "marketing_page")
-        .when(F.length(bare) < DESCRIPTION_LEAST, "too_short")
-        .otherwise("ok")
-    )
-    return F.struct(F.when(verdict == "ok", bare).alias("text"), verdict.alias("verdict"))
+
+    def judged(t: Column, end: Column, bare: Column) -> Column:
+        verdict = (
+            F.when(t == "", "empty")
+            .when(end.isNotNull() & (F.length(bare) < COOKIE_REST), "cookie_wall")
+            .when(is_error_page(t), "error_page")
+            .when(is_navigation_junk(t) | is_script_junk(t), "nav_junk")
+            .when(is_marketing_page(t), "marketing_page")
+            .when(F.length(bare) < DESCRIPTION_LEAST, "too_short")
+            .otherwise("ok")
+        )
+        return let(verdict, lambda v: F.struct(F.when(v == "ok", bare).alias("text"), v.alias("verdict")))
+
+    plain = F.when(tagged, html_to_text(text)).otherwise(_stripped(text))
+    return let(plain, lambda t: let(_banner_end(t), lambda end: let(_without_banner(t, end), lambda bare: judged(t, end, bare))))
 
 
 def classify_quality(title: Column, text: Column, words: Sequence[str], stems: Sequence[str] = ()) -> Column:

@@ -76,3 +76,47 @@ def pay(text: Column) -> Column:
     numbers = F.filter(F.transform(F.slice(figures, 1, 2), number), lambda n: n >= 300)
     low, high = F.array_min(numbers), F.array_max(numbers)
     return F.struct(low.alias("low"), high.alias("high"), F.when(low.isNotNull(), F.concat_ws("–", F.format_number(low, 0), F.when(high > low, F.format_number(high, 0)))).alias("text"))
+
+
+# Forms of pay in the order in which they are tried, and the fewest that a yearly figure comes to.
+MONEY = r"[€$£][\d,]+(?:\.\d+)?"
+PAY_FORMS = (
+    rf"[Cc]ompensation[:\s]+({MONEY})\s*[-–]\s*([€$£]?[\d,]+(?:\.\d+)?)",
+    rf"OTE[^:]*:\s*({MONEY})\s*[-–]\s*([€$£]?[\d,]+(?:\.\d+)?)",
+    rf"(?i)(?:base pay|salary|pay)\s+range[^€$£]*({MONEY})\s*[-–]\s*([€$£]?[\d,]+(?:\.\d+)?)",
+)
+PAY_DINARS = r"[Cc]ompensation[:\s]+([\d,]+(?:\.\d+)?)\s*[-–]\s*([\d,]+(?:\.\d+)?)\s*(Serbian dinars|GEL|dinars)"
+PAY_GEL = r"(GEL)([\d,]+)\s*[-–]\s*(?:GEL)?([\d,]+)"
+PAY_SINGLE = rf"(?:[Ss]alary|[Cc]ompensation)[:\s]+({MONEY})"
+YEARLY = 20000
+
+
+def monthly_pay(text: Column) -> Column:
+    """Pay as a text a month by the first form that fits, else empty; above YEARLY the figures are a year's."""
+    t = F.coalesce(text, F.lit(""))
+    number = lambda c: F.regexp_replace(c, "[€$£,]", "").try_cast("double")
+    shown = lambda c: F.format_number(c, 0)
+
+    def monthly(low: Column, high: Column | None) -> Column:
+        sign, a = F.regexp_extract(low, "[€$£]", 0), number(low)
+        year = F.when(a > YEARLY, 12.0).otherwise(1.0)
+        head = F.concat(sign, shown(a / year))
+        return F.concat(head, F.lit("/mo")) if high is None else F.concat(head, F.lit("-"), sign, shown(number(high) / year), F.lit("/mo"))
+
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    out = F.when(F.lit(False), "")
+    for form in PAY_FORMS:
+        out = out.when(t.rlike(form), monthly(part(form, 1), part(form, 2)))
+    coin = F.when(part(PAY_DINARS, 3).contains("GEL"), "GEL").otherwise("RSD")
+    out = out.when(t.rlike(PAY_DINARS), F.concat(coin, F.lit(" "), shown(number(part(PAY_DINARS, 1))), F.lit("-"), shown(number(part(PAY_DINARS, 2))), F.lit("/mo")))
+    out = out.when(t.rlike(PAY_GEL), F.concat(F.lit("GEL "), shown(number(part(PAY_GEL, 2))), F.lit("-"), shown(number(part(PAY_GEL, 3))), F.lit("/mo")))
+    out = out.when(t.rlike(PAY_SINGLE), monthly(part(PAY_SINGLE, 1), None))
+    return F.coalesce(out, F.lit(""))
+
+
+def summary(given: Column, description: Column, snippet: Column, most: int = 300, fallback: int = 200) -> Column:
+    """What a digest shows of a posting: its own summary, else the head of its text on one line, cut at a word."""
+    cut = lambda c, n: F.when(F.length(c) <= n, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, n), " [^ ]*$", ""), F.lit("…")))
+    body = F.coalesce(F.nullif(description, F.lit("")), snippet, F.lit(""))
+    line = F.trim(F.regexp_replace(body, r"\s+", " "))
+    return F.when(F.length(given) > 0, cut(F.trim(given), most)).otherwise(cut(line, fallback))

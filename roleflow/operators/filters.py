@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,3 +97,121 @@ def grouped_reports(reports: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(k) for k in V.REPORT_KINDS]), F.col("kind"))
     named = reports.withColumn("kind", kind).withColumn("group_place", rank.cast("int"))
     return named.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("updated"), "slug")))
+
+
+@dataclass(frozen=True)
+class HardFilters:
+    """What a profile excludes; as it stands it excludes nothing."""
+
+    exclude_countries: tuple[str, ...] = ()
+    exclude_title_keywords: tuple[str, ...] = ()
+    ban_regions: tuple[str, ...] = ()
+    keep_countries: tuple[str, ...] = ()
+    ban_countries: tuple[str, ...] = ()
+    ban_us_only: bool = False
+    onsite_ok_regions: tuple[str, ...] = ()
+    onsite_penalty: int = 0
+    unknown: tuple[str, ...] = ()
+
+
+# Words that stand for an empty field and for yes.
+NOTHING, YES = ("", "(none)", "none", "-", "n/a"), ("yes", "true", "1", "on", "y")
+
+
+def hard_filters(section: str | None) -> HardFilters:
+    """The filters in a profile's section of ``key: value`` lines; comments and prose are passed over, unknown keys are named, bad values are defaults."""
+    found: dict[str, object] = {}
+    unknown = []
+    kinds = {f.name: f.default for f in fields(HardFilters) if f.name != "unknown"}
+    for line in re.sub(r"(?s)<!--.*?-->", "", section or "").splitlines():
+        if not (m := re.match(r"^\s*([A-Za-z_]+)\s*:(.*)$", line)):
+            continue
+        key, raw = m[1].lower(), m[2].strip()
+        empty = raw.lower() in NOTHING
+        if key not in kinds:
+            unknown.append(key)
+        elif isinstance(kinds[key], bool):
+            found[key] = not empty and raw.lower() in YES
+        elif isinstance(kinds[key], int):
+            found[key] = int(raw) if re.fullmatch(r"-?\d+", raw) else 0
+        else:
+            found[key] = () if empty else tuple(x for p in raw.split(",") if (x := p.strip().lower()) and x not in NOTHING)
+    return HardFilters(**found, unknown=tuple(unknown))
+
+
+def listed(rows: DataFrame, *, status: str | None = None, least: int | None = None, tier: str | None = None, org: str | None = None, buckets: Sequence[str] = (), sort: str = "score") -> DataFrame:
+    """Postings under all conditions that are given, archived ones only if they are asked for, in one of three orders that end with the id.
+
+    ``rows`` has ``id, org, status, score, tier, created`` and, for ``buckets``, an array of that name.
+    """
+    out = rows.where(F.col("status") == status) if status else rows.where(F.col("status") != "archived")
+    if least is not None:
+        out = out.where(F.col("score") >= least)
+    if tier:
+        out = out.where(F.col("tier") == tier)
+    if org:
+        out = out.where(F.lower("org").contains(org.lower()))
+    if buckets:
+        out = out.where(F.arrays_overlap("buckets", F.array(*[F.lit(b) for b in buckets])))
+    orders = {"score": F.desc(F.coalesce("score", F.lit(0))), "recent": F.desc_nulls_last("created"), "company": F.asc(F.lower(F.coalesce("org", F.lit(""))))}
+    return out.orderBy(orders[sort], "id")
+
+
+def by_prefix(rows: DataFrame, prefix: str) -> DataFrame:
+    """The row whose id begins with ``prefix``, if it is the only one."""
+    hits = rows.where(F.col("id").cast("string").startswith(prefix))
+    return hits.join(hits.agg(F.count(F.lit(1)).alias("_n")).where("_n = 1"), F.lit(True)).drop("_n")
+
+
+def catalogue_order(rows: DataFrame, sort: str, as_of: Column) -> DataFrame:
+    """Postings by score either way, missing ones last, or by open deadline, of which a past one is none; remote places come last in ties."""
+    days = F.datediff("deadline", as_of)
+    orders = {
+        "score-desc": F.desc(F.coalesce("score", F.lit(-1))),
+        "score-asc": F.asc(F.coalesce("score", F.lit(999))),
+        "deadline": F.asc_nulls_last(F.when(days >= 0, days)),
+    }
+    return rows.orderBy(orders.get(sort, orders["score-desc"]), F.asc(F.coalesce("remote", F.lit(False))), "id")
+
+
+#: Columns that employers may be sorted by; a missing value counts as the number beside it, or as empty text.
+COMPANY_ORDERS = {
+    "name": "", "tier": 4, "fit": -1, "score": -1, "vacancies": 0, "applyable": 0, "liked": 0, "freshness": "", "new": 0, "monitoring": 99, "category": "", "deadline": "",
+}
+TIER_ORDER = {"S": 0, "A": 1, "B": 2, "C": 3}
+
+
+def company_table(rows: DataFrame, *, state: str | None = None, tier: str | None = None, search: str | None = None, sort: str = "score", ascending: bool = False) -> DataFrame:
+    """Employers of a list, hot ones before all others, then by one of COMPANY_ORDERS and by name.
+
+    ``tier`` may be ``unscored``. ``rows`` has ``name, state, hot`` and the columns of the orders.
+    """
+    out = rows
+    if state:
+        out = out.where(F.col("state") == state)
+    if tier == "unscored":
+        out = out.where(F.col("tier").isNull())
+    elif tier:
+        out = out.where(F.col("tier") == tier)
+    if search:
+        out = out.where(F.lower(F.concat_ws(" ", "name", "category")).contains(search.lower()))
+    missing = COMPANY_ORDERS[sort]
+    value = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TIER_ORDER.items() for x in kv]), F.col("tier")), F.lit(4)) if sort == "tier" else F.coalesce(F.col(sort), F.lit(missing))
+    return out.orderBy(F.desc(F.coalesce("hot", F.lit(False))), value.asc() if ascending else value.desc(), "name")
+
+
+def company_of(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """Each row with its employer's name; null where the row has none or the employer is not known."""
+    known = companies.groupBy(F.col("company_key").alias("_key")).agg(F.min("company").alias("company_name"))
+    return rows.join(known, rows["company_id"] == F.col("_key"), "left").drop("_key")
+
+
+def factors(lines: DataFrame) -> DataFrame:
+    """Preference factors ``factor, strength`` of profile lines ``at, text`` such as ``- strong: remote work``: each once, by its first line."""
+    parts = lines.select("at", F.lower(F.regexp_extract("text", r"^\s*[-*]\s*(\w+)\s*:", 1)).alias("strength"), F.trim(F.regexp_extract("text", r"^\s*[-*]\s*\w+\s*:\s*(.+)$", 1)).alias("factor"))
+    named = parts.where("factor <> ''").groupBy("factor").agg(F.min_by("strength", "at").alias("strength"))
+    return named
+
+
+def factors_by_strength(found: DataFrame) -> DataFrame:
+    return found.groupBy("strength").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("factor")).alias("factors"))

@@ -185,3 +185,125 @@ def merge_artifacts(old: Column, new: Column) -> Column:
     empty = F.create_map().cast("map<string,string>")
     o, k = F.coalesce(old, empty), F.coalesce(new, empty)
     return F.map_concat(F.map_filter(o, lambda key, _: ~F.map_contains_key(k, key)), k)
+
+
+def archive_payload(rows: DataFrame) -> DataFrame:
+    """Whole rows as archive records ``id, payload``: JSON with ISO dates, ids as text."""
+    ids = [c for c in ("id", "company_id") if c in rows.columns]
+    shown = rows.withColumns({c: F.col(c).cast("string") for c in ids})
+    return shown.select("id", F.to_json(F.struct(*shown.columns), {"dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "ignoreNullFields": "false"}).alias("payload"))
+
+
+def to_archive(rows: DataFrame, threshold: int, *, force: bool) -> DataFrame:
+    """Unseen rows with a score below the threshold; none unless it is forced, since a low score alone removes nothing."""
+    low = rows.where((F.col("status") == "unseen") & (F.col("score") < threshold))
+    return low if force else low.limit(0)
+
+
+def remove_rows(rows: DataFrame, ids: DataFrame, folder: str, reason: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """What is left of ``rows`` without ``ids``, and the tombstones of what went, which is in the archive before either is read.
+
+    The archive is written by Spark's own commit, so a folder without its mark of success was never finished; a failure there leaves
+    the rows where they are. ``rows`` has ``id, key, norm``.
+    """
+    gone = rows.join(ids.select("id").distinct(), "id", "left_semi")
+    archive_payload(gone).write.mode("errorifexists").parquet(folder)
+    done = rows.sparkSession.read.parquet(folder).select("id")
+    kept = rows.join(done, rows["id"].cast("string") == done["id"], "left_anti")
+    removed = rows.join(done, rows["id"].cast("string") == done["id"], "left_semi").withColumn("new_status", F.lit("archived"))
+    return kept, tombstones(removed, reason, at)
+
+
+def append_versioned(store: DataFrame, records: DataFrame, at: Column) -> DataFrame:
+    """The records that a versioned, append-only set takes: those with an id that it lacks, each once, stamped with the next version.
+
+    ``store`` has ``id, version``; ``records`` have ``id, seq`` and go by seq.
+    """
+    last = store.agg(F.coalesce(F.max("version"), F.lit(0)).alias("_last"))
+    first = records.where("coalesce(id, '') <> ''").withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy("seq"))).where("_r = 1").drop("_r")
+    fresh = first.join(store.select("id"), "id", "left_anti")
+    return fresh.crossJoin(F.broadcast(last)).withColumn("version", F.col("_last") + 1).withColumn("labelled_at", at).drop("_last")
+
+
+def as_of_version(store: DataFrame, version: int) -> DataFrame:
+    """The set as it was when ``version`` was its last."""
+    return store.where(F.col("version") <= version)
+
+
+# What a prepared result may say.
+REQUIREMENT_KINDS = ("skill", "domain", "education", "experience", "location", "language", "authorisation")
+STRENGTHS = ("required", "preferred")
+FINDINGS = ("supported", "possible_conflict", "unknown")
+MOST_REQUIREMENTS = 12
+
+
+def result_fault(result: Column, text: Column, levels: dict[str, Sequence[str]]) -> Column:
+    """Why a prepared result is refused, by the first rule it breaks; null if it is clean.
+
+    ``result`` is a struct ``failed, posting_facts(requirements(kind, strength, quote), <levels>), profile_comparison(requirement,
+    finding)``. One quote that the text does not hold, white space and case aside, refuses all of it.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    facts, found = result["posting_facts"], result["profile_comparison"]
+    required = facts["requirements"]
+    bad = lambda c, allowed: ~F.coalesce(c.isin(*allowed), F.lit(False))
+    some = lambda array, f: F.coalesce(F.exists(array, f), F.lit(False))
+    out = F.when(result.isNull(), "no object").when(F.length(result["failed"]) > 0, "failed").when(facts.isNull(), "no facts")
+    for name, allowed in levels.items():
+        out = out.when(bad(facts[name], allowed), name)
+    return (
+        out.when(required.isNull(), "no requirements")
+        .when(F.size(required) > MOST_REQUIREMENTS, "too many requirements")
+        .when(some(required, lambda r: bad(r["kind"], REQUIREMENT_KINDS)), "kind")
+        .when(some(required, lambda r: bad(r["strength"], STRENGTHS)), "strength")
+        .when(some(required, lambda r: ~F.coalesce((F.length(F.trim(r["quote"])) > 0) & plain(text).contains(plain(r["quote"])), F.lit(False))), "quote")
+        .when(found.isNull(), "no comparison")
+        .when(some(found, lambda c: ~F.coalesce(c["requirement"].between(F.lit(0), F.size(required) - 1), F.lit(False))), "index")
+        .when(some(found, lambda c: bad(c["finding"], FINDINGS)), "finding")
+    )
+
+
+def screen_verdict(reply: Column) -> Column:
+    """Struct ``(keep, reason, fail_safe)`` of a model's reply: only an explicit no drops, whatever cannot be read keeps."""
+    body = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)\{.*\}", 0)
+    said = F.get_json_object(body, "$.keep")
+    read = F.when((body != "") & F.try_parse_json(body).isNotNull(), F.lit(True)).otherwise(F.lit(False))
+    keep = ~read | ~F.coalesce(F.lower(F.trim(said)).isin("false", "no", "0", "drop"), F.lit(False))
+    reason = F.coalesce(F.nullif(F.trim(F.get_json_object(body, "$.reason")), F.lit("")), F.when(keep, "plausible fit").otherwise("clear mismatch"))
+    return F.struct(keep.alias("keep"), F.when(read, reason).otherwise("unparseable").alias("reason"), (~read).alias("fail_safe"))
+
+
+def apply_drops(companies: DataFrame, drops: DataFrame) -> DataFrame:
+    """Candidates of ``drops(id, reason, kind)`` as inactive with their reason; employers of any other status stay as they are."""
+    one = drops.groupBy("id").agg(F.min(F.struct("kind", "reason")).alias("_d"))
+    joined = companies.join(one, "id", "left")
+    hit = F.col("_d").isNotNull() & (F.col("status") == "candidate")
+    prefix = F.when(F.col("_d.kind") == "dup", "screen-dup: ").otherwise("screen: ")
+    return joined.withColumn("new_status", F.when(hit, "inactive").otherwise(F.col("status"))).withColumn("status_reason", F.when(hit, F.concat(prefix, F.col("_d.reason")))).drop("_d")
+
+
+def archive_inactive(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """``rows`` with ``new_status``: unseen rows of inactive employers are archived, all others stay."""
+    off = companies.where("status = 'inactive'").select(F.col("company_key").alias("_off")).distinct()
+    joined = rows.join(off, rows["company_id"] == F.col("_off"), "left")
+    return joined.withColumn("new_status", F.when(F.col("_off").isNotNull() & (F.col("status") == "unseen"), "archived").otherwise(F.col("status"))).drop("_off")
+
+
+def save_notes(applications: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
+    """Each request ``id, notes, expected`` against the notes as they are: ``id, outcome, notes, history``.
+
+    A note changed elsewhere is a conflict and stays; the same text again changes nothing; else the old text joins the history. The notes of
+    an application that is not there yet count as empty.
+    """
+    held = applications.select("id", F.col("notes").alias("_notes"), "history")
+    joined = requests.join(held, "id", "left")
+    now = F.coalesce("_notes", F.lit(""))
+    outcome = F.when(now != F.col("expected"), "conflict").when(now == F.col("notes"), "same").when(F.col("_notes").isNull(), "created").otherwise("saved")
+    past = F.coalesce("history", F.array().cast("array<struct<recorded_at:date,notes:string>>"))
+    grown = F.when(outcome == "saved", F.array_append(past, F.struct(at.alias("recorded_at"), now.alias("notes")))).otherwise(past)
+    return joined.select("id", outcome.alias("outcome"), F.when(outcome.isin("saved", "created"), F.col("notes")).otherwise(now).alias("notes"), grown.alias("history"))
+
+
+def ordered_view(rows: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
+    """A projection of whole tables for display, the latest first and rows without a date last."""
+    return rows.select("id", *columns).orderBy(F.desc_nulls_last(order), "id")

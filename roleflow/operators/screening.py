@@ -78,3 +78,44 @@ def date_facts(first_seen: Column, last_seen: Column, deadline: Column, as_of: C
     expired = F.coalesce(deadline < as_of, F.lit(False))
     stale = F.coalesce(F.datediff(as_of, last_seen) >= V.STALE_DAYS, F.lit(False))
     return F.struct(F.datediff(as_of, first_seen).alias("age"), expired.alias("expired"), stale.alias("stale"), (expired | stale).alias("gone"))
+
+
+# Classes of reasons in the order in which they are tried, with the kinds of requirement that they hold.
+REASON_CLASSES = (("eligibility", ("location", "language", "authorisation")), ("fit", ("skill", "domain", "education", "experience")))
+#: Stages of progress that a column shows under another name.
+STAGES = {"to_research": "to_apply", "to_network": "to_apply", "test_task": "interview"}
+
+
+def reason_class(requirements: Column, comparison: Column, prepared: Column, current: Column) -> Column:
+    """Struct ``(key, reasons)`` of the first class of which a required, quoted requirement may conflict; null where none does.
+
+    It says something only if the row was prepared for its current text and profile.
+    """
+    asked = F.transform(
+        F.filter(comparison, lambda c: (c["finding"] == "possible_conflict") & (c["requirement"] >= 0) & (c["requirement"] < F.size(requirements))),
+        lambda c: F.struct(F.get(requirements, c["requirement"]).alias("r"), c["note"].alias("note")),
+    )
+    concerns = F.filter(asked, lambda x: (x["r"]["strength"] == "required") & (F.length(F.trim(x["r"]["quote"])) > 0))
+    shown = F.transform(concerns, lambda x: F.struct(x["r"]["kind"].alias("kind"), x["r"]["quote"].alias("quote"), F.coalesce(F.nullif(x["note"], F.lit("")), x["r"]["value"], F.lit("")).alias("note")))
+    out = F.when(~F.coalesce(prepared == current, F.lit(False)), None)
+    def of(kinds: tuple[str, ...]) -> Column:
+        return F.filter(shown, lambda x: x["kind"].isin(*kinds))
+
+    for key, kinds in REASON_CLASSES:
+        own = of(kinds)
+        out = out.when(F.size(own) > 0, F.struct(F.lit(key).alias("key"), own.alias("reasons")))
+    return out
+
+
+def progress_column(status: Column, columns: tuple[str, ...]) -> Column:
+    """The column of a board that shows a status, its older names folded; null where there is none."""
+    folded = status
+    for old, new in STAGES.items():
+        folded = F.when(status == old, F.lit(new)).otherwise(folded)
+    return F.when(folded.isin(*columns), folded)
+
+
+def preparable(text: Column, junk: Column, prepared: Column, version: str, *parts: Column, least: int = 200) -> Column:
+    """Whether a text is to be prepared: long enough, no page junk, and not prepared as it stands."""
+    now = F.sha2(F.concat_ws("\x1f", F.lit(version), *parts, text), 256)
+    return (F.length(F.coalesce(text, F.lit(""))) >= least) & ~junk & ~F.coalesce(prepared == now, F.lit(False))

@@ -121,7 +121,7 @@ def _verdicts() -> str:
 s1 AS (SELECT id, org, CASE WHEN regexp_matches(d, '(?i)<\\s*/?\\s*(?:br|p|div|li|ul|ol|h[1-6]|span|strong|em|b|i)\\b[^>]*>') THEN {_html('d')} ELSE {_strip('d')} END AS t FROM s0),
 s2 AS (SELECT *, regexp_matches(t[:{T.COOKIE_HEAD}], '{banner}') AS has, length(regexp_extract(t[:{T.COOKIE_HEAD}], '(?s)^(.*?){banner}', 1)) AS opening, length(regexp_extract(t[:{T.COOKIE_HEAD}], '{banner}')) AS n,
   list_transform(regexp_split_to_array(t, '{word}'), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(t, '{word}'), lambda x: length(x)) AS ws FROM s1),
-s3 AS (SELECT *, opening + n AS first, list_transform(range(1, len(ws) + 1), lambda i: struct_pack(b := list_sum(gaps[:i]) + coalesce(list_sum(ws[:i - 1]), 0), e := list_sum(gaps[:i]) + list_sum(ws[:i]))) AS places FROM s2),
+s3 AS (SELECT *, opening + n AS first, list_transform(range(1, len(ws) + 1), lambda i: struct_pack(b := CAST(list_sum(gaps[:i]) + coalesce(list_sum(ws[:i - 1]), 0) AS BIGINT), e := CAST(list_sum(gaps[:i]) + list_sum(ws[:i]) AS BIGINT))) AS places FROM s2),
 s4 AS (SELECT *, list_transform(list_filter(places, lambda x: x.b >= first), lambda x: x.e) AS ends FROM s3),
 s5 AS (SELECT *, list_concat([first], ends) AS stops, list_min(list_filter(range(1, len(ends) + 1), lambda i: ends[i] - list_concat([first], ends)[i] > {T.COOKIE_GAP})) AS gap FROM s4),
 s6 AS (SELECT *, CASE WHEN has AND length({_strip('substring(t, 1, opening)')}) < {T.COOKIE_REST} THEN CASE WHEN gap IS NULL THEN stops[len(stops)] ELSE stops[gap] END END AS stop FROM s5),
@@ -185,9 +185,17 @@ def page_links(spark, sf):
     return C.links_of(table(spark, sf, "pages"))
 
 
-@q(f"SELECT how, count(*) AS n, CAST(sum(length({_html('body')})) AS BIGINT) AS chars FROM (SELECT 'container' AS how, regexp_extract(html, '(?is)<(?:article|main)\\b[^>]*>(.*?)</(?:article|main)>', 1) AS body FROM pages) GROUP BY how")
+#: Pages, some of which carry structured data and some no container; both engines read them alike.
+_PAGE = """CASE length(html) % 3 WHEN 0 THEN concat('<script type="application/ld+json">{"@type": "JobPosting", "description": "<p>Posting ', page_id, '</p><p>of a page</p>"}</script>', html)
+WHEN 1 THEN replace(replace(html, '<article', '<section'), '</article', '</section') ELSE html END"""
+
+
+@q(
+    f"""WITH p AS (SELECT page_id, length(html) % 3 AS k, {_PAGE} AS html FROM pages), b AS (SELECT CASE WHEN k = 0 THEN 'json-ld' WHEN k = 1 THEN 'page' ELSE 'container' END AS how, CASE WHEN k = 0 THEN concat('<p>Posting ', page_id, '</p><p>of a page</p>')
+WHEN k = 1 THEN html ELSE regexp_extract(html, '(?is)<(?:article|main)\\b[^>]*>(.*?)</(?:article|main)>', 1) END AS body FROM p) SELECT how, count(*) AS n, CAST(sum(length({_html('body')})) AS BIGINT) AS chars FROM b GROUP BY how"""
+)
 def page_descriptions(spark, sf):
-    found = C.posting_pages(table(spark, sf, "pages"))
+    found = C.posting_pages(table(spark, sf, "pages").select("url", F.expr(_PAGE).alias("html")))
     return found.groupBy("how").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("description")).alias("chars"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roleflow.functions import text as T
 from roleflow.functions import values as D
+from roleflow.functions.naming import let
 
 POSTING = ("external_id", "org", "title", "url", "location", "department", "snippet", "description", "compensation", "deadline")
 Connector = Callable[[SparkSession, str, str], DataFrame]
@@ -157,7 +158,7 @@ def hiring_thread(spark, path, org):
     rows = _json(spark, path, "story bigint, story_created bigint, id bigint, parent bigint, text string")
     newest = rows.agg(F.max_by("story", "story_created").alias("story")).first()["story"]
     j = rows.where((F.col("story") == F.lit(newest)) & (F.col("parent") == F.col("story"))).withColumn("body", T.html_to_text(F.col("text")))
-    parts = F.transform(F.split(F.element_at(F.split("body", "\n"), 1), r"\s*\|\s*"), F.trim)
+    parts = F.transform(F.split(F.element_at(F.split("body", "\n"), 1), r"\s*\|\s*"), lambda p: F.trim(p))
     j = j.withColumn("parts", parts).where((F.size("parts") >= 2) & ~F.col("body").rlike(r"(?i)^\s*seeking work"))
     j = j.where((F.length(F.get("parts", F.lit(0))) <= 80) & F.length(F.get("parts", F.lit(1))).between(4, 200))
     mode = F.try_element_at(F.filter("parts", lambda p: p.rlike(r"(?i)\b(remote|onsite|on-site|hybrid)\b")), F.lit(1))
@@ -180,9 +181,11 @@ def posting_pages(pages: DataFrame) -> DataFrame:
     data = F.regexp_extract("html", r"""(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>""", 1)
     structured = T.html_to_text(F.get_json_object(data, "$.description"))
     main = T.html_to_text(F.regexp_extract("html", r"(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)>", 1))
-    body = F.when(F.length(structured) > 0, structured).when(F.length(main) > 0, main).otherwise(T.html_to_text(F.col("html")))
-    how = F.when(F.length(structured) > 0, "json-ld").when(F.length(main) > 0, "container").otherwise("page")
-    return pages.select("url", body.alias("description"), how.alias("how"))
+    tried = let(structured, lambda s: F.when(F.length(s) > 0, F.struct(s.alias("text"), F.lit("json-ld").alias("how"))))
+    inside = let(main, lambda m: F.when(F.length(m) > 0, F.struct(m.alias("text"), F.lit("container").alias("how"))))
+    page = F.struct(T.html_to_text(F.col("html")).alias("text"), F.lit("page").alias("how"))
+    found = pages.select("url", F.coalesce(tried, inside, page).alias("x"))
+    return found.select("url", F.col("x.text").alias("description"), "x.how")
 
 
 def links_of(pages: DataFrame) -> DataFrame:

@@ -94,3 +94,13 @@ def test_modes_and_countries(spark):
     assert column(spark, ["Remote, US", "hybrid / remote", "On-site", "Paris"], P.work_mode) == ["remote", "hybrid", "onsite", None]
     got = column(spark, ["Berlin", None], lambda c: P.canonical_country(F.lit(None).cast("string"), c, F.lit("somewhere in uk"), {"berlin": "Germany"}, {"uk": "United Kingdom"}))
     assert got == ["Germany", "United Kingdom"]
+
+
+def test_a_long_consent_text(spark):
+    """The banner goes on over tens of thousands of words; the gap, the paragraph's end and a wide gap stop it."""
+    wall = "we use cookies. " + "cookie policy and consent text here " * 20_000
+    gap = "x" * 701
+    texts = [wall, wall + gap + " " + LONG, "We use cookies. Accept cookies\nsoon.\n\n" + LONG, "We use cookies. " + gap + " consent " + LONG]
+    assert column(spark, texts, T.is_cookie_boilerplate) == [True, False, False, False]
+    got = column(spark, texts, T.strip_cookie_boilerplate)
+    assert got[0] == "text here" and got[1].startswith("text here xxx") and got[2] == LONG.strip() and got[3].startswith(". xxx")
