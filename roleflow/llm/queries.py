@@ -42,7 +42,7 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
-    return found.withColumnRenamed("kept", "kept_sha256")
+    return found.withColumnRenamed("kept", "kept_sha256").withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

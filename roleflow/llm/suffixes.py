@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roleflow.llm._common import U64, batches, mix64, powers, prefix_hash, substring_hash, utf8
-from roleflow.session import cut
+from roleflow.session import Scratch, cut
 
 #: Bytes of the strings whose hashes pick the anchors.
 GRAM = 24
@@ -276,29 +276,13 @@ def _kept(s: Settings):
     return batches(run)
 
 
-def remove_repeats(docs: DataFrame, settings: Settings = Settings(), digest: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` for every row of ``docs(doc_id, text)``; ``kept`` is binary, or its SHA-256.
-
-    Removed is each byte of a ``least``-byte string that also starts anywhere else, in the same text or another, judged
-    on the input. Null text is empty; a text shorter than ``least`` stays; a row that repeats makes all of a long
-    enough text repeat; matches do not cross texts.
-
-    Equal texts are one. Equal windows have equal keys, so only windows whose key occurs twice are looked at
-    again; equal surroundings of a key are one, and repeated as they stand. Different ones meet by
-    key in blocks of bounded size, each with a transform of its own. A key with more surroundings than fit has its windows
-    compared by two hashes, in a shuffle with no large groups. Texts are told apart by 64 bits of hash.
-    """
-    s = settings
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text", F.octet_length("text")))
-    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    long_rows = rows.where(f"n_bytes >= {s.least}")
-    copies = cut(long_rows.groupBy("tid").count().where("count > 1").select("tid", F.lit(True).alias("copied")))
-
-    shared = long_rows.select("tid", "text").mapInArrow(_anchor_rows(s), "key long, tid long, first int, last int, moved boolean")
-    place = F.struct("tid", "first")
-    over = W.partitionBy("key")
-    shared = shared.select("*", F.min(place).over(over).alias("x"), F.max(place).over(over).alias("y")).where("x <> y or moved").select("key", "tid", "first", "last", "moved")
-    by_text = shared.distinct().groupBy("tid").agg(F.collect_list(F.struct("key", "first", "last", "moved")).alias("places"))
+def _repeated(long_rows: DataFrame, s: Settings, tables: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Texts ``tid, text, places`` that may hold repeats, and ``tid, spans`` with the runs (a, b) of repeated window starts."""
+    found = tables.put(long_rows.select("tid", "text").mapInArrow(_anchor_rows(s), "key long, tid long, first int, last int, moved boolean"))
+    # A key of two places, or of one that moves. Sums by key are made in each task first, so a common key is no hot group.
+    place = F.xxhash64("tid", "first")
+    twice = found.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("moved").alias("m")).where("x <> y or m").select("key")
+    by_text = found.join(twice, "key", "left_semi").distinct().groupBy("tid").agg(F.collect_list(F.struct("key", "first", "last", "moved")).alias("places"))
     texts = cut(long_rows.select("tid", "text").join(by_text, "tid").dropDuplicates(["tid"]))
 
     around = cut(texts.mapInArrow(_surroundings(s, content=False), "key long, tid long, first long, last long, h1 long, h2 long, moved boolean"))
@@ -317,9 +301,10 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), digest: boo
     runs = calm.groupBy(block).applyInPandas(_transform(s), "key long, h1 long, h2 long, a long, b long")
     if crowded:
         windows = held.join(crowded, "key", "left_semi").mapInArrow(_windows(s), "key long, h1 long, h2 long, a long, w1 long, w2 long")
-        place = F.struct("key", "h1", "h2", "a")
-        over = W.partitionBy("w1", "w2")
-        windows = windows.select("*", F.min(place).over(over).alias("x"), F.max(place).over(over).alias("y")).where("x <> y")
+        windows = tables.put(windows)
+        # Every row is a place of its own.
+        twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
+        windows = windows.join(twice, ["w1", "w2"], "left_semi")
         # Neighbouring windows are one run.
         inside = W.partitionBy("key", "h1", "h2").orderBy("a")
         windows = windows.withColumn("island", F.col("a") - F.row_number().over(inside))
@@ -328,7 +313,29 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), digest: boo
     same = kinds.where("n > 1").select("key", "h1", "h2", F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
     runs = runs.unionByName(same)
     spans = around.join(runs, ["key", "h1", "h2"]).select("tid", (F.col("first") + F.col("a")).alias("a"), F.when(F.col("b") < 0, F.col("last")).otherwise(F.col("first") + F.col("b")).alias("b"))
-    spans = spans.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return texts, cut(spans.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+
+
+def remove_repeats(docs: DataFrame, settings: Settings = Settings(), digest: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` for every row of ``docs(doc_id, text)``; ``kept`` is binary, or its SHA-256.
+
+    Removed is each byte of a ``least``-byte string that also starts anywhere else, in the same text or another, judged
+    on the input. Null text is empty; a text shorter than ``least`` stays; a row that repeats makes all of a long
+    enough text repeat; matches do not cross texts.
+
+    Equal texts are one. Equal windows have equal keys, so only windows whose key occurs twice are looked at
+    again; equal surroundings of a key are one, and repeated as they stand. Different ones meet by
+    key in blocks of bounded size, each with a transform of its own. A key with more surroundings than fit has its windows
+    compared by two hashes, in a shuffle with no large groups. Texts are told apart by 64 bits of hash.
+    """
+    s = settings
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text", F.octet_length("text")))
+    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    long_rows = rows.where(f"n_bytes >= {s.least}")
+    copies = cut(long_rows.groupBy("tid").count().where("count > 1").select("tid", F.lit(True).alias("copied")))
+
+    with Scratch(docs.sparkSession) as tables:
+        texts, spans = _repeated(long_rows, s, tables)
     changed = texts.join(spans.withColumnRenamed("tid", "id"), F.col("tid") == F.col("id")).select("tid", "text", "spans")
     changed = changed.mapInArrow(_kept(s), "tid long, removed long, spans long, left binary")
     final: Column = (lambda c: F.sha2(c, 256)) if digest else (lambda c: c)
