@@ -109,9 +109,13 @@ def slot() -> int:
     return context.partitionId() if context else 0
 
 
-def few_partitions(df: DataFrame) -> DataFrame:
-    """``df`` in no more partitions than the cluster works on at twice, so that their number does not grow with the input."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+def few_partitions(df: DataFrame, together: int = 8) -> DataFrame:
+    """``df`` with up to ``together`` input splits in a task, so that tasks which send an array of fixed size are fewer.
+
+    A task's share of the input stays bounded: a lost one costs no more at any size of the cluster or the input.
+    """
+    splits = df.rdd.getNumPartitions()
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-splits // together)))
 
 
 def tree_sum(parts: DataFrame, key: str, slots: int, dtype: str = "float64") -> dict:

@@ -9,10 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from roleflow.llm._common import CHUNK, LOWER, U64, batches, few_partitions, mix64, pieces, prefix_hash, slot, substring_hash, tree_sum, utf8, words
-from roleflow.session import cut
 
 #: Word endings are hashed to so many; a token's code ends in that of its ending.
 ENDINGS = 1 << 12
@@ -24,13 +22,14 @@ END = np.uint64(0x5851F42D4C957000)
 class Settings:
     """``common``: tokens counted in arrays, taken from ``sample`` documents; all others are counted by a shuffle.
 
-    Which tokens are common changes no result, only the way to it. ``rounds``: parts of the training
-    documents, after each of which the executors' updates are averaged.
+    Which tokens are common changes no result, only the way to it. ``classes``: classes of tokens by their endings; ``cells``: parts
+    of each class, by a token's hash. ``rounds``: parts of the training documents, after each of which the executors' updates are averaged.
     """
 
     common: int = 1 << 16
     sample: int = 2000
     classes: int = 16
+    cells: int = 16
     buckets: int = 1 << 15
     rounds: int = 2
     rate: float = 0.4
@@ -73,6 +72,11 @@ class Common:
         return np.where(self.table[at] == codes, at, -1)
 
 
+def _kind(codes: np.ndarray, s: Settings) -> np.ndarray:
+    """A token's ending and cell as one number."""
+    return ((codes & U64(ENDINGS - 1)) * U64(s.cells) + ((codes >> U64(40)) & U64(s.cells - 1))).astype(np.int64)
+
+
 def _common(docs: DataFrame, s: Settings) -> Common:
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(s.sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
@@ -86,21 +90,21 @@ def _common(docs: DataFrame, s: Settings) -> Common:
     return Common(np.r_[END, codes[codes != END]], s.common)
 
 
-def _counts(common: Common):
-    """mapInArrow over training texts: counts of common tokens, of endings, and of endings with the ending before."""
+def _counts(common: Common, s: Settings):
+    """mapInArrow over training texts: counts of common tokens, of endings in each cell, and of endings with the ending before."""
     size = len(common.table)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, ending, pairs = np.zeros(size), np.zeros(ENDINGS), np.zeros(ENDINGS * 64)
+        seen, kinds_of, pairs = np.zeros(size), np.zeros(ENDINGS * s.cells), np.zeros(ENDINGS * 64)
         for batch in it:
             for *_, codes, rows in _chunks(batch):
                 at = common.find(codes)
                 seen += np.bincount(at[at >= 0], minlength=size)
                 last = (codes & U64(ENDINGS - 1)).astype(np.int64)
-                ending += np.bincount(last, minlength=ENDINGS)
+                kinds_of += np.bincount(_kind(codes, s), minlength=len(kinds_of))
                 near = rows[1:] == rows[:-1]
                 pairs += np.bincount(np.r_[last[1:][near] * 64 + last[:-1][near] % 64, last[:-1][near] * 64 + last[1:][near] % 64], minlength=len(pairs))
-        kinds = {"seen": seen, "ending": ending, "pairs": pairs}
+        kinds = {"seen": seen, "kinds": kinds_of, "pairs": pairs}
         yield pa.RecordBatch.from_pydict({"kind": list(kinds), "slot": pa.array([slot()] * 3, pa.int64()), "v": pa.array([x.tobytes() for x in kinds.values()], pa.binary())})
 
     return run
@@ -133,55 +137,79 @@ def _features(codes: np.ndarray, rows: np.ndarray, buckets: int) -> np.ndarray:
     return np.stack([np.full(len(codes), buckets - 1, U64), *hashed]).astype(np.int64)
 
 
-def _softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _logs(weights: np.ndarray, offsets: np.ndarray, features: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the classes, and of the cells of class ``y``.
+
+    Every feature has weights for both; a class adds weights of its own to those of the cells.
+    """
+    k = len(offsets)
     z = weights[features[0]]
     for f in features[1:]:
         z = z + weights[f]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    return z / z.sum(axis=1, keepdims=True)
+    return _log_softmax(z[:, :k]), _log_softmax(z[:, k:] + offsets[y])
+
+
+def _sums(f: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ``f`` with the sums of their rows of ``x``, over the root of their number."""
+    order = np.argsort(f.astype(np.uint16), kind="stable")
+    sorted_f = f[order]
+    first = np.flatnonzero(np.r_[True, sorted_f[1:] != sorted_f[:-1]])
+    n = np.diff(np.r_[first, len(f)])[:, None].astype(np.float32)
+    return sorted_f[first], np.add.reduceat(x[order], first, axis=0) / np.sqrt(n)
+
 
+def _updates(model: tuple[np.ndarray, ...], label: np.ndarray, s: Settings):
+    """mapInArrow over training texts: gradient steps on all weights from those of ``model`` on, and what they changed."""
 
-def _updates(weights: np.ndarray, squares: np.ndarray, label: np.ndarray, s: Settings):
-    """mapInArrow over training texts: gradient steps on the class weights from ``weights`` on, and what they changed."""
+    def step(w: np.ndarray, q: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
+        q[at] += g * g
+        w[at] -= s.rate * g / np.sqrt(q[at] + 1e-6)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, q, touched = weights.copy(), squares.copy(), np.zeros(s.buckets, np.float32)
+        w, q, offsets, squares = (x.copy() for x in model)
+        touched, classes = np.zeros(s.buckets, np.float32), np.zeros(s.classes, np.float32)
         for batch in it:
             for *_, codes, rows in _chunks(batch):
-                features = _features(codes, rows, s.buckets)
-                y = label[(codes & U64(ENDINGS - 1)).astype(np.int64)]
+                features, kind = _features(codes, rows, s.buckets), _kind(codes, s)
+                y, cell = label[kind // s.cells], kind % s.cells
                 for a in range(0, len(codes), 16384):
-                    part, own = features[:, a : a + 16384], y[a : a + 16384]
-                    miss = _softmax(w, part)
-                    miss[np.arange(len(own)), own] -= 1
+                    part, own, own_cell = features[:, a : a + 16384], y[a : a + 16384], cell[a : a + 16384]
+                    miss = np.exp(np.hstack(_logs(w, offsets, part, own)))
+                    line = np.arange(len(own))
+                    miss[line, own] -= 1
+                    miss[line, s.classes + own_cell] -= 1
                     for f in part:
-                        order = np.argsort(f, kind="stable")
-                        first = np.flatnonzero(np.r_[True, np.diff(f[order]) > 0])
-                        n = np.diff(np.r_[first, len(f)])[:, None]
-                        g = np.add.reduceat(miss[order], first, axis=0) / np.sqrt(n)
-                        at = f[order][first]
-                        q[at] += g * g
-                        w[at] -= s.rate * g / np.sqrt(q[at] + 1e-6)
+                        at, g = _sums(f, miss)
+                        step(w, q, at, g)
                         touched[at] = 1
-        v = np.concatenate([((w - weights) * touched[:, None]).ravel(), ((q - squares) * touched[:, None]).ravel(), touched]).astype(np.float32)
+                    at, g = _sums(own, miss[:, s.classes :])
+                    step(offsets, squares, at, g)
+                    classes[at] = 1
+        moved = [((w - model[0]) * touched[:, None]), ((q - model[1]) * touched[:, None]), ((offsets - model[2]) * classes[:, None]), ((squares - model[3]) * classes[:, None]), touched, classes]
+        v = np.concatenate([x.ravel() for x in moved]).astype(np.float32)
         yield pa.RecordBatch.from_pydict({"kind": ["w"], "slot": pa.array([slot()], pa.int64()), "v": pa.array([v.tobytes()], pa.binary())})
 
     return run
 
 
-def _train(training: DataFrame, label: np.ndarray, s: Settings) -> np.ndarray:
-    """Class weights after each position of the training documents was used once; a bucket's change is the mean of those that saw it."""
-    cells = s.buckets * s.classes
-    w, q = np.zeros((s.buckets, s.classes), np.float32), np.zeros((s.buckets, s.classes), np.float32)
+def _train(training: DataFrame, label: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after each position of the training documents was used once; a row's change is the mean of the tasks that saw it."""
+    shapes = [(s.buckets, s.classes + s.cells)] * 2 + [(s.classes, s.cells)] * 2
+    model = tuple(np.zeros(x, np.float32) for x in shapes)
+    ends = np.cumsum([a * b for a, b in shapes])
     for k in range(s.rounds):
         part = training.where(F.pmod(F.xxhash64("text"), F.lit(s.rounds)) == k).select("text")
-        sums = tree_sum(part.mapInArrow(_updates(w, q, label, s), "kind string, slot long, v binary"), "kind", part.rdd.getNumPartitions(), "float32")
+        sums = tree_sum(part.mapInArrow(_updates(model, label, s), "kind string, slot long, v binary"), "kind", part.rdd.getNumPartitions(), "float32")
         if sums:
-            total = np.maximum(sums["w"][2 * cells :], 1)[:, None]
-            w = w + sums["w"][:cells].reshape(w.shape) / total
-            q = q + sums["w"][cells : 2 * cells].reshape(w.shape) / total
-    return w
+            *moved, seen = np.split(sums["w"], ends)
+            by = np.maximum(seen[: s.buckets], 1)[:, None], np.maximum(seen[s.buckets :], 1)[:, None]
+            model = tuple(x + m.reshape(x.shape) / by[i // 2] for i, (x, m) in enumerate(zip(model, moved, strict=True)))
+    return model[0], model[2]
 
 
 def _rare(common: Common):
@@ -204,13 +232,13 @@ def _rare(common: Common):
     return batches(run)
 
 
-def _local(common: Common, seen: np.ndarray, weights: np.ndarray, label: np.ndarray, s: Settings):
-    """mapInArrow: of each text what needs no shuffle: its common tokens' logs, its class terms, its tokens by class."""
+def _local(common: Common, seen: np.ndarray, weights: np.ndarray, offsets: np.ndarray, label: np.ndarray, shares: np.ndarray, s: Settings):
+    """mapInArrow: of each text what needs no shuffle: its common tokens' logs, and those of its tokens' classes and cells."""
     logs, known = np.log10(seen + 0.5), seen > 0
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
-        tokens, hits, base, context, by = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros((n, s.classes), np.int32)
+        tokens, hits, base, context = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         for a, b, codes, rows in _chunks(batch):
             size = b - a
             at = common.find(codes)
@@ -218,15 +246,16 @@ def _local(common: Common, seen: np.ndarray, weights: np.ndarray, label: np.ndar
             tokens[a:b] = np.bincount(rows, minlength=size)
             base[a:b] = np.bincount(rows[near], logs[at[near]], minlength=size)
             hits[a:b] = np.bincount(rows[near], known[at[near]], minlength=size)
-            y = label[(codes & U64(ENDINGS - 1)).astype(np.int64)]
-            by[a:b] = np.bincount(rows * s.classes + y, minlength=size * s.classes).reshape(size, s.classes)
+            kind = _kind(codes, s)
+            y, cell = label[kind // s.cells], kind % s.cells
             for i in range(0, len(codes), 1 << 16):
                 j = min(i + (1 << 16), len(codes))
                 lead = max(0, i - 2)
-                p = _softmax(weights, _features(codes[lead:j], rows[lead:j], s.buckets)[:, i - lead :])
-                context[a:b] += np.bincount(rows[i:j], np.log10(np.maximum(p[np.arange(j - i), y[i:j]], 1e-12)), minlength=size)
-        cells = pa.ListArray.from_arrays(pa.array(np.arange(0, by.size + 1, s.classes, dtype=np.int32)), pa.array(by.ravel()))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "train": batch.column("train"), "mark": batch.column("mark"), "n_tokens": tokens, "hits": hits, "base": base, "context": context, "by": cells})
+                of_class, of_cell = _logs(weights, offsets, _features(codes[lead:j], rows[lead:j], s.buckets)[:, i - lead :], y[i:j])
+                line = np.arange(j - i)
+                log = (of_class[line, y[i:j]].astype(float) + of_cell[line, cell[i:j]]) / np.log(10) - shares[y[i:j], cell[i:j]]
+                context[a:b] += np.bincount(rows[i:j], log, minlength=size)
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "train": batch.column("train"), "mark": batch.column("mark"), "n_tokens": tokens, "hits": hits, "base": base, "context": context})
 
     return batches(run)
 
@@ -236,13 +265,13 @@ def score(docs: DataFrame, train: "F.Column", settings: Settings = Settings()) -
 
     ``train`` is a condition on doc_id: the rows to learn from. Tokens are words and one end a text, so a null or
     empty text is one end. The base is the smoothed unigram probability. The model gives a token its
-    class by what stands before, from hashed n-gram and skip features, times its share of the class: (c + 0.5) /
-    (N + 0.5 (V + 1)) with N and V of that class, all unseen words of a class together being one more. A token's class is that of
-    its ending, so unseen words have one too. Counts are those of all training rows; rows that
-    repeat count and are scored each. Without training rows every probability of the base is 1.
+    class by what stands before, from hashed n-gram and skip features, then its cell of that class from the same features, times its share
+    of the cell: (c + 0.5) / (N + 0.5 (V + 1)) with N and V of that cell, all unseen words of a cell together being one more. Both
+    softmaxes are trained by gradients. A token's class is that of its ending, its cell one of its hash's, so unseen words have both.
+    Counts are those of all training rows; rows that repeat count and are scored each. Without training rows every probability of the base is 1.
 
-    Tokens that a sample shows to be common are counted in arrays of fixed size. All others meet by token in one
-    shuffle, each text's repeats as one row, and go back to their texts as sums. Texts are told apart by 64
+    Tokens that a sample shows to be common are counted in arrays of fixed size. All others are counted by token and text, then by
+    token, each time in the tasks first, and go back to their texts as sums. Texts are told apart by 64
     bits of a hash over doc_id and text.
     """
     s = settings
@@ -250,45 +279,36 @@ def score(docs: DataFrame, train: "F.Column", settings: Settings = Settings()) -
     rows = rows.select("*", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("mark"), F.coalesce(train, F.lit(False)).alias("train"))
     training = few_partitions(rows.where("train").select("text"))
     common = _common(rows, s)
-    sums = tree_sum(training.mapInArrow(_counts(common), "kind string, slot long, v binary"), "kind", training.rdd.getNumPartitions())
+    sums = tree_sum(training.mapInArrow(_counts(common, s), "kind string, slot long, v binary"), "kind", training.rdd.getNumPartitions())
     seen = sums.get("seen", np.zeros(len(common.table)))
-    ending = sums.get("ending", np.zeros(ENDINGS))
-    label = _classes(ending, sums.get("pairs", np.zeros(ENDINGS * 64)), s.classes)
-    weights = _train(training, label, s)
+    tokens_of = sums.get("kinds", np.zeros(ENDINGS * s.cells))
+    label = _classes(tokens_of.reshape(ENDINGS, s.cells).sum(axis=1), sums.get("pairs", np.zeros(ENDINGS * 64)), s.classes)
+    weights, offsets = _train(training, label, s)
 
-    # Rare tokens: their counts by token, then their logs by text and their number by ending.
+    # Rare tokens: one row a token and text, of which repeated rows count for the token each but for the text once.
     rare = rows.select("text", "mark", "train").mapInArrow(_rare(common), "code long, mark long, n int")
-    by_code = W.partitionBy("code").orderBy("mark")
-    counted = rare.select(
-        "code", "mark", F.abs("n").alias("n"),
-        F.sum(F.greatest("n", F.lit(0))).over(W.partitionBy("code")).alias("c"),
-        F.lag("mark").over(by_code).alias("last"),
-    )
-    # Repeated rows give a text's tokens twice: one of them counts for the text.
-    fresh = F.col("last").isNull() | (F.col("last") != F.col("mark"))
-    log = F.col("n") * F.log10(F.col("c") + 0.5)
-    to_text = F.struct(F.lit(True).alias("is_text"), F.col("mark").alias("key"), F.when(fresh, log).otherwise(0.0).alias("base"), F.when(fresh & (F.col("c") > 0), F.col("n")).otherwise(0).cast("long").alias("hits"))
-    to_ending = F.struct(F.lit(False).alias("is_text"), F.col("code").bitwiseAND(ENDINGS - 1).alias("key"), F.lit(0.0).alias("base"), F.lit(1).cast("long").alias("hits"))
-    both = F.when(F.col("last").isNull() & (F.col("c") > 0), F.array(to_text, to_ending)).otherwise(F.array(to_text))
-    found = cut(counted.select(F.explode(both).alias("x")).select("x.*").groupBy("is_text", "key").agg(F.sum("base").alias("base"), F.sum("hits").alias("hits")))
-
-    kinds = np.zeros(ENDINGS)
-    for r in found.where("not is_text").toLocalIterator():  # ENDINGS rows at most
-        kinds[r["key"]] += r["hits"]
-    held = common.table[seen > 0] & U64(ENDINGS - 1)
-    kinds += np.bincount(held.astype(np.int64), minlength=ENDINGS)
-    n_all, v_all = float(ending.sum()), float(kinds.sum())
-    n_class, v_class = (np.bincount(label, x, minlength=s.classes) for x in (ending, kinds))
-    shares = np.log10(n_class + 0.5 * (v_class + 1))
+    rare = rare.groupBy("code", "mark").agg(F.sum(F.greatest("n", F.lit(0))).alias("learned"), F.max(F.abs("n")).alias("n"))
+    counts = rare.groupBy("code").agg(F.sum("learned").alias("c"))
+    joined = rare.join(counts, "code")
+    far = joined.groupBy("mark").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("far_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("far_hits"))
+
+    distinct = np.zeros(ENDINGS * s.cells)
+    place = F.col("code").bitwiseAND(ENDINGS - 1) * s.cells + F.shiftright("code", 40).bitwiseAND(s.cells - 1)
+    for r in counts.where("c > 0").groupBy(place.alias("kind")).count().toLocalIterator():  # ENDINGS * cells rows at most
+        distinct[r["kind"]] += r["count"]
+    distinct += np.bincount(_kind(common.table[seen > 0], s), minlength=len(distinct))
+    n_all, v_all = float(tokens_of.sum()), float(distinct.sum())
+    cell = np.repeat(label, s.cells) * s.cells + np.tile(np.arange(s.cells), ENDINGS)
+    n_cell, v_cell = (np.bincount(cell, x, minlength=s.classes * s.cells) for x in (tokens_of, distinct))
+    shares = np.log10(n_cell + 0.5 * (v_cell + 1)).reshape(s.classes, s.cells)
     one = float(np.log10(n_all + 0.5 * (v_all + 1)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    local = rows.mapInArrow(_local(common, seen, weights, label, s), f"doc_id {kind}, train boolean, mark long, n_tokens long, hits long, base double, context double, by array<int>")
-    far = found.where("is_text").select(F.col("key").alias("mark"), F.col("base").alias("far_base"), F.col("hits").alias("far_hits"))
+    schema = f"doc_id {kind}, train boolean, mark long, n_tokens long, hits long, base double, context double"
+    local = rows.mapInArrow(_local(common, seen, weights, offsets, label, shares, s), schema)
     joined = local.join(far, "mark", "left")
     base = F.col("base") + F.coalesce("far_base", F.lit(0.0))
-    out_of = sum((F.get("by", F.lit(k)) * F.lit(float(x)) for k, x in enumerate(shares)), F.lit(0.0))
     return joined.select(
         "doc_id", "train", "n_tokens", (F.col("hits") + F.coalesce("far_hits", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (base - F.col("n_tokens") * F.lit(one)).alias("base_score"), (base + F.col("context") - out_of).alias("score"),
+        (base - F.col("n_tokens") * F.lit(one)).alias("base_score"), (base + F.col("context")).alias("score"),
     )

@@ -204,12 +204,12 @@ def test_language_model_trains_on_every_position():
 
     settings = language_model.Settings()
     texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(5)]
-    zero = np.zeros((settings.buckets, settings.classes), np.float32)
-    run = language_model._updates(zero, zero, np.zeros(language_model.ENDINGS, np.int64), settings)
+    zero, offsets = np.zeros((settings.buckets, settings.classes + settings.cells), np.float32), np.zeros((settings.classes, settings.cells), np.float32)
+    run = language_model._updates((zero, zero, offsets, offsets), np.zeros(language_model.ENDINGS, np.int64), settings)
     for parts in ([texts], [texts[:2], texts[2:]]):
         given = [pa.RecordBatch.from_pydict({"text": p}) for p in parts]
         (out,) = run(iter(given))
-        touched = np.frombuffer(out.column("v")[0].as_py(), np.float32)[-settings.buckets :] > 0
+        touched = np.frombuffer(out.column("v")[0].as_py(), np.float32)[-settings.buckets - settings.classes : -settings.classes] > 0
         want = np.zeros(settings.buckets, bool)
         for batch in given:
             for *_, codes, rows in language_model._chunks(batch):
@@ -217,6 +217,23 @@ def test_language_model_trains_on_every_position():
         assert (touched == want).all()
 
 
+def test_language_model_probabilities_sum_to_one():
+    """Over all classes and cells after any context; inside a cell all counted words and the unseen ones share what the counts say."""
+    import numpy as np
+
+    s, rng = language_model.Settings(), np.random.default_rng(3)
+    weights, offsets = rng.normal(0, 4, (s.buckets, s.classes + s.cells)).astype(np.float32), rng.normal(0, 9, (s.classes, s.cells)).astype(np.float32)
+    features = np.stack([rng.integers(0, s.buckets, 50) for _ in range(5)])
+    total = np.zeros(50)
+    for y in range(s.classes):
+        of_class, of_cell = language_model._logs(weights, offsets, features, np.full(50, y))
+        total += np.exp(of_class[:, y].astype(float)) * np.exp(of_cell.astype(float)).sum(axis=1)
+    assert np.allclose(total, 1, atol=1e-5) and np.isfinite(of_cell).all()
+    counts = rng.integers(1, 9, 40)
+    share = counts.sum() + 0.5 * (len(counts) + 1)
+    assert abs(((counts + 0.5) / share).sum() + 0.5 / share - 1) < 1e-12
+
+
 def test_mix_follows_its_sql_and_reruns_agree(spark, docs):
     plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     one, two = mixing.mix(plain), mixing.mix(plain.repartition(7))
