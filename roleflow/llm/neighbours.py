@@ -11,23 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from roleflow.session import cut
-
 #: Cells of a projection, numbered from 0; the outermost are open.
 CELLS = 8
 
 
 @dataclass(frozen=True)
 class Settings:
-    """A query visits buckets of each table in order of estimated success until they hold ``share`` of all vectors.
+    """A query visits buckets of each table in order of estimated success, until a vector as near as its last wanted one is
+    expected in one of the tables' visited buckets with a chance of ``goal``.
 
-    ``block``: vectors of a table that meet queries in one task. ``least``: candidates a table gives at any rate.
+    How near that is, at most, a ``sample`` of the vectors tells. ``block``: vectors of a table that meet queries in one task.
+    ``least``: candidates a table gives at any rate.
     """
 
     tables: int = 5
     projections: int = 5
     width: float = 1.0
-    share: float = 0.2
+    goal: float = 0.88
+    sample: int = 4096
     least: int = 512
     block: int = 8192
     nearest: int = 20
@@ -81,32 +82,53 @@ def _index(longest: float, s: Settings):
     return run
 
 
-def _visits(longest: float, s: Settings, directory: list[tuple[np.ndarray, np.ndarray]], need: float):
+def _normal(x: np.ndarray) -> np.ndarray:
+    """The normal distribution function, to seven digits (Abramowitz and Stegun 26.2.17)."""
+    t = 1 / (1 + 0.2316419 * np.abs(x))
+    tail = np.exp(-x * x / 2) / np.sqrt(2 * np.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(x > 0, 1 - tail, tail)
+
+
+def _reach(x: np.ndarray, ids: np.ndarray, known: np.ndarray, known_ids: np.ndarray, longest: float, rank: int) -> np.ndarray:
+    """For each query the distance, in the hashed space, to the vector of that rank in the sample, its own row aside."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    apart = 2 - 2 * (x / length) @ known.T / longest
+    apart[ids[:, None] == known_ids[None, :]] = np.inf
+    rank = min(rank, apart.shape[1]) - 1
+    near = np.partition(apart, rank, axis=1)[:, rank]
+    return np.sqrt(np.clip(np.where(np.isfinite(near), near, 4.0), 1e-6, 4.0))
+
+
+def _visits(longest: float, s: Settings, directory: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray, known_ids: np.ndarray, rank: int):
     """mapInPandas: of each query and table, a row for each first cell with visited buckets and their bits."""
     inner = s.buckets // CELLS
     held = [(np.stack(np.unravel_index(ids, (CELLS,) * s.projections), axis=1), counts, ids) for ids, counts in directory]
+    enough = 1 - (1 - s.goal) ** (1 / s.tables)
+    edges = np.r_[-np.inf, np.arange(1, CELLS), np.inf]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in it:
             for a in range(0, len(frame), 64):
                 part = frame.iloc[a : a + 64]
-                place = _projected(np.stack(part["v"]).astype(float), longest, s, query=True)
+                x = np.stack(part["v"]).astype(float)
+                place = _projected(x, longest, s, query=True)
+                spread = _reach(x, part["vec_id"].to_numpy(), known, known_ids, longest, rank) / s.width
+                # The chance that a vector at that distance lies in each cell of each line.
+                upto = _normal((edges - place[..., None]) / spread[:, None, None, None])
+                chance = upto[..., 1:] - upto[..., :-1]
                 for t, (cells, counts, ids) in enumerate(held):
-                    cost = np.zeros((len(part), len(ids)))
+                    hit = np.ones((len(part), len(ids)))
                     for k in range(s.projections):
-                        # Squared distance to each cell of the line, whose outermost have no far end.
-                        edge = np.arange(CELLS)
-                        low = np.where(edge == 0, -np.inf, edge) - place[:, t, k, None]
-                        high = place[:, t, k, None] - np.where(edge == CELLS - 1, np.inf, edge + 1)
-                        cost += (np.maximum(0, np.maximum(low, high)) ** 2)[:, cells[:, k]]
-                    order = np.argsort(cost, axis=1, kind="stable")
+                        hit *= chance[:, t, k][:, cells[:, k]]
+                    order = np.argsort(-hit, axis=1, kind="stable")
+                    won = np.cumsum(np.take_along_axis(hit, order, axis=1), axis=1)
                     before = np.cumsum(counts[order], axis=1) - counts[order]
-                    rows, ranks = np.nonzero(before < need)
+                    rows, ranks = np.nonzero((won - np.take_along_axis(hit, order, axis=1) < enough) | (before < s.least))
                     bits = np.zeros((len(part), s.buckets), bool)
                     bits[rows, ids[order[rows, ranks]]] = True
                     bits = bits.reshape(len(part), CELLS, inner)
                     at, g = np.nonzero(bits.any(axis=2))
-                    yield pd.DataFrame({"t": t, "g": g, "query_id": part["vec_id"].to_numpy()[at], "v": part["v"].to_numpy()[at], "bits": [x.tobytes() for x in np.packbits(bits[at, g], axis=1)]})
+                    yield pd.DataFrame({"t": t, "g": g, "query_id": part["vec_id"].to_numpy()[at], "v": part["v"].to_numpy()[at], "bits": [y.tobytes() for y in np.packbits(bits[at, g], axis=1)]})
 
     return run
 
@@ -156,7 +178,8 @@ def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings
     dim = good.agg(F.max(F.size("v")).alias("d")).first()["d"]
     good, asked = good.where(F.size("v") == (dim or 0)), asked.where(F.size("v") == (dim or 0))
     longest = float(np.sqrt(good.agg(F.max(norm).alias("m")).first()["m"] or 1.0))
-    indexed = good.mapInPandas(_index(longest, s), "t int, bucket long, vec_id long, v array<float>")
+    kind = good.schema["v"].dataType.simpleString()
+    indexed = good.mapInPandas(_index(longest, s), f"t int, bucket long, vec_id long, v {kind}")
     found = indexed.groupBy("t", "bucket").count().toPandas()  # CELLS ** projections rows a table at most
     n = int(found.loc[found["t"] == 0, "count"].sum())
     directory = [(p["bucket"].to_numpy(), p["count"].to_numpy()) for t in range(s.tables) for p in [found[found["t"] == t].sort_values("bucket")]]
@@ -166,11 +189,16 @@ def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings
     of = F.get(many, F.col("t") * CELLS + F.col("g"))
     rows = indexed.withColumn("g", F.floor(F.col("bucket") / F.lit(s.buckets // CELLS)).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), of).cast("int"))
-    visits = asked.mapInPandas(_visits(longest, s, directory, max(s.share * n, s.least)), "t int, g int, query_id long, v array<float>, bits binary")
+    drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.sample).toPandas()
+    known = np.stack(drawn["v"]).astype(np.float32) if len(drawn) else np.zeros((0, dim or 0), np.float32)
+    # What the sample has of that rank is no nearer, most likely, than what all have of the wanted one.
+    rank = -(-s.nearest * len(drawn) // max(n, 1)) + 1
+    visit = _visits(longest, s, directory, known, drawn["vec_id"].to_numpy(), rank)
+    visits = asked.mapInPandas(visit, f"t int, g int, query_id long, v {kind}, bits binary")
     visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), of - 1)))
     key = ["t", "g", "block"]
     tasks = max(8, 4 * sum(blocks.values()) // 3)
     near = rows.repartition(tasks, *key).groupBy(*key).cogroup(visits.repartition(tasks, *key).groupBy(*key)).applyInPandas(_ranked(s), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = near.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.nearest)
-    return cut(best.select("query_id", "rank", "vec_id", "score"))
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -83,3 +83,37 @@ def test_repeats_match_brute_force(spark, texts):
         left = np.frombuffer(t, np.uint8)[~gone].tobytes()
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())
+
+
+def test_neighbours_in_clusters_take_few_candidates(spark):
+    """Where vectors lie in clusters, a query finds its own without visiting most of the others; components keep their type."""
+    from roleflow.llm import neighbours
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 24))
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), 40, axis=0)
+    x = x + 0.02 * rng.normal(size=x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4).cache()
+    got = neighbours.search(frame, frame.where("vec_id % 400 = 0")).toPandas()
+    hits = 0
+    for i, part in got.groupby("query_id"):
+        score = x @ x[i]
+        score[i] = -9
+        order = np.argsort(-score)[:20]
+        hits += len(set(order.tolist()) & set(part["vec_id"]))
+        best = part.sort_values("rank").iloc[0]
+        assert abs(best["score"] - float(np.dot(x[i], x[int(best["vec_id"])]))) < 1e-12
+    assert hits >= 0.9 * len(got)
+    s, longest = neighbours.Settings(least=0), float(np.linalg.norm(x, axis=1).max())
+    bucket = neighbours._buckets(neighbours._projected(x, longest, s, query=False), s)
+    tables = [np.unique(bucket[:, t], return_counts=True) for t in range(s.tables)]
+    visit = neighbours._visits(longest, s, tables, x[::2].astype(np.float32), np.arange(len(x))[::2], 11)
+    import pandas as pd
+
+    inner, seen = s.buckets // neighbours.CELLS, 0
+    for f in visit(iter([pd.DataFrame({"vec_id": np.arange(0, len(x), 400), "v": list(x[::400])})])):
+        for r in f.itertuples():
+            bits = np.unpackbits(np.frombuffer(r.bits, np.uint8))[:inner].astype(bool)
+            seen += int(((bucket[:, r.t] // inner == r.g) & bits[bucket[:, r.t] % inner]).sum())
+    assert seen / s.tables < 0.1 * len(x) * (len(x) // 400)
