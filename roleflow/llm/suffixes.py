@@ -281,7 +281,8 @@ def _repeated(long_rows: DataFrame, s: Settings, tables: Scratch) -> tuple[DataF
     found = tables.put(long_rows.select("tid", "text").mapInArrow(_anchor_rows(s), "key long, tid long, first int, last int, moved boolean"))
     # A key of two places, or of one that moves. Sums by key are made in each task first, so a common key is no hot group.
     place = F.xxhash64("tid", "first")
-    twice = found.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("moved").alias("m")).where("x <> y or m").select("key")
+    twice = found.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("moved").alias("m")).where("x <> y or m")
+    twice = cut(twice.select("key"))  # a table of its own, so that the join may split a common key
     by_text = found.join(twice, "key", "left_semi").distinct().groupBy("tid").agg(F.collect_list(F.struct("key", "first", "last", "moved")).alias("places"))
     texts = cut(long_rows.select("tid", "text").join(by_text, "tid").dropDuplicates(["tid"]))
 
@@ -303,7 +304,7 @@ def _repeated(long_rows: DataFrame, s: Settings, tables: Scratch) -> tuple[DataF
         windows = held.join(crowded, "key", "left_semi").mapInArrow(_windows(s), "key long, h1 long, h2 long, a long, w1 long, w2 long")
         windows = tables.put(windows)
         # Every row is a place of its own.
-        twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
+        twice = cut(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"))
         windows = windows.join(twice, ["w1", "w2"], "left_semi")
         # Neighbouring windows are one run.
         inside = W.partitionBy("key", "h1", "h2").orderBy("a")
