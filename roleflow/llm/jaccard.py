@@ -22,6 +22,8 @@ from roleflow.session import Scratch, cut
 SKETCH = 16
 #: Texts whose signatures a task remembers not to give twice.
 SEEN = 1 << 18
+#: Names that are sent to all tasks at most.
+FEW = 1 << 17
 #: What a signature's last bits hold: its part, how many parts of its set have an empty signature, and which of two bands it is for.
 #: The number is UNCOUNTED for a set of more parts than are told apart, and KEPT for one that keeps its empty signatures.
 PARTS, EMPTY, UNCOUNTED, KEPT = 1 << 13, 255, 254, 255
@@ -237,7 +239,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, s: Settings
         near = near.join(classes.select(F.col("f1").alias(side), F.struct("n", "sketch").alias(f"_{side}")), side)
     near = cut(near.where(_near("_a", "_b", s.percent)).select("a", "b"))
     asked = near.select(F.explode(F.array("a", "b")).alias("f1")).distinct().join(classes.select("id", "f1"), "f1")
-    texts = docs.join(asked.withColumnRenamed("id", "doc_id"), "doc_id")
+    asked = cut(asked.select(F.col("id").alias("doc_id"), "f1"))
+    # A counted, small table of names goes to the texts; else both are shuffled.
+    texts = docs.join(F.broadcast(asked) if asked.count() <= FEW else asked, "doc_id")
     # A doc_id may stand for several texts; only the one with the name is the class's.
     sets = cut(texts.mapInArrow(_set_rows(s), "f1 bigint, set array<bigint>").dropDuplicates(["f1"]))
     left, right = sets.select(F.col("f1").alias("a"), F.col("set").alias("x")), sets.select(F.col("f1").alias("b"), F.col("set").alias("y"))
