@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roleflow.llm import decontaminate, jaccard, mixing, secrets, toxicity
 from roleflow.llm._common import split_of
-from roleflow.session import ensure_checkpoint_dir, table
+from roleflow.session import ensure_checkpoint_dir, remove, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each one's rows are written to the shared folder and read again."""
+    """The stages over ``documents``; each one's rows are written to the shared folder and read again, and go when the next one's are there."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
