@@ -42,7 +42,7 @@ def score_of(value: Column, penalty: Column | None = None) -> Column:
     """An integer of 0 to 100, less a penalty down to 0; null for anything else."""
     n = value.cast("string").try_cast("int")
     kept = F.when(n.between(0, 100), n)
-    return kept if penalty is None else F.greatest(F.lit(0), kept - F.coalesce(penalty, F.lit(0)))
+    return kept if penalty is None else F.when(kept.isNotNull(), F.greatest(F.lit(0), kept - F.coalesce(penalty, F.lit(0))))
 
 
 def is_past(deadline: Column, as_of: Column) -> Column:

@@ -274,7 +274,7 @@ def judge_decisions(spark, sf):
 
 @q(
     """WITH l AS (SELECT l_orderkey AS id, count(*) AS n, bool_or(l_returnflag = 'N' AND l_quantity > 45) AS kind, bool_or(l_discount > 0.09 AND l_quantity < 5) AS quote, bool_or(l_linenumber > 6) AS idx FROM lineitem GROUP BY l_orderkey)
-SELECT id, CASE WHEN n = 5 THEN 'failed' WHEN n = 4 THEN 'seniority' WHEN kind THEN 'kind' WHEN quote THEN 'quote' WHEN idx THEN 'index' END AS fault FROM l"""
+SELECT id, CASE WHEN n = 5 THEN 'failed' WHEN n = 4 THEN 'seniority' WHEN n > 12 THEN 'too many requirements' WHEN kind THEN 'kind' WHEN quote THEN 'quote' WHEN idx THEN 'index' END AS fault FROM l"""
 )
 def result_faults(spark, sf):
     lines = table(spark, sf, "lineitem").selectExpr("l_orderkey AS id", "l_linenumber AS k", "CASE WHEN l_returnflag = 'N' AND l_quantity > 45 THEN 'other' ELSE 'skill' END AS kind", "CASE WHEN l_discount > 0.09 AND l_quantity < 5 THEN 'not there' ELSE 'A  Line' END AS quote", "l_linenumber > 6 AS far")
