@@ -14,6 +14,8 @@ from roleflow.llm._common import CHUNK, LOWER, U64, batches, few_partitions, mix
 
 #: Word endings are hashed to so many; a token's code ends in that of its ending.
 ENDINGS = 1 << 12
+#: Positions of a text that are looked at together.
+STEP = 1 << 14
 #: The code of the end of a text.
 END = np.uint64(0x5851F42D4C957000)
 
@@ -29,7 +31,7 @@ class Settings:
     common: int = 1 << 16
     sample: int = 2000
     classes: int = 16
-    cells: int = 16
+    cells: int = 8
     buckets: int = 1 << 15
     rounds: int = 2
     rate: float = 0.4
@@ -137,30 +139,44 @@ def _features(codes: np.ndarray, rows: np.ndarray, buckets: int) -> np.ndarray:
     return np.stack([np.full(len(codes), buckets - 1, U64), *hashed]).astype(np.int64)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def _logs(weights: np.ndarray, offsets: np.ndarray, features: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the classes, and of the cells of class ``y``.
+def _scores(weights: np.ndarray, offsets: np.ndarray, features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Scores of the classes and, beside them, of the cells of class ``y``, each less the largest of its part of the row.
 
     Every feature has weights for both; a class adds weights of its own to those of the cells.
     """
     k = len(offsets)
-    z = weights[features[0]]
+    z = weights.take(features[0], axis=0)
     for f in features[1:]:
-        z = z + weights[f]
-    return _log_softmax(z[:, :k]), _log_softmax(z[:, k:] + offsets[y])
+        z += weights.take(f, axis=0)
+    z[:, k:] += offsets.take(y, axis=0)
+    for part in (z[:, :k], z[:, k:]):
+        part -= part.max(axis=1, keepdims=True)
+    return z
+
+
+def _logs(weights: np.ndarray, offsets: np.ndarray, features: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the classes, and of the cells of class ``y``."""
+    z = _scores(weights, offsets, features, y)
+    return tuple(p - np.log(np.exp(p).sum(axis=1, keepdims=True)) for p in (z[:, : len(offsets)], z[:, len(offsets) :]))
+
+
+def _chances(weights: np.ndarray, offsets: np.ndarray, features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Probabilities of the classes and, beside them, of the cells of class ``y``."""
+    z = _scores(weights, offsets, features, y)
+    np.exp(z, out=z)
+    for part in (z[:, : len(offsets)], z[:, len(offsets) :]):
+        part /= part.sum(axis=1, keepdims=True)
+    return z
 
 
 def _sums(f: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of ``f`` with the sums of their rows of ``x``, over the root of their number."""
-    order = np.argsort(f.astype(np.uint16), kind="stable")
-    sorted_f = f[order]
-    first = np.flatnonzero(np.r_[True, sorted_f[1:] != sorted_f[:-1]])
+    f = f.astype(np.uint16)
+    order = np.argsort(f, kind="stable")
+    f = f[order]
+    first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
     n = np.diff(np.r_[first, len(f)])[:, None].astype(np.float32)
-    return sorted_f[first], np.add.reduceat(x[order], first, axis=0) / np.sqrt(n)
+    return f[first].astype(np.int64), np.add.reduceat(x.take(order, axis=0), first, axis=0) / np.sqrt(n)
 
 
 def _updates(model: tuple[np.ndarray, ...], label: np.ndarray, s: Settings):
@@ -177,9 +193,9 @@ def _updates(model: tuple[np.ndarray, ...], label: np.ndarray, s: Settings):
             for *_, codes, rows in _chunks(batch):
                 features, kind = _features(codes, rows, s.buckets), _kind(codes, s)
                 y, cell = label[kind // s.cells], kind % s.cells
-                for a in range(0, len(codes), 16384):
-                    part, own, own_cell = features[:, a : a + 16384], y[a : a + 16384], cell[a : a + 16384]
-                    miss = np.exp(np.hstack(_logs(w, offsets, part, own)))
+                for a in range(0, len(codes), STEP):
+                    part, own, own_cell = features[:, a : a + STEP], y[a : a + STEP], cell[a : a + STEP]
+                    miss = _chances(w, offsets, part, own)
                     line = np.arange(len(own))
                     miss[line, own] -= 1
                     miss[line, s.classes + own_cell] -= 1
@@ -248,12 +264,15 @@ def _local(common: Common, seen: np.ndarray, weights: np.ndarray, offsets: np.nd
             hits[a:b] = np.bincount(rows[near], known[at[near]], minlength=size)
             kind = _kind(codes, s)
             y, cell = label[kind // s.cells], kind % s.cells
-            for i in range(0, len(codes), 1 << 16):
-                j = min(i + (1 << 16), len(codes))
-                lead = max(0, i - 2)
-                of_class, of_cell = _logs(weights, offsets, _features(codes[lead:j], rows[lead:j], s.buckets)[:, i - lead :], y[i:j])
-                line = np.arange(j - i)
-                log = (of_class[line, y[i:j]].astype(float) + of_cell[line, cell[i:j]]) / np.log(10) - shares[y[i:j], cell[i:j]]
+            features = _features(codes, rows, s.buckets)
+            for i in range(0, len(codes), STEP):
+                j = min(i + STEP, len(codes))
+                own, own_cell, line = y[i:j], cell[i:j], np.arange(j - i)
+                z = _scores(weights, offsets, features[:, i:j], own)
+                log = z[line, own].astype(float) + z[line, s.classes + own_cell]
+                np.exp(z, out=z)
+                log -= np.log(z[:, : s.classes].sum(axis=1)) + np.log(z[:, s.classes :].sum(axis=1))
+                log = log / np.log(10) - shares[own, own_cell]
                 context[a:b] += np.bincount(rows[i:j], log, minlength=size)
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "train": batch.column("train"), "mark": batch.column("mark"), "n_tokens": tokens, "hits": hits, "base": base, "context": context})
 
@@ -270,8 +289,8 @@ def score(docs: DataFrame, train: "F.Column", settings: Settings = Settings()) -
     softmaxes are trained by gradients. A token's class is that of its ending, its cell one of its hash's, so unseen words have both.
     Counts are those of all training rows; rows that repeat count and are scored each. Without training rows every probability of the base is 1.
 
-    Tokens that a sample shows to be common are counted in arrays of fixed size. All others are counted by token and text, then by
-    token, each time in the tasks first, and go back to their texts as sums. Texts are told apart by 64
+    Tokens that a sample shows to be common are counted in arrays of fixed size. All others are counted by token, in
+    the tasks first, and go back to their texts as sums. Texts are told apart by 64
     bits of a hash over doc_id and text.
     """
     s = settings
@@ -285,12 +304,16 @@ def score(docs: DataFrame, train: "F.Column", settings: Settings = Settings()) -
     label = _classes(tokens_of.reshape(ENDINGS, s.cells).sum(axis=1), sums.get("pairs", np.zeros(ENDINGS * 64)), s.classes)
     weights, offsets = _train(training, label, s)
 
-    # Rare tokens: one row a token and text, of which repeated rows count for the token each but for the text once.
+    # Rare tokens: one row a token and text. Of a text that repeats, each row has them, so its sums are divided by their number.
     rare = rows.select("text", "mark", "train").mapInArrow(_rare(common), "code long, mark long, n int")
-    rare = rare.groupBy("code", "mark").agg(F.sum(F.greatest("n", F.lit(0))).alias("learned"), F.max(F.abs("n")).alias("n"))
-    counts = rare.groupBy("code").agg(F.sum("learned").alias("c"))
+    counts = rare.groupBy("code").agg(F.sum(F.greatest("n", F.lit(0))).alias("c"))
     joined = rare.join(counts, "code")
-    far = joined.groupBy("mark").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("far_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("far_hits"))
+    n = F.abs("n")
+    far = joined.groupBy("mark").agg(F.sum(n * F.log10(F.col("c") + 0.5)).alias("far_base"), F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("far_hits"))
+    again = rows.groupBy("mark").count().where("count > 1")
+    far = far.join(again, "mark", "left").select(
+        "mark", (F.col("far_base") / F.coalesce("count", F.lit(1))).alias("far_base"), F.expr("far_hits div coalesce(count, 1)").alias("far_hits")
+    )
 
     distinct = np.zeros(ENDINGS * s.cells)
     place = F.col("code").bitwiseAND(ENDINGS - 1) * s.cells + F.shiftright("code", 40).bitwiseAND(s.cells - 1)
