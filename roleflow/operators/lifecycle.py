@@ -119,14 +119,17 @@ def fill(old: Column, new: Column) -> Column:
 
 
 def bulk_decision(rows: DataFrame, request: DataFrame, applied_at: Column) -> DataFrame:
-    """All of ``request(id, expected_status, expected_revision, new_status)``, or none: each row with ``outcome``.
+    """All rows of an operation of ``request(op, id, expected_status, expected_revision, new_status)``, or none: each row with ``outcome``.
 
-    The outcome is ``applied`` only if every row is there as expected; else ``conflict`` for those that are not and ``held`` for the rest.
+    The outcome is ``applied`` only if every row of the operation is there as expected; else ``conflict`` for those that are not and ``held``
+    for the rest.
     """
     joined = request.join(rows, "id", "left")
     ok = F.coalesce((F.col("status") == F.col("expected_status")) & (F.col("revision") == F.col("expected_revision")), F.lit(False))
     checked = joined.withColumn("ok", ok)
-    everything = F.min("ok").over(W.partitionBy())
+    whole = checked.groupBy(F.col("op").alias("_op")).agg(F.min("ok").alias("_all"))
+    checked = checked.join(whole, F.col("op") == F.col("_op"))
+    everything = F.col("_all")
     outcome = F.when(everything, "applied").when(F.col("ok"), "held").otherwise("conflict")
     sent = F.coalesce("applied_at", F.when(F.col("new_status").isin(*V.APPLICATION), applied_at))
     return checked.select("id", outcome.alias("outcome"), F.when(everything, F.col("new_status")).otherwise(F.col("status")).alias("status"), F.when(everything, sent).otherwise(F.col("applied_at")).alias("applied_at"))

@@ -32,7 +32,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "posting": (
         "documents",
-        ("doc_id AS id", "source AS org", "lang", "substring(text, 1, 60) AS title", "text AS description", "least(100, CAST(floor(n_chars / 50) AS BIGINT)) AS score"),
+        ("doc_id AS id", "source AS org", "lang", "split_part(text, chr(10), 1) AS title", "text AS description", "least(100, CAST(floor(n_chars / 50) AS BIGINT)) AS score"),
     ),
     "role": ("part", ("p_partkey AS id", "p_brand AS org", "p_name AS title", "CAST(p_size * 2 AS BIGINT) AS score", "p_type AS kind")),
     "seen": (

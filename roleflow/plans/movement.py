@@ -72,7 +72,7 @@ def evidence_lists(spark, sf):
 
 
 @q(
-    f"""+d AS (SELECT company_id, max(last_seen) AS last_fetched, count(*) FILTER (WHERE status = 'liked') > 0 AS engaged FROM vacancy WHERE id % 5 <> 0 GROUP BY company_id),
+    f"""+d AS (SELECT company_id, max(last_seen) AS last_fetched, count(*) FILTER (WHERE status = 'liked') > 0 AS engaged FROM vacancy WHERE status <> 'archived' GROUP BY company_id),
 r AS (SELECT company AS name, round(date_diff('day', last_fetched, {AS_OF})::DOUBLE / (30 + company_key % 60)::DOUBLE, 4) AS ratio, coalesce(engaged, false) AS engaged FROM company LEFT JOIN d ON company_id = company_key),
 k AS (SELECT *, CASE WHEN ratio IS NULL THEN 2 WHEN ratio >= 1 AND engaged THEN 0 WHEN ratio >= 1 THEN 1 END AS cohort FROM r)
 SELECT name, ratio, CAST(cohort AS INT) AS cohort FROM k WHERE cohort IS NOT NULL ORDER BY cohort, ratio DESC NULLS LAST, name LIMIT 200""",
@@ -80,7 +80,7 @@ SELECT name, ratio, CAST(cohort AS INT) AS cohort FROM k WHERE cohort IS NOT NUL
     "company",
 )
 def fetch_priority(spark, sf):
-    d = bound(spark, sf, "vacancy").where("id % 5 <> 0").groupBy("company_id").agg(F.max("last_seen").alias("last_fetched"), (F.count_if(F.col("status") == "liked") > 0).alias("engaged"))
+    d = bound(spark, sf, "vacancy").where("status <> 'archived'").groupBy("company_id").agg(F.max("last_seen").alias("last_fetched"), (F.count_if(F.col("status") == "liked") > 0).alias("engaged"))
     c = bound(spark, sf, "company").join(d, F.col("company_id") == F.col("company_key"), "left")
     rows = c.select(F.col("company").alias("name"), "last_fetched", F.coalesce("engaged", F.lit(False)).alias("engaged"), (30 + F.col("company_key") % 60).alias("ttl_days"))
     return K.due_first(rows, as_of(), 200).select("name", "ratio", "cohort")
@@ -200,19 +200,20 @@ def gone_from_source(spark, sf):
 
 
 @q(
-    """+b AS (SELECT company_key, balance FROM company WHERE company_key % 3 <> 0), c AS (SELECT company_key, -balance AS balance FROM company WHERE company_key % 2 = 0)
+    """+b AS (SELECT company_key, balance FROM company WHERE segment <> 'BUILDING'), c AS (SELECT company_key, -balance AS balance FROM company WHERE balance > 5000)
 SELECT * FROM c UNION ALL SELECT * FROM b WHERE company_key NOT IN (SELECT company_key FROM c)""",
     "company",
 )
 def upsert_rows(spark, sf):
-    c = bound(spark, sf, "company").select("company_key", "balance")
-    return L.upsert(c.where("company_key % 3 <> 0"), c.where("company_key % 2 = 0").withColumn("balance", -F.col("balance")), ["company_key"])
+    c = bound(spark, sf, "company")
+    base, fresh = c.where("segment <> 'BUILDING'"), c.where("balance > 5000").withColumn("balance", -F.col("balance"))
+    return L.upsert(base.select("company_key", "balance"), fresh.select("company_key", "balance"), ["company_key"])
 
 
-@q("SELECT company_key FROM company WHERE company_key % 5 = 0 AND company_key % 3 = 0", "company")
+@q("SELECT company_key FROM company WHERE balance > 5000 AND segment = 'BUILDING'", "company")
 def insert_if_absent(spark, sf):
-    c = bound(spark, sf, "company").select("company_key")
-    return L.insert_new(c.where("company_key % 3 <> 0"), c.where("company_key % 5 = 0"), ["company_key"])
+    c = bound(spark, sf, "company")
+    return L.insert_new(c.where("segment <> 'BUILDING'").select("company_key"), c.where("balance > 5000").select("company_key"), ["company_key"])
 
 
 @q("SELECT CASE WHEN score >= 60 THEN 'approve' WHEN score < 25 THEN 'reject' ELSE 'pending' END AS decision, count(*) AS n FROM vacancy GROUP BY 1", "vacancy")
@@ -236,27 +237,25 @@ def status_cdc(spark, sf):
 
 
 @q(
-    """+rev AS (SELECT id, status, id % 3 AS revision, CASE WHEN id % 4 = 0 THEN first_seen END AS applied_at FROM vacancy),
-req AS (SELECT id, status AS es, CASE WHEN id % 500 = 0 THEN 9 ELSE id % 3 END AS er FROM vacancy WHERE id % 100 = 0)
-SELECT id, CASE WHEN (SELECT count(*) FROM req JOIN rev USING (id) WHERE es = status AND er = revision) = (SELECT count(*) FROM req) THEN 'applied' WHEN es = status AND er = revision THEN 'held' ELSE 'conflict' END AS outcome,
-status FROM req JOIN rev USING (id)""",
+    """+req AS (SELECT id, company_id AS op, status, coalesce(score, 0) <> 77 AS ok FROM vacancy), w AS (SELECT op, bool_and(ok) AS every FROM req GROUP BY op)
+SELECT id, CASE WHEN every THEN 'applied' WHEN ok THEN 'held' ELSE 'conflict' END AS outcome, CASE WHEN every THEN 'applied' ELSE status END AS status FROM req JOIN w USING (op)""",
     "vacancy",
 )
 def bulk_decision(spark, sf):
     v = bound(spark, sf, "vacancy")
-    rows = v.selectExpr("id", "status", "id % 3 AS revision", "CASE WHEN id % 4 = 0 THEN first_seen END AS applied_at")
-    request = v.where("id % 100 = 0").selectExpr("id", "status AS expected_status", "CASE WHEN id % 500 = 0 THEN 9 ELSE id % 3 END AS expected_revision", "'applied' AS new_status")
+    rows = v.selectExpr("id", "status", "coalesce(score, 0) AS revision", "CASE WHEN score > 50 THEN first_seen END AS applied_at")
+    request = v.selectExpr("company_id AS op", "id", "status AS expected_status", "CASE WHEN score = 77 THEN -1 ELSE coalesce(score, 0) END AS expected_revision", "'applied' AS new_status")
     return L.bulk_decision(rows, request, as_of()).select("id", "outcome", "status")
 
 
 @q(
-    """+r AS (SELECT id, score AS old, CASE WHEN id % 6 = 0 THEN NULL ELSE 50 END AS score, id % 10 = 0 AS changed FROM vacancy WHERE id % 2 = 0)
+    """+r AS (SELECT id, score AS old, CASE WHEN deadline IS NULL THEN NULL ELSE 50 END AS score, last_seen > first_seen + 35 AS changed FROM vacancy)
 SELECT r.id, r.score, CASE WHEN v.status <> 'unseen' OR r.changed THEN 'skipped' WHEN v.score >= 40 THEN 'skipped' WHEN r.score IS NOT NULL THEN 'scored' ELSE 'prepared' END AS outcome FROM r JOIN vacancy v ON v.id = r.id""",
     "vacancy",
 )
 def compare_and_set(spark, sf):
     v = bound(spark, sf, "vacancy")
-    results = v.where("id % 2 = 0").selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'other' ELSE 'h' END AS text_hash", "score AS old_score", "CASE WHEN id % 6 = 0 THEN NULL ELSE 50 END AS score")
+    results = v.selectExpr("id", "CASE WHEN last_seen > first_seen + 35 THEN 'other' ELSE 'h' END AS text_hash", "score AS old_score", "CASE WHEN deadline IS NULL THEN NULL ELSE 50 END AS score")
     return L.compare_and_set(v.withColumn("text_hash", F.lit("h")), results)
 
 

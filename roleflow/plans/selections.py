@@ -56,15 +56,14 @@ def exclusion_reason_group(spark, sf):
 
 
 @q(
-    """SELECT id, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN 'new' END AS reason,
-CASE WHEN id % 5 = 0 THEN 'out_of_scope' WHEN (CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN 'new' END) IS NOT DISTINCT FROM 'old' THEN 'kept' WHEN id % 4 = 0 OR id % 3 <> 0 THEN 'cleared' ELSE 'stamped' END AS change
-FROM vacancy WHERE id % 5 <> 0 UNION ALL SELECT id, 'old', 'out_of_scope' FROM vacancy WHERE id % 5 = 0""",
+    """SELECT id, CASE WHEN status = 'archived' THEN 'old' WHEN score < 20 THEN 'old' WHEN score < 60 THEN 'new' END AS reason,
+CASE WHEN status = 'archived' THEN 'out_of_scope' WHEN score < 20 THEN 'kept' WHEN score < 60 THEN 'stamped' ELSE 'cleared' END AS change FROM vacancy""",
     "vacancy",
 )
 def reason_changes(spark, sf):
     v = bound(spark, sf, "vacancy")
     stored = v.select("id", F.lit("old").alias("stored_reason"))
-    fresh = v.where("id % 5 <> 0").selectExpr("id", "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN 'new' END AS reason")
+    fresh = v.where("status <> 'archived'").selectExpr("id", "CASE WHEN score < 20 THEN 'old' WHEN score < 60 THEN 'new' END AS reason")
     return C.stamp(stored, fresh)
 
 

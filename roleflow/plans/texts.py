@@ -106,6 +106,22 @@ def not_a_vacancy_signals(spark, sf):
     return bound(spark, sf, "posting").agg(*[F.count_if(t.rlike(f"(?i){p}")).alias(k) for k, p in (("offering", T.OFFERING), ("role", T.ROLE_NOUN), ("test", T.TEST_POSTING))])
 
 
+#: Titles, some of which name an offer or a test; both engines read them alike.
+_TITLE = "CASE length(description) % 5 WHEN 0 THEN 'Impact Accelerator Program' WHEN 1 THEN 'Program Manager' WHEN 2 THEN 'TEST JOB - do not apply' WHEN 3 THEN '  ' ELSE title END"
+_BODY = "CASE WHEN lang = 'fr' THEN concat('Requirements. How to apply. ', description) ELSE description END"
+
+
+@q(
+    f"""+t AS (SELECT trim({_TITLE}) AS t, {_BODY} AS d FROM posting), r AS (SELECT CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '(?i){_quoted(T.TEST_POSTING)}') THEN 'test posting, not a real job'
+WHEN regexp_matches(t, '(?i){_quoted(T.OFFERING)}') AND NOT regexp_matches(t, '(?i){_quoted(T.ROLE_NOUN)}') AND {_count('d', T.POSTING)} <= 1 THEN 'a program or grant to apply to, not a job' END AS reason FROM t)
+SELECT reason, count(*) AS n FROM r GROUP BY reason""",
+    "posting",
+)
+def not_a_vacancy_reasons(spark, sf):
+    reason = T.not_a_vacancy_reason(F.expr(_TITLE), F.expr(_BODY))
+    return bound(spark, sf, "posting").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 #: Descriptions with what a fetched page adds to them, by the length of the text; both engines read it alike.
 _SHOWN = """CASE length(description) % 9
 WHEN 0 THEN concat('We use cookies. ', repeat('cookie policy and consent text here ', 40), description) WHEN 1 THEN concat('<p>', description, '</p><ul><li>one</li></ul>')

@@ -85,7 +85,7 @@ def test_decisions(spark):
 
 def test_bulk_decision_is_all_or_nothing(spark):
     rows = spark.createDataFrame([(1, "unseen", 1, None), (2, "unseen", 2, None)], "id long, status string, revision int, applied_at date")
-    ask = lambda rev: spark.createDataFrame([(1, "unseen", 1, "applied"), (2, "unseen", rev, "applied")], "id long, expected_status string, expected_revision int, new_status string")
+    ask = lambda rev: spark.createDataFrame([("a", 1, "unseen", 1, "applied"), ("a", 2, "unseen", rev, "applied")], "op string, id long, expected_status string, expected_revision int, new_status string")
     good = L.bulk_decision(rows, ask(2), as_of()).orderBy("id").collect()
     assert [(r["outcome"], r["status"], r["applied_at"]) for r in good] == [("applied", "applied", DAY)] * 2
     bad = L.bulk_decision(rows, ask(9), as_of()).orderBy("id").collect()
