@@ -159,8 +159,8 @@ def listed(rows: DataFrame, *, status: str | None = None, least: int | None = No
 
 def by_prefix(rows: DataFrame, prefix: str) -> DataFrame:
     """The row whose id begins with ``prefix``, if it is the only one."""
-    hits = rows.where(F.col("id").cast("string").startswith(prefix))
-    return hits.join(hits.agg(F.count(F.lit(1)).alias("_n")).where("_n = 1"), F.lit(True)).drop("_n")
+    hits = rows.where(F.col("id").cast("string").startswith(prefix)).limit(2)
+    return hits if hits.count() == 1 else hits.limit(0)
 
 
 def catalogue_order(rows: DataFrame, sort: str, as_of: Column) -> DataFrame:

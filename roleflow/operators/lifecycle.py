@@ -222,10 +222,10 @@ def append_versioned(store: DataFrame, records: DataFrame, at: Column) -> DataFr
 
     ``store`` has ``id, version``; ``records`` have ``id, seq`` and go by seq.
     """
-    last = store.agg(F.coalesce(F.max("version"), F.lit(0)).alias("_last"))
+    last = store.agg(F.max("version").alias("last")).first()["last"] or 0
     first = records.where("coalesce(id, '') <> ''").withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy("seq"))).where("_r = 1").drop("_r")
     fresh = first.join(store.select("id"), "id", "left_anti")
-    return fresh.crossJoin(F.broadcast(last)).withColumn("version", F.col("_last") + 1).withColumn("labelled_at", at).drop("_last")
+    return fresh.withColumn("version", F.lit(last + 1)).withColumn("labelled_at", at)
 
 
 def as_of_version(store: DataFrame, version: int) -> DataFrame:
