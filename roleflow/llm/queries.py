@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roleflow.llm import decontaminate, jaccard, langid, language_model, mixing, neighbours, quality, secrets, suffixes, toxicity
+from roleflow.llm import decontaminate, jaccard, langid, language_model, lexical, lines, mixing, neighbours, periodic, quality, secrets, suffixes, toxicity
 from roleflow.llm._common import split_of
 from roleflow.session import table
 
@@ -75,9 +75,34 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(fixed, 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_lines(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(periodic.planted(table(spark, sf_dir, "documents")), digest=True)
+    best = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start as start, -r.period as period)))")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    named = found.select("doc_id", "runs", "collapsed", best.alias("best"), F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").alias("listed"))
+    return named.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_jaccard, op5_suffixes, op6_nearest, op7_mix, op8_lm, op9_toxicity, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_language, op4_jaccard, op5_suffixes, op6_nearest, op7_mix, op8_lm, op9_toxicity, op10_secrets, op11_lines, op12_lexical, op13_periodic)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.SQL, "op4_jaccard": jaccard.SQL, "op7_mix": mixing.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op4_jaccard": jaccard.SQL, "op7_mix": mixing.SQL, "op11_lines": lines.SQL, "op12_lexical": lexical.SQL, "op13_periodic": periodic.SQL}
