@@ -1,11 +1,9 @@
-"""Entity resolution: look-alike titles, duplicate clusters inside and across employers, folding of places and rows."""
+"""Entity resolution: duplicate clusters inside and across employers, folding of places and rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,40 +11,7 @@ from pyspark.sql import functions as F
 from roleflow import vocabulary as V
 from roleflow.functions import keys as K
 from roleflow.operators.graph import connected_components
-
-
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """Share of matching blocks of two texts, from 0 to 1; it depends on the order of the two."""
-    return F.pandas_udf(_similarity, "double")(a, b)
-
-
-def title_pairs(rows: DataFrame, least: float = V.SIMILAR_TITLES) -> DataFrame:
-    """Pairs of rows of one employer, in the order of id, whose titles are equal when normalised or similar enough.
-
-    Equal titles are one before pairs are made; pairs too different in length or in their letters for the measure to reach ``least``
-    are left out by exact bounds before the texts are compared.
-    """
-    titles = rows.select("org", "id", F.lower("title").alias("low"), K.strong_title(F.col("title")).alias("strong"))
-    kinds = titles.groupBy("org", "low", "strong").agg(F.min("id").alias("id"))
-    # What a title has of each letter bounds the blocks it can share with another.
-    letters = F.array(*[F.length("low") - F.length(F.replace(F.col("low"), F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz "])
-    kinds = kinds.withColumn("n", F.length("low")).withColumn("letters", letters)
-    a, b = kinds.alias("a"), kinds.alias("b")
-    common = F.aggregate(F.zip_with("a.letters", "b.letters", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y) + F.lit(0)
-    other = F.least(
-        F.col("a.n") - F.aggregate("a.letters", F.lit(0), lambda x, y: x + y), F.col("b.n") - F.aggregate("b.letters", F.lit(0), lambda x, y: x + y)
-    )
-    near = (2.0 * F.least("a.n", "b.n") >= least * (F.col("a.n") + F.col("b.n"))) & (2.0 * (common + other) >= least * (F.col("a.n") + F.col("b.n")))
-    on = (F.col("a.org") == F.col("b.org")) & (F.col("a.id") < F.col("b.id")) & ((F.col("a.strong") == F.col("b.strong")) | near)
-    pairs = a.join(b, on).select(
-        F.col("a.org").alias("org"), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), (F.col("a.strong") == F.col("b.strong")).alias("same"), F.col("a.low").alias("x"), F.col("b.low").alias("y")
-    )
-    rated = pairs.withColumn("ratio", F.round(similarity(F.col("x"), F.col("y")), 4))
-    return rated.where(F.col("same") | (F.col("ratio") >= least)).select("org", "left_id", "right_id", "same", "ratio")
+from roleflow.operators.lookalike import similarity, title_pairs  # noqa: F401
 
 
 def hub_edges(rows: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from roleflow.functions import text as T
 from roleflow.operators import resolve as R
 from roleflow.operators import rollups as G
 from roleflow.operators import screening as S
-from roleflow.plans.bindings import AS_OF, Registry, bound
+from roleflow.plans.bindings import AS_OF, VIEWS, Registry, bound
 from roleflow.session import table
 from roleflow.sources import connectors as C
 
@@ -235,9 +235,48 @@ def hub_edges(spark, sf):
     return R.hub_edges(rows, ["id"])
 
 
-@q()
+#: The measure by recursion: the longest common block of two stretches, then of what is left on either side of it.
+_ALIKE = r"""WITH RECURSIVE role AS (SELECT {role} FROM part),
+kind AS (SELECT org, t, min(id) AS id FROM (SELECT org, id, trim(regexp_replace(regexp_replace(lower({title}), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS t FROM role) WHERE t <> '' GROUP BY org, t),
+gram AS (SELECT id, g, row_number() OVER (PARTITION BY id, g) AS k FROM (SELECT id, unnest(list_transform(range(1, length(t) + 1), lambda i: t[i:i])) AS g FROM kind)),
+near AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM gram a JOIN gram b ON a.g = b.g AND a.k = b.k AND a.id < b.id GROUP BY a.id, b.id),
+pair AS (
+  SELECT a.org, a.id AS left_id, b.id AS right_id, a.t AS x, b.t AS y FROM near JOIN kind a ON a.id = near.a JOIN kind b ON b.id = near.b
+  WHERE a.org = b.org AND 2.0 * common >= 0.85 * (length(a.t) + length(b.t))),
+piece AS (
+  SELECT org, left_id, right_id, x, y, {best} AS m FROM pair
+  UNION ALL
+  SELECT org, left_id, right_id, u.x, u.y, {inner} AS m
+  FROM (SELECT org, left_id, right_id, unnest([{{'x': x[:m.i - 1], 'y': y[:m.j - 1]}}, {{'x': x[m.i + m.k:], 'y': y[m.j + m.k:]}}]) AS u FROM piece WHERE m.k > 0) s WHERE u.x <> '' AND u.y <> ''),
+rated AS (SELECT org, left_id, right_id, sum(m.k) AS m FROM piece GROUP BY org, left_id, right_id)
+SELECT org, left_id, right_id, false AS same, round(2.0 * m / (length(x) + length(y)), 4) AS ratio
+FROM rated JOIN pair USING (org, left_id, right_id) WHERE 2.0 * m / (length(x) + length(y)) >= 0.85"""
+
+
+def _alike(title: str) -> str:
+    def block(x: str, y: str) -> str:
+        places = f"flatten(list_transform(range(least(length({x}), length({y})), 0, -1), lambda k: list_transform(range(1, length({x}) - k + 2), lambda i: {{'k': k, 'i': i, 'j': strpos({y}, {x}[i:i + k - 1])}})))"
+        return f"coalesce(list_filter({places}, lambda c: c.j > 0)[1], {{'k': 0, 'i': 0, 'j': 0}})"
+
+    return _ALIKE.format(role=", ".join(VIEWS["role"][1]), title=title, best=block("x", "y"), inner=block("u.x", "u.y"))
+
+
+def _plain(title):
+    """A title in lower case without punctuation."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"(?U)[^\w\s]", ""), r"(?U)\s+", " "))
+
+
+@q(_alike("title"))
 def title_similarity_pairs(spark, sf):
-    return R.title_pairs(bound(spark, sf, "role"))
+    """Pairs of an employer's titles; each text stands for the rows that have it, so none is the same as another."""
+    t = _plain(F.col("title"))
+    return R.title_pairs(bound(spark, sf, "role"), compared=t, same=t)
+
+
+@q(_alike("title || ' ' || kind"))
+def look_alike_titles(spark, sf):
+    t = _plain(F.concat_ws(" ", "title", "kind"))
+    return R.title_pairs(bound(spark, sf, "role"), compared=t, same=t)
 
 
 @q(
