@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -26,9 +25,9 @@ class Settings:
     """``terms``: item terms searched in one round, which bounds what is broadcast; ``block``: documents of one tree; ``leaf``: of one of its leaves."""
 
     k: int = 10
-    terms: int = 1 << 14
-    block: int = 1 << 13
-    leaf: int = 32
+    terms: int = 1 << 13
+    block: int = 1 << 12
+    leaf: int = 16
 
 
 class Rows:
@@ -50,66 +49,87 @@ class Rows:
 
 
 class BallTree:
-    """A centroid and a radius for each subtree of at most ``leaf`` rows in the leaves; rows are put in the order of the leaves.
+    """Balls around blocks of rows, halved down to ``leaf`` rows; rows are put in the order of the leaves.
 
-    Node n has the children 2n + 1 and 2n + 2. Centroids and radii are doubles of scaled values; each radius is rounded up by more than
-    the products it came from can be wrong.
+    A node has a centroid, the radius of its rows about it, and the radius term by term: how far a row's value lies above the centroid's. A query has few of
+    all terms, so the one radius, into which all terms go, is often too wide for it, and the radii of its own terms are narrower. Radii are those about the
+    centroid as it is kept, in single precision; each is rounded up by more than the sums that it came from can be wrong.
     """
 
     def __init__(self, rows: Rows, scale: np.ndarray, leaf: int):
         n, width = len(rows.start) - 1, len(scale)
         points = Rows(rows.start, rows.column, rows.value * scale[rows.column])
         square = np.add.reduceat(points.value**2, points.start[:-1])
-        self.order, self.nodes, todo = np.arange(n), {}, [(0, 0, n)]
-        while todo:
-            node, a, b = todo.pop()
-            own = points.take(self.order[a:b])
-            m, norm = b - a, square[self.order[a:b]]
-            centre = np.bincount(own.column, weights=own.value, minlength=width) / m
-            far = _distances(own, norm, centre, float(centre @ centre))
-            self.nodes[node] = (a, b, centre, math.sqrt(far.max()) * (1 + 1e-9))
-            if m > leaf:
-                # Two far points; the half that is nearer to the one, the half that is nearer to the other.
-                one = self._to(own, norm, int(far.argmax()), width)
-                two = self._to(own, norm, int(one.argmax()), width)
-                self.order[a:b] = self.order[a:b][np.argsort(one - two, kind="stable")]
-                mid = a + m // 2
-                todo += [(2 * node + 1, a, mid), (2 * node + 2, mid, b)]
+        self.order, self.up = np.arange(n), [-1]
+        self.span, centres, tops, radii, todo = [(0, n)], [], [], [], [0]
+        self.leaves = []
+        for node in todo:
+            a, b = self.span[node]
+            own, m, norm = points.take(self.order[a:b]), b - a, square[self.order[a:b]]
+            centre = (np.bincount(own.column, weights=own.value, minlength=width) / m).astype(np.float32)
+            top = np.zeros(width)
+            np.maximum.at(top, own.column, own.value)
+            centres.append(centre)
+            tops.append((np.maximum(top - centre, 0) * (1 + 1e-6)).astype(np.float32))
+            radii.append(math.sqrt(_distances(own, norm, centre.astype(float)).max()) * (1 + 1e-9))
+            if m <= leaf:
+                self.leaves.append(node)
+                continue
+            mid = a + self._halve(own, norm, centre.astype(float), self.order[a:b])
+            for part in ((a, mid), (mid, b)):
+                self.up.append(node)
+                self.span.append(part)
+                todo.append(len(self.span) - 1)
+        self.centre, self.top, self.radius = np.array(centres), np.array(tops), np.array(radii)
         self.rows = rows.take(self.order)
 
     @staticmethod
-    def _to(own: Rows, norm: np.ndarray, row: int, width: int) -> np.ndarray:
-        a, b = own.start[row], own.start[row + 1]
-        dense = np.zeros(width)
-        dense[own.column[a:b]] = own.value[a:b]
-        return _distances(own, norm, dense, float(norm[row]))
-
-    def bound(self, node: int, column: np.ndarray, value: np.ndarray, length: float) -> float:
-        """No row of the subtree has a greater product with the query."""
-        _, _, centre, radius = self.nodes[node]
-        most = float(value @ centre[column]) + length * radius
-        return most * (1 + 1e-9) + 1e-3
+    def _halve(own: Rows, norm: np.ndarray, centre: np.ndarray, order: np.ndarray) -> int:
+        """Put rows near the one of two far points first, and those near the other one behind; the points move to their rows' middle twice."""
+        m, width = len(norm), len(centre)
+        row = np.repeat(np.arange(m), np.diff(own.start))
+
+        def point(r: int) -> np.ndarray:
+            dense = np.zeros(width)
+            dense[own.column[own.start[r] : own.start[r + 1]]] = own.value[own.start[r] : own.start[r + 1]]
+            return dense
+
+        one = point(int(_distances(own, norm, centre).argmax()))
+        two = point(int(_distances(own, norm, one).argmax()))
+        for _ in range(3):
+            lean = _distances(own, norm, one) - _distances(own, norm, two)
+            side = lean > 0
+            many = int(side.sum())
+            if many in (0, m):
+                break
+            both = np.bincount(own.column + width * side[row], weights=own.value, minlength=2 * width).reshape(2, width)
+            one, two = both[0] / (m - many), both[1] / many
+        order[:] = order[np.argsort(lean, kind="stable")]
+        least = m // 8
+        return min(max(m - many, least, 1), m - max(least, 1))
+
+    def bounds(self, column: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """For each node a number that no product of the query with one of its rows exceeds."""
+        middle = self.centre[:, column] @ value
+        reach = np.minimum(math.sqrt(value @ value) * self.radius, self.top[:, column] @ value)
+        most = (middle + reach) * (1 + 1e-9) + 1e-3
+        for node in range(1, len(most)):
+            most[node] = min(most[node], most[self.up[node]])
+        return most
 
     def search(self, column: np.ndarray, value: np.ndarray, dense: np.ndarray, ids: np.ndarray, best: list, k: int) -> int:
         """Put the rows of greatest score into ``best``, a sorted list of (-score, doc), best subtree first; the number of rows scored.
 
         ``dense`` has the integer weights of the query by column, ``column`` and ``value`` its scaled form for the bounds.
         """
-        length = float(np.sqrt(value @ value))
-        heap, scored = [(-self.bound(0, column, value, length), 0)], 0
-        while heap:
-            most, node = heapq.heappop(heap)
-            if len(best) == k and -most < -best[-1][0]:
+        most, scored = self.bounds(column, value)[self.leaves], 0
+        for i in np.argsort(-most, kind="stable").tolist():
+            if len(best) == k and most[i] < -best[-1][0]:
                 break
-            a, b, _, _ = self.nodes[node]
-            if 2 * node + 1 in self.nodes:
-                for child in (2 * node + 1, 2 * node + 2):
-                    heapq.heappush(heap, (max(most, -self.bound(child, column, value, length)), child))
-                continue
+            a, b = self.span[self.leaves[i]]
             scores = self.rows.dot(dense, a, b)
             scored += b - a
-            least = -best[-1][0] if len(best) == k else 1
-            good = np.flatnonzero(scores >= max(least, 1))
+            good = np.flatnonzero(scores >= (-best[-1][0] if len(best) == k else 1))
             if len(good):
                 best += [(-int(scores[i]), int(ids[a + i])) for i in good]
                 best.sort()
@@ -117,9 +137,9 @@ class BallTree:
         return scored
 
 
-def _distances(rows: Rows, norm: np.ndarray, dense: np.ndarray, own: float) -> np.ndarray:
+def _distances(rows: Rows, norm: np.ndarray, dense: np.ndarray) -> np.ndarray:
     """Squared distances to a point, rounded up."""
-    cross = np.add.reduceat(rows.value * dense[rows.column], rows.start[:-1])
+    cross, own = np.add.reduceat(rows.value * dense[rows.column], rows.start[:-1]), float(dense @ dense)
     return np.maximum(norm - 2 * cross + own, 0) + 1e-12 * (norm + own)
 
 
