@@ -57,7 +57,7 @@ def greenhouse(spark, path, org):
 def lever(spark, path, org):
     j = _json(spark, path, "id string, text string, hostedUrl string, categories struct<location:string,team:string,department:string>, descriptionPlain string, description string, lists array<struct<text:string,content:string>>, additionalPlain string")
     lists = F.transform(F.coalesce("lists", F.array().cast("array<struct<text:string,content:string>>")), lambda x: F.concat_ws("\n", x["text"], T.html_to_text(x["content"])))
-    body = F.concat_ws("\n\n", F.coalesce("descriptionPlain", T.html_to_text(F.col("description"))), F.array_join(lists, "\n\n"), "additionalPlain")
+    body = F.concat_ws("\n\n", F.coalesce("descriptionPlain", T.html_to_text(F.col("description"))), F.nullif(F.array_join(lists, "\n\n"), F.lit("")), F.nullif("additionalPlain", F.lit("")))
     return _shape(j, org, external_id=F.col("id"), title=F.col("text"), url=F.col("hostedUrl"), location=F.col("categories.location"), department=F.coalesce("categories.department", "categories.team"), description=body)
 
 
