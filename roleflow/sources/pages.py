@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roleflow.functions import text as T
+from roleflow.functions.naming import let
+from roleflow.session import cut
 from roleflow.sources import listings
 
 # Elements of a page, words of titles, forms of places.
@@ -239,7 +241,7 @@ def job_cards(pages: DataFrame) -> DataFrame:
     people no card without a link. A page of marketing prose has no cards.
     """
     cards = F.udtf(JobCards, returnType=CARD)
-    rows = pages.where(~F.coalesce(listings.non_job_listing(T.html_to_text(F.col("html"))), F.lit(False)))
+    rows = pages.where(~F.coalesce(let(T.html_to_text(F.col("html")), listings.non_job_listing), F.lit(False)))
     found = rows.lateralJoin(cards(F.col("html").outer(), F.col("url").outer()).select("at", "title", F.col("url").alias("card_url"), "location", "snippet"))
     found = found.withColumn("card_url", F.nullif("card_url", F.lit("")))
     keep = ~F.coalesce(listings.non_job_url(F.col("card_url")), F.lit(False)) & ~listings.bio_snippet(F.col("snippet"))
@@ -340,12 +342,12 @@ def page_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     A page whose text is the same isn't read for cards again: it gives one row ``alive`` without key, which stands for all that is known of it. Of a changed page
     the cards that differ in title, place or snippet come with their change, and the others one by one as ``alive``. A page that wasn't fetched now gives no row.
     """
-    old, new = (df.select("url", "html", page_mark(F.col("html")).alias("mark")) for df in (before, after))
-    both = new.join(old.select("url", F.col("mark").alias("_m"), F.col("html").alias("_h")), "url", "left")
+    old, new = (cut(df.select("url", page_mark(F.col("html")).alias("mark"))) for df in (before, after))
+    both = new.join(old.withColumnRenamed("mark", "_m"), "url", "left")
     same = F.col("mark").eqNullSafe(F.col("_m")) & F.col("_m").isNotNull()
     still = both.where(same).select("url", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("title"), F.lit("alive").alias("change"))
-    moved = both.where(~same)
-    sides = moved.select("url", "html", F.lit(1).alias("side")).unionByName(moved.where("_h is not null").select("url", F.col("_h").alias("html"), F.lit(0).alias("side")))
+    moved = both.where(~same).select("url")
+    sides = after.join(moved, "url", "left_semi").select("url", "html", F.lit(1).alias("side")).unionByName(before.join(moved, "url", "left_semi").select("url", "html", F.lit(0).alias("side")))
     cards = job_cards(sides).select("url", "side", F.coalesce("card_url", "title").alias("key"), "title", F.md5(F.concat_ws("\x01", "title", "location", "snippet")).alias("print"))
     side = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
     found = cards.groupBy("url", "key").agg(side(0, "print").alias("old"), side(1, "print").alias("new"), F.coalesce(side(1, "title"), side(0, "title")).alias("title"))
