@@ -25,14 +25,21 @@ GROUP, PIECE = 256, 4096
 
 @dataclass(frozen=True)
 class Settings:
-    """``least``: length of a run that is judged; ``threshold``: nats by which a secret is likelier random than ordinary, at least;
-    ``alarms``: share of ordinary long runs that may pass for random; ``made``: random strings that are made as samples."""
+    """``least``: length of a run that is judged; ``threshold``: nats a pair of characters by which a secret is likelier random than ordinary, at
+    least; ``alarms``: share of ordinary long runs that may pass for random, ``missed``: of random ones that may not be found; ``enough``: kept-out long runs of either kind without which ``unsure`` is the threshold;
+    ``made``: random strings that are made as samples; ``words``: words of a made identifier; ``pairs``: pairs without which a run is not judged."""
 
     least: int = 20
     backing: float = 20.0
-    threshold: float = 12.0
+    own: float = 0.5
+    threshold: float = 0.5
+    unsure: float = 0.6
+    enough: int = 200
     alarms: float = 0.001
+    missed: float = 0.02
     made: int = 8192
+    words: int = 4
+    pairs: int = 8
     mark: str = "<SECRET>"
 
     @property
@@ -42,8 +49,8 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratios of character pairs, and the threshold; of the runs that calibrated it, the share of random ones it finds and
-    of ordinary ones it takes for random (null without such runs)."""
+    """Log-likelihood ratios of character pairs, and the threshold of their mean over a run; of the runs that calibrated it, the share of random
+    ones it finds and of ordinary ones it takes for random (null without such runs)."""
 
     ratios: list[float]
     threshold: float
@@ -104,32 +111,66 @@ def base(docs: DataFrame) -> DataFrame:
 def samples(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``label, run, count``: the labelled samples, each different run of characters once.
 
-    Label 1 are the secrets that the fixed patterns find in all documents, label 2 digests in hexadecimal, base64 and capitals, as many as
-    the settings say; label 0 the other runs of four characters or more of all documents, but for long ones with a letter and a
-    digit, which may be secrets and are in no sample.
+    Label 1 are the secrets that the fixed patterns find in all documents, label 2 digests in hexadecimal, base64, and letters and digits of one case, as many as
+    the settings say; label 0 the other runs of four characters or more of all documents, for each of their occurrences. Long ones with a letter and a digit may be
+    secrets: they are split at their signs, and what is long then is in no sample. Label 3 are identifiers made of :func:`identifiers`.
     """
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     fixed = f"{ASSIGN}|{ACCESS}|{HEX}"
     values = F.concat(_all(ASSIGN, 2, _without_names()), F.regexp_extract_all("_t", F.lit(f"{ACCESS}|{HEX}"), F.lit(0)))
     plain = F.regexp_extract_all(F.regexp_replace("_t", fixed, " "), F.lit(f"{CLASS}{{4,}}"), F.lit(0))
-    plain = F.filter(plain, lambda x: ~((F.length(x) >= settings.least) & x.rlike("[0-9]") & x.rlike("[A-Za-z]")))
-    both = F.array(F.struct(F.lit(1).alias("label"), F.filter(values, lambda x: F.length(x) >= 16).alias("runs")), F.struct(F.lit(0).alias("label"), plain.alias("runs")))
-    seen = rows.select(F.explode(both).alias("x")).select("x.label", F.explode("x.runs").alias("run"))
+    both = F.array(F.struct(F.lit(1).alias("label"), F.transform(F.filter(values, lambda x: F.length(x) >= 16), lambda x: F.rtrim(x, F.lit("="))).alias("runs")), F.struct(F.lit(0).alias("label"), plain.alias("runs")))
+    seen = rows.select(F.explode(both).alias("x")).select("x.label", F.explode("x.runs").alias("run")).groupBy("label", "run").count()
+    mixed = (F.col("label") == 0) & (F.length("run") >= settings.least) & F.col("run").rlike("[0-9]") & F.col("run").rlike("[A-Za-z]")
+    parts = F.when(mixed, F.split("run", "[-_/=+]+")).otherwise(F.array("run"))
+    seen = seen.select("label", "count", F.explode(parts).alias("run"), mixed.alias("mixed")).where(f"not mixed or length(run) between 2 and {settings.least - 1}")
     digest = F.sha2(F.col("id").cast("string"), 512)
-    forms = F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 64), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)), F.translate(F.base64(F.unhex(F.sha2(digest, 256))), "+/=", "-_"))
-    made = docs.sparkSession.range(settings.made).select(F.lit(2).alias("label"), F.explode(forms).alias("run"))
-    return seen.unionByName(made).groupBy("label", "run").count()
+    narrow = F.conv(F.substring(digest, 1, 15), 16, 36)
+    wide = F.concat(narrow, F.conv(F.substring(digest, 16, 15), 16, 36))
+    forms = F.array(F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.substring(digest, 1, 64), F.upper(wide), F.lower(wide), F.rtrim(F.translate(F.base64(F.unhex(F.sha2(digest, 256))), "+/", "-_"), F.lit("=")))
+    made = docs.sparkSession.range(settings.made).select(F.lit(2).alias("label"), F.explode(forms).alias("run"), F.lit(1).cast("long").alias("count"))
+    return seen.select("label", "run", "count").unionByName(made).groupBy("label", "run").agg(F.sum("count").alias("count"))
+
+
+def identifiers(runs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``label`` 3, ``run, count``: identifiers of the shapes that code and logs have, made of the words among the ordinary runs.
+
+    Each different word is in about one identifier of each shape: snake, kebab, camel and upper case, paths, dates, versions, numbered names, settings; rules of one
+    sign stand beside them.
+    """
+    words = runs.where("label = 0").select(F.lower("run").alias("word")).where(F.col("word").rlike("^[a-z]{2,15}$")).distinct()
+    n = words.count()
+    bucket = F.pmod(F.xxhash64("word"), F.lit(max(1, n // settings.words)))
+    sets = words.groupBy(bucket.alias("b")).agg(F.slice(F.array_sort(F.collect_list("word")), 1, 2 * settings.words).alias("w"))
+    h = F.pmod(F.xxhash64("b"), F.lit(1 << 40))
+    number = lambda low, many, width, shift: F.lpad((low + F.expr(f"pmod(shiftright(xxhash64(b), {shift}), {many})")).cast("string"), width, "0")
+    day = F.concat_ws("-", number(1990, 45, 4, 0), number(1, 12, 2, 6), number(1, 28, 2, 11))
+    clock = F.concat_ws("-", number(0, 24, 2, 17), number(0, 60, 2, 23), number(0, 60, 2, 29), number(0, 1000, 3, 31))
+    first, last = F.element_at("w", 1), F.element_at("w", -1)
+    camel = F.array_join(F.transform("w", lambda x: F.initcap(x)), "")
+    shapes = F.array(
+        F.array_join("w", "_"), F.array_join("w", "-"), F.array_join("w", "/"), F.upper(F.array_join("w", "_")), camel, F.concat(first, F.substring(camel, 2, 200)),
+        F.concat(F.lit("/"), F.array_join("w", "/"), number(0, 10, 1, 3)), F.concat(F.array_join("w", "-"), F.lit("-"), day), F.concat(day, F.lit("T"), clock, F.lit("-Z-"), number(0, 100, 2, 9)),
+        F.concat(first, F.lit("-"), day, F.lit("-"), last, F.lit("-"), number(0, 100_000, 5, 13)), F.concat(F.array_join("w", "-"), F.lit("-v"), number(0, 40, 1, 5), F.lit("-"), number(0, 30, 1, 8)),
+        F.concat(F.array_join("w", "/"), F.lit("/v"), number(0, 40, 1, 5), F.lit("/"), last), F.concat(F.array_join("w", "_"), F.lit("_"), number(0, 1000, 1, 15)), F.concat(F.array_join("w", "-"), F.lit("="), last),
+        F.concat(F.array_join("w", "_"), F.lit("_id="), h.cast("string")), F.concat_ws("-", number(0, 1000, 3, 1), number(0, 1000, 3, 4), number(0, 10_000, 4, 7), number(0, 10_000, 4, 10), number(0, 10_000, 4, 14)),
+    )
+    spread = sets.select(F.explode(shapes).alias("run"))
+    rules = runs.sparkSession.range(20, 120).select(F.explode(F.array(*[F.expr(f"repeat('{c}', cast(id as int))") for c in "-=_/+"])).alias("run"))
+    return spread.unionByName(rules).groupBy("run").count().select(F.lit(3).alias("label"), "run", "count")
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Markov models of the labelled :func:`samples`, compared: pairs of characters, random over ordinary.
 
-    Found and made random strings weigh the same. A run counts for each of its occurrences; equal runs are one row before their pairs
-    are made. The driver gets a count for each label and pair, of the fixed alphabet. The threshold is such that of the ordinary
-    long runs that were kept out of a first model (a fifth of all, by hash) no more than ``alarms`` pass.
+    Found and made samples of either kind weigh the same. A run counts for each of its occurrences; equal runs are one row before their pairs
+    are made. The driver gets a count for each label and pair, of the fixed alphabet. The threshold lies in the middle
+    between what ``alarms`` of the ordinary and ``missed`` of the random long runs reach that were kept out of a first model (a fifth of all, by hash), made ones
+    among them; where these overlap, at what ``alarms`` of the ordinary ones reach.
     """
     with Scratch(docs.sparkSession) as tables:
-        return _fitted(tables.put(samples(docs, settings)), settings)
+        seen = tables.put(samples(docs, settings))
+        return _fitted(tables.put(seen.unionByName(identifiers(seen, settings))), settings)
 
 
 def _fitted(runs: DataFrame, settings: Settings) -> Model:
@@ -138,56 +179,80 @@ def _fitted(runs: DataFrame, settings: Settings) -> Model:
     pairs = chars.select("label", "held", "count", F.explode(F.expr("arrays_zip(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1))")).alias("p"))
     counts = pairs.groupBy("label", "held", F.col("p.0").alias("a"), F.col("p.1").alias("b")).agg(F.sum("count").alias("n"))
     width, code = len(LETTERS), {c: i for i, c in enumerate(LETTERS)}
-    tables = {held: [[[0.0] * width for _ in range(width)] for _ in range(3)] for held in (True, False)}
+    tables = {held: [[[0.0] * width for _ in range(width)] for _ in range(4)] for held in (True, False)}
     for r in counts.where(F.col("a").isin(*LETTERS) & F.col("b").isin(*LETTERS)).toLocalIterator():
         tables[r["held"]][r["label"]][code[r["a"]]][code[r["b"]]] += r["n"]
     part = _ratios(tables[False], settings)
-    every = _ratios([[[x + y for x, y in zip(u, v, strict=True)] for u, v in zip(s, t, strict=True)] for s, t in zip(*tables.values(), strict=True)], settings)
-    long = runs.where(F.col("held") & (F.length("run") >= settings.least)).select((F.col("label") > 0).alias("random"), _ratio(F.col("run"), part).alias("nats"))
-    mark = long.where("not random").agg(F.percentile_approx("nats", 1 - settings.alarms, 10_000).alias("x")).first()["x"]
-    threshold = max(settings.threshold, mark if mark is not None else 0.0)
+    every = _ratios([_plus(s, t, 1.0) for s, t in zip(*tables.values(), strict=True)], settings)
+    random = F.col("label").isin(1, 2).alias("random")
+    long = runs.where(F.col("held") & (F.length("run") >= settings.least)).select(random, _mean(F.col("run"), part, settings).alias("nats"))
+    kept = long.groupBy("random").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("nats", 1 - settings.alarms, 10_000).alias("top"), F.percentile_approx("nats", settings.missed, 10_000).alias("low"))
+    kept = {r["random"]: r for r in kept.collect()}
+    sure = all(k in kept and kept[k]["n"] >= settings.enough for k in (True, False))
+    threshold = settings.unsure
+    if sure:
+        top = kept[False]["top"]
+        threshold = max(settings.threshold, (top + max(top, kept[True]["low"])) / 2)
     share = {r["random"]: r["share"] for r in long.groupBy("random").agg(F.avg((F.col("nats") >= threshold).cast("double")).alias("share")).collect()}
     return Model(every, threshold, share.get(True), share.get(False))
 
 
+def _plus(a: list[list[float]], b: list[list[float]], scale: float) -> list[list[float]]:
+    return [[x + y * scale for x, y in zip(u, v, strict=True)] for u, v in zip(a, b, strict=True)]
+
+
 def _ratios(counts: list[list[list[float]]], settings: Settings) -> list[float]:
-    """Log-likelihood ratios of pairs from the counts of the labels 0, 1 and 2."""
-    plain, found, made = counts
-    mass = [sum(map(sum, t)) for t in (found, made)]
-    scale = mass[1] / mass[0] if mass[0] and mass[1] else 1.0
-    random = [[x * scale + y for x, y in zip(u, v, strict=True)] for u, v in zip(found, made, strict=True)]
-    p, r = (_transitions(t, settings.backing) for t in (plain, random))
+    """Log-likelihood ratios of pairs from the counts of the labels 0 to 3; of either kind the found ones are scaled to the made ones' weight."""
+    mass = [sum(map(sum, t)) for t in counts]
+    scaled = lambda found, made: _plus(counts[made], counts[found], mass[made] / mass[found] if mass[found] and mass[made] else 1.0)
+    p, r = (_transitions(t, settings) for t in (scaled(0, 3), scaled(1, 2)))
     return [math.log(x) - math.log(y) for xs, ys in zip(r, p, strict=True) for x, y in zip(xs, ys, strict=True)]
 
 
-def _transitions(counts: list[list[float]], backing: float) -> list[list[float]]:
-    """Probabilities of the next character; what a character has not shown comes from the counts of all."""
+def _transitions(counts: list[list[float]], settings: Settings) -> list[list[float]]:
+    """Probabilities of the next character: what a character was followed by, and beside it how its class is followed by the next one's class.
+
+    A pair that the samples lack is thus as likely as its classes make it: a small letter after a stroke, a digit after a digit.
+    """
     width = len(counts)
-    total = [sum(row[b] for row in counts) + 0.5 for b in range(width)]
-    share = [x / sum(total) for x in total]
-    return [[(row[b] + backing * share[b]) / (sum(row) + backing) for b in range(width)] for row in counts]
+    kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in LETTERS]
+    moves, single = [[1.0] * 4 for _ in range(4)], [1.0] * width
+    for a in range(width):
+        for b in range(width):
+            moves[kind[a]][kind[b]] += counts[a][b]
+            single[b] += counts[a][b]
+    inside = [sum(x for x, k in zip(single, kind, strict=True) if k == c) for c in range(4)]
+    out = []
+    for a, row in enumerate(counts):
+        n = sum(row)
+        own = settings.own * n / (n + settings.backing)
+        to = moves[kind[a]]
+        out.append([own * (row[b] / n if n else 0.0) + (1 - own) * to[kind[b]] / sum(to) * single[b] / inside[kind[b]] for b in range(width)])
+    return out
 
 
-def _ratio(run: Column, ratios: list[float]) -> Column:
-    """The sum of the ratios of a run's pairs; a character outside the alphabet breaks the run."""
+def _mean(run: Column, ratios: list[float], settings: Settings) -> Column:
+    """The mean of the ratios of a run's pairs; a character outside the alphabet breaks the run, too few pairs say nothing."""
     width = len(LETTERS)
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
     codes = F.split(F.lit(",".join(str(LETTERS.find(chr(i))) for i in range(128))), ",").cast("array<int>")
+    inside = lambda a, c: (a["last"] >= 0) & (F.get(codes, F.ascii(c)) >= 0)
     return F.aggregate(
         F.split(run, ""),
-        F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")),
+        F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
         lambda a, c: F.struct(
             F.get(codes, F.ascii(c)).alias("last"),
-            F.when((a["last"] < 0) | (F.get(codes, F.ascii(c)) < 0), a["sum"]).otherwise(a["sum"] + F.get(table, a["last"] * width + F.get(codes, F.ascii(c)))).alias("sum"),
+            F.when(inside(a, c), a["sum"] + F.get(table, a["last"] * width + F.get(codes, F.ascii(c)))).otherwise(a["sum"]).alias("sum"),
+            F.when(inside(a, c), a["n"] + 1).otherwise(a["n"]).alias("n"),
         ),
-        lambda a: a["sum"],
+        lambda a: F.when(a["n"] >= settings.pairs, a["sum"] / a["n"]).otherwise(F.lit(-1000.0)),
     )
 
 
 def find(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with ``spans``: array of (s, kind, e) by start, then kind; the kinds are numbered as in KINDS.
 
-    Besides the fixed patterns, every run of ``least`` characters or more is a secret if its pairs are likelier in random
+    Besides the fixed patterns, every run of ``least`` characters or more is a secret if its pairs are in the mean likelier in random
     strings than in ordinary ones by the model's threshold. A run that holds matches of the fixed patterns is judged on
     the rest, and ends where an assignment in it begins. Null text is empty and has no span. No row is shuffled or dropped; the
     work on a text is linear in its length and in its matches.
@@ -196,7 +261,7 @@ def find(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Data
     found = found.withColumn("_rg", F.when(F.size("_r") > 0, F.split("_t", settings.run, -1)))
     # A blank stands for what a fixed pattern takes out of a run; no pair goes over it.
     held = f"{ASSIGN[:-2]}{{6,}})|{ACCESS}|{HEX}"
-    judged = F.transform("_r", lambda run: _ratio(F.regexp_replace(run, held, " "), model.ratios) >= model.threshold)
+    judged = F.transform("_r", lambda run: _mean(F.regexp_replace(run, held, " "), model.ratios, settings) >= model.threshold)
     found = found.withColumn("_ok", judged).withColumn("_random", F.expr(_spans("_r", "_rg", 3, "_ok[i]")))
     # From the last to the first: a random run ends where the next assignment begins. Then from the first to the last: it is none of its
     # own if it begins inside an assignment.

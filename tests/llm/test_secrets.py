@@ -123,6 +123,70 @@ def test_planted_random_strings(spark):
         want = []
         for run in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
             at = [secrets.LETTERS.index(c) for c in run]
-            if sum(round(model.ratios[a * len(secrets.LETTERS) + b], 4) for a, b in zip(at, at[1:])) >= model.threshold:
+            if sum(round(model.ratios[a * len(secrets.LETTERS) + b], 4) for a, b in zip(at, at[1:])) / (len(at) - 1) >= model.threshold:
                 want.append(run)
         assert got[i] == want
+
+
+ORDINARY = """order-2024-03-15-invoice-00012 2024-01-02T03-04-05-006-Z-00 node_modules/react-dom/v18/index https/example/org/path2/file3 /usr/local/lib/python3/site-packages
+scripts/database_supabase_py get_user_account_by_identifier ABSTRACT_SINGLETON_FACTORY_BEAN learning-rate-schedule-warmup =========================== ---------------------------------"""
+
+
+def ordinary_runs(rng):
+    """Ten kinds of ordinary long runs, of words that the corpus does not have."""
+    words = """account action adapter address archive array backend balance batch binary bridge browser buffer builder button cache calendar callback channel
+    checkpoint client cluster collector column command commit config connection console container context controller counter cursor customer dashboard database dataset
+    debug decoder default delete deploy device dialog directory docker document driver editor element encoder engine entity error event example exchange export factory
+    feature fetch filter folder format frame gateway generator global graph handler header helper history identifier image import index input instance interface invoice
+    journal kernel keyboard label language layer layout library listener loader local logger machine manager matrix memory message metadata method middleware migration
+    model module monitor network node notification object observer operator option order output package packet page parameter parser partition password path pattern
+    payload payment permission pipeline platform plugin pointer policy pool portal preview process product profile project protocol provider proxy public query queue
+    random react record redirect reference region registry release remote render report request resource response result retry router runtime sample scheduler schema
+    script search section secure selector sequence server service session settings shader shadow shared signal snapshot socket source stack status storage stream string
+    struct subject summary support switch symbol system table target template terminal thread token tracker transform trigger tuple update upload user utility validator
+    value variable vector version video view virtual volume warning watcher web widget window worker wrapper xml yaml zone zip""".split()
+    pick = lambda a, b: [rng.choice(words) for _ in range(rng.randint(a, b))]
+    date = lambda: f"{rng.randint(1995, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+    return [
+        lambda: "_".join(pick(3, 6)),
+        lambda: "-".join(pick(3, 6)),
+        lambda: "/" + "/".join(pick(3, 6)) + rng.choice(["", "2", "/file3"]),
+        lambda: "_".join(pick(3, 5)).upper(),
+        lambda: "".join(w.title() for w in pick(3, 6)),
+        lambda: rng.choice(words) + "".join(w.title() for w in pick(3, 5)) + rng.choice(["", "V2", "Impl"]),
+        lambda: f"{rng.choice(words)}-{date()}-{rng.choice(words)}-{rng.randint(0, 99999):05}",
+        lambda: f"{date()}T{rng.randint(0, 23):02}-{rng.randint(0, 59):02}-{rng.randint(0, 59):02}-{rng.randint(0, 999):03}-Z-{rng.choice(words)}",
+        lambda: rng.choice("-=_") * rng.randint(20, 80),
+        lambda: f"{'-'.join(pick(2, 4))}-v{rng.randint(0, 30)}-{rng.randint(0, 20)}-{rng.randint(0, 9)}/{rng.choice(words)}",
+    ]
+
+
+def test_ordinary_runs_are_spared_and_random_ones_found(spark):
+    """Trained on the given table; judged are 2500 long runs of ten ordinary kinds and 500 random strings of four alphabets."""
+    import random
+    import string
+
+    rng = random.Random(8)
+    model = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    plain = ORDINARY.split()
+    kinds = ordinary_runs(rng)
+    while len(plain) < 2500:
+        run = kinds[len(plain) % 10]()
+        if len(run) >= 20:
+            plain.append(run)
+    alphabets = (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "-_")
+    made = ["".join(rng.choice(alphabets[i % 4]) for _ in range(rng.randint(20, 40))) for i in range(500)]
+    rows = [(i, f"see {x} here", x) for i, x in enumerate([*plain, *made])]
+    found = {r["doc_id"]: {(x["s"], x["e"]) for x in r["spans"]} for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string, run string"), model).collect()}
+    false = [x for i, _, x in rows[: len(plain)] if found[i]]
+    missed = [x for i, _, x in rows[len(plain) :] if (4, 4 + len(x)) not in found[i]]
+    print(len(false), len(missed), false[:20], missed[:20], model.threshold, model.found, model.alarms)
+    assert not set(false) & set(ORDINARY.split())
+    assert len(false) < 0.005 * len(plain) and len(missed) < 0.05 * len(made)
+    text = " ".join(ORDINARY.split())
+    assert secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()["text"] == text
+
+
+def test_too_few_runs_set_no_threshold(spark):
+    few = secrets.train(spark.createDataFrame([(1, "alpha beta gamma")], "doc_id long, text string"), secrets.Settings(made=4))
+    assert few.threshold == secrets.Settings().unsure
