@@ -23,6 +23,9 @@ from roleflow.session import cut
 ROW = ("id", "org", "company_id", "hash", "title", "description", "snippet", "department", "deadline", "status", "status_reason", "score", "first_seen", "last_seen", "places")
 
 
+PLACES = "array<struct<url:string,city:string,country:string>>"
+
+
 @dataclass(frozen=True)
 class Intake:
     """``rows``: all stored rows after the batch. ``outcomes``: ``pos, source, external_id, outcome, reason, id`` for each posting."""
@@ -62,7 +65,7 @@ def stored_keys(store: DataFrame) -> DataFrame:
 
 def add_places(old: Column, new: Column) -> Column:
     """Places with those of new sightings: a place that is seen again takes its newest link."""
-    none = F.array().cast("array<struct<url:string,city:string,country:string>>")
+    none = F.array().cast(PLACES)
     name = lambda p: F.coalesce(p["city"], p["country"], F.lit(""))
     # Of several new links of a place the last one stays.
     fresh = F.filter(new, lambda p, i: ~F.exists(F.slice(new, i + 2, F.size(new)), lambda n: name(n) == name(p)))
@@ -90,15 +93,23 @@ def take_in(store: DataFrame, postings: DataFrame, stones: DataFrame, today: Col
     written = I.merge_batch(store, live, resolved, today, board=board)
 
     place = F.struct("pos", F.struct(F.col("url"), F.col("city"), F.col("country")).alias("p"))
-    seen = resolved.join(live.select("pos", "url", "city", "country", "org", "company_id"), "pos")
+    seen = resolved.join(live.select("pos", "url", "city", "country", "org", "company_id", "snippet", "department", "deadline", "description"), "pos")
+    filled = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    first = lambda c: F.min_by(filled(c), F.when(filled(c).isNotNull(), F.col("pos"))).alias(f"_{c}")
+    longest = F.max(F.struct(F.length("description").alias("n"), (-F.col("pos")).alias("p"), F.col("description").alias("d")))["d"].alias("_longest")
     facts = (F.transform(F.array_sort(F.collect_list(place)), lambda x: x["p"]).alias("_seen"), F.min_by("org", "pos").alias("_org"), F.min_by("company_id", "pos").alias("_company"))
     of_row = seen.where("match is not null").groupBy(F.col("match").alias("id")).agg(facts[0])
-    of_new = seen.where("match is null").groupBy(F.col("insert_hash").alias("hash")).agg(*facts)
+    # What a later posting of a new row brings fills it as it would a stored one.
+    more = (first("snippet"), first("department"), F.min_by("deadline", F.when(F.col("deadline").isNotNull(), F.col("pos"))).alias("_deadline"), first("description"), longest)
+    of_new = seen.where("match is null").groupBy(F.col("insert_hash").alias("hash")).agg(*facts, *more)
 
     old = store.select("id", "org", "company_id", "score", "places")
     updated = written.where("id is not null").join(old, "id").join(of_row, "id").withColumn("places", add_places(F.col("places"), F.col("_seen")))
     fresh = written.where("id is null").drop("id").join(of_new, "hash")
-    fresh = fresh.withColumns({"id": new_id(F.col("hash")), "org": F.col("_org"), "company_id": F.col("_company"), "score": F.lit(None).cast(store.schema["score"].dataType), "places": fold_places(F.col("_seen"))})
+    fresh = fresh.withColumns({"id": new_id(F.col("hash")), "org": F.col("_org"), "company_id": F.col("_company"), "score": F.lit(None).cast(store.schema["score"].dataType), "places": add_places(F.lit(None).cast(PLACES), F.col("_seen"))})
+    longer = F.coalesce(F.length("_longest") > F.length(F.coalesce("description", F.lit(""))) + 100, F.lit(False))
+    text = F.coalesce(filled("description"), "_description") if board else F.when(longer, F.col("_longest")).otherwise(F.col("description"))
+    fresh = fresh.withColumns({"snippet": F.coalesce(filled("snippet"), "_snippet"), "department": F.coalesce(filled("department"), "_department"), "deadline": F.coalesce("deadline", "_deadline"), "description": text})
     # What the gate held back is still listed.
     listed = gated.where("skip is not null and skip <> 'empty_title'").select("company_id", F.col("_hash").alias("hash")).distinct().withColumn("_listed", F.lit(True))
     rest = store.join(resolved.where("match is not null").select(F.col("match").alias("id")).distinct(), "id", "left_anti").join(listed, ["company_id", "hash"], "left")

@@ -83,7 +83,7 @@ def smartrecruiters(spark, path, org):
 def recruitee(spark, path, org):
     rows = _json(spark, path, "offers array<struct<id:bigint,title:string,careers_url:string,location:string,department:string,description:string,requirements:string>>")
     j = rows.select(F.explode("offers").alias("j")).select("j.*")
-    body = F.concat_ws("\n\n", T.html_to_text(F.col("description")), T.html_to_text(F.col("requirements")))
+    body = F.concat_ws("\n\n", *[F.nullif(T.html_to_text(F.col(c)), F.lit("")) for c in ("description", "requirements")])
     return _shape(j, org, external_id=F.col("id").cast("string"), title=F.col("title"), url=F.col("careers_url"), location=F.col("location"), department=F.col("department"), description=body)
 
 
