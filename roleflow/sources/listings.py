@@ -119,7 +119,7 @@ def extracted_jobs(pages: DataFrame, url_filter: str | None = None) -> DataFrame
 def workday_detail(url: Column) -> Column:
     """The detail address of a tenant's posting page; null for any other link."""
     u = F.coalesce(url, F.lit(""))
-    site = r"^([a-z]+)://([A-Za-z0-9-]+)(\.[Ww][Dd]\d+\.[Mm][Yy][Ww][Oo][Rr][Kk][Dd][Aa][Yy][Jj][Oo][Bb][Ss]\.[Cc][Oo][Mm])(?:/[a-z]{2}-[A-Z]{2})?/([^/?#]+)/([^?#]+)"
+    site = r"^([a-z]+)://([A-Za-z0-9-]+)(\.(?i:wd\d+\.myworkdayjobs\.com))(?:/[a-z]{2}-[A-Z]{2})?/([^/?#]+)/([^?#]+)"
     part = [F.regexp_extract(u, site, i) for i in range(1, 6)]
     rest = F.regexp_replace(part[4], "/+$", "")
     made = F.concat(part[0], F.lit("://"), part[1], part[2], F.lit("/wday/cxs/"), F.lower(part[1]), F.lit("/"), part[3], F.lit("/"), rest)
