@@ -30,6 +30,8 @@ STRONG_TITLE = (
 HIRING = r"(?i)^.{0,80}?\b(?:is|are|we(?:'|’)re|we are)\s+(?:hiring|looking|recruiting)(?:\s+for){0,2}\s*[:\-–]?\s*(?:an?\s+|the\s+)?"
 LABELLED_PLACE = r"(?i)(?:Location|Office|Based in|•)[:\s]+([A-Za-z][^\n\[\]()•|]{2,50}?)(?:\s*[•|\n]|$)"
 WORK_MODE = r"(?i)\b((?:Remote|Hybrid|On-site)[^|\n\[\]()]{0,40})"
+#: Every sign of marketing prose holds one of these, so other pages needn't be turned into text.
+PROSE_WORDS = ("insights", "news", "unmute", "subscribers", "story", "stories", "funding", "grant")
 BLOCKED = ("authwall", "captcha", "unusual traffic", "security verification")
 #: Share of a page's text from which an element of site chrome counts as content; characters of a card; characters of a snippet.
 CONTENT_SHARE, CARD_CHARS, SNIPPET_CHARS = 0.4, 1500, 400
@@ -241,7 +243,9 @@ def job_cards(pages: DataFrame) -> DataFrame:
     people no card without a link. A page of marketing prose has no cards.
     """
     cards = F.udtf(JobCards, returnType=CARD)
-    rows = pages.where(~F.coalesce(let(T.html_to_text(F.col("html")), listings.non_job_listing), F.lit(False)))
+    low = F.lower("html")
+    prose = F.greatest(*[low.contains(w) for w in PROSE_WORDS])
+    rows = pages.where(~F.coalesce(F.when(prose, let(T.html_to_text(F.col("html")), listings.non_job_listing)), F.lit(False)))
     found = rows.lateralJoin(cards(F.col("html").outer(), F.col("url").outer()).select("at", "title", F.col("url").alias("card_url"), "location", "snippet"))
     found = found.withColumn("card_url", F.nullif("card_url", F.lit("")))
     keep = ~F.coalesce(listings.non_job_url(F.col("card_url")), F.lit(False)) & ~listings.bio_snippet(F.col("snippet"))
@@ -332,14 +336,14 @@ def guest_cards(pages: DataFrame, full: int = 25) -> DataFrame:
 
 
 def page_mark(html: Column) -> Column:
-    """A digest of a page's text, which scripts, comments and white space don't change."""
-    return F.md5(F.regexp_replace(T.html_to_text(F.regexp_replace(html, "(?s)<!--.*?-->", "")), r"\s+", " "))
+    """A digest of a page, which scripts, comments and white space don't change."""
+    return F.md5(F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|\s+", " "))
 
 
 def page_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Cards of two fetches ``url, html``, page by page: ``url, key, title, change``; ``change`` is ``new``, ``changed``, ``gone`` or ``alive``.
 
-    A page whose text is the same isn't read for cards again: it gives one row ``alive`` without key, which stands for all that is known of it. Of a changed page
+    A page that is the same isn't read for cards again: it gives one row ``alive`` without key, which stands for all that is known of it. Of a changed page
     the cards that differ in title, place or snippet come with their change, and the others one by one as ``alive``. A page that wasn't fetched now gives no row.
     """
     old, new = (cut(df.select("url", page_mark(F.col("html")).alias("mark"))) for df in (before, after))
