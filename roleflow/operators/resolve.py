@@ -28,17 +28,36 @@ def clusters(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def review_disposition(members: DataFrame, as_of: Column) -> DataFrame:
-    """Clusters of ``cluster, id, status, last_seen, urls``: manual with several applications, or several live rows without a common link."""
+    """Clusters of ``cluster, id, status, last_seen, urls``: manual with several applications, or several live rows that nothing holds together.
+
+    Live rows are held together by a link that all of them have, and where ``members`` has these columns also by a requisition of all (``reqs``), or, two rows, by
+    the one's whole title being a segment of the other's (``norm``, ``seg``) unless their bodies say otherwise (``desc``, ``body_len``). Keys are counted, so a
+    cluster's rows never meet in one list.
+    """
+    has = set(members.columns)
     live = F.col("status").isin("unseen", "liked") & (F.col("last_seen") >= F.date_sub(as_of, V.STALE_DAYS))
+    facts = [c for c in ("norm", "seg", "desc", "body_len") if c in has]
+    pair = F.struct("id", *facts)
     grouped = members.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("status").isin(*V.APPLICATION)).alias("applications"),
         F.count_if(live).alias("live"),
-        F.collect_list(F.when(live, F.col("urls"))).alias("links"),
+        F.min_by(pair, F.when(live, F.col("id"))).alias("a"),
+        F.max_by(pair, F.when(live, F.col("id"))).alias("b"),
     )
-    shared = F.aggregate("links", F.try_element_at("links", F.lit(1)), lambda x, y: F.array_intersect(x, y))
-    manual = (F.col("applications") >= 2) | ((F.col("live") >= 2) & (F.coalesce(F.size(shared), F.lit(0)) == 0))
-    return grouped.where("n > 1").select("cluster", "n", "applications", "live", F.when(manual, "manual").otherwise("merge").alias("disposition"))
+    named = lambda kind, c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.concat(F.lit(kind), x))
+    keys = F.array_distinct(F.concat(named("url ", "urls"), *([named("req ", "reqs")] if "reqs" in has else [])))
+    held = members.where(live).select("cluster", F.explode(keys).alias("key")).where("key is not null").groupBy("cluster", "key").count()
+    held = held.groupBy("cluster").agg(F.max("count").alias("held"))
+    together = F.coalesce(F.col("held") == F.col("live"), F.lit(False))
+    if {"norm", "seg"} <= has:
+        segment = F.array_contains("b.seg", F.col("a.norm")) | F.array_contains("a.seg", F.col("b.norm"))
+        sized = (F.col("a.body_len") > 0) & (F.col("b.body_len") > 0) & (F.least("a.body_len", "b.body_len") * 3 >= F.greatest("a.body_len", "b.body_len"))
+        differs = F.coalesce((F.col("a.desc") != F.col("b.desc")) & sized, F.lit(False)) if {"desc", "body_len"} <= has else F.lit(False)
+        together |= (F.col("live") == 2) & F.coalesce(segment, F.lit(False)) & ~differs
+    manual = (F.col("applications") >= 2) | ((F.col("live") >= 2) & ~together)
+    judged = grouped.where("n > 1").join(held, "cluster", "left")
+    return judged.select("cluster", "n", "applications", "live", F.when(manual, "manual").otherwise("merge").alias("disposition"))
 
 
 def same_role_title(a: Column, b: Column, body_a: Column, body_b: Column) -> Column:
