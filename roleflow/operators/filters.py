@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from roleflow import vocabulary as V
 from roleflow.functions import keys as K
 from roleflow.functions import text as T
+from roleflow.operators.ranking import numbered_within
 
 
 def company_reasons(rows: DataFrame, includes: DataFrame, never: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def grouped_reports(reports: DataFrame) -> DataFrame:
     kind = F.when(F.col("kind").isin(*V.REPORT_KINDS), F.col("kind")).otherwise("other")
     rank = F.array_position(F.array(*[F.lit(k) for k in V.REPORT_KINDS]), F.col("kind"))
     named = reports.withColumn("kind", kind).withColumn("group_place", rank.cast("int"))
-    return named.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("updated"), "slug")))
+    return numbered_within(named, "kind", [F.desc("updated"), "slug"], "place")
 
 
 @dataclass(frozen=True)

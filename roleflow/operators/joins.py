@@ -101,8 +101,9 @@ def key_index(rows: DataFrame) -> DataFrame:
 def same_link(rows: DataFrame) -> DataFrame:
     """Pairs of postings of any employers whose links agree: each later one with the first holder."""
     spread = rows.select("id", F.explode(F.array_distinct(F.transform("urls", K.apply_url))).alias("url")).where("url <> ''").distinct()
-    first = spread.withColumn("first", F.min("id").over(W.partitionBy("url")))
-    return first.where("first <> id").select("id", F.col("first").alias("holder"), "url")
+    # A link that many have is summed up before it is joined; a window would sort all its rows in one task.
+    first = spread.groupBy("url").agg(F.min("id").alias("first"))
+    return spread.join(first, "url").where("first <> id").select("id", F.col("first").alias("holder"), "url")
 
 
 def matching_companies(names: DataFrame, companies: DataFrame) -> DataFrame:

@@ -26,6 +26,18 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataF
     return dealt.withColumn("_in", inside).join(before, "_range").withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")
 
 
+def numbered_within(rows: DataFrame, group: str, order: Sequence[Column | str], name: str) -> DataFrame:
+    """``rows`` with ``name``: their place from 1 inside their group, of which one may hold most rows. Null is a group.
+
+    Groups stand one after the other in one order: a place in a group is the place in all less the groups before, a row each.
+    """
+    placed = numbered(rows, [F.asc_nulls_first(group), *order], "_all")
+    before = W.orderBy(F.asc_nulls_first("_group")).rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy(F.col(group).alias("_group")).count().select("_group", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_skip"))
+    joined = placed.join(sizes, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.withColumn(name, (F.col("_all") - F.col("_skip")).cast("int")).drop("_all", "_skip", "_group")
+
+
 def due_first(rows: DataFrame, as_of: Column, top: int) -> DataFrame:
     """Employers to fetch: overdue and engaged, then overdue, then never fetched; most overdue first."""
     age = F.datediff(as_of, F.col("last_fetched"))
@@ -69,12 +81,8 @@ def today(rows: DataFrame, as_of: Column) -> DataFrame:
         .when((s == "unseen") & (F.col("score") >= V.PROTECT_SCORE), "new")
         .otherwise("rest")
     )
-    order = [F.asc("list"), F.asc_nulls_last("deadline"), F.desc_nulls_last("score"), F.asc("id")]
-    placed = numbered(rows.withColumn("list", name), order, "_all")
-    # The lists stand one after the other in that order: a place in a list is the place in all less the lists before.
-    before = W.orderBy("list").rowsBetween(W.unboundedPreceding, -1)
-    sizes = placed.groupBy("list").count().select("list", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_skip"))
-    return placed.join(F.broadcast(sizes), "list").withColumn("place", (F.col("_all") - F.col("_skip")).cast("int")).drop("_all", "_skip")
+    order = [F.asc_nulls_last("deadline"), F.desc_nulls_last("score"), F.asc("id")]
+    return numbered_within(rows.withColumn("list", name), "list", order, "place")
 
 
 def review_sections(rows: DataFrame, section: str, as_of: Column) -> DataFrame:
@@ -113,7 +121,7 @@ def grouped_by_best(rows: DataFrame, key: str) -> DataFrame:
     groups = rows.groupBy(key).agg(F.max("score").alias("best"))
     # Only the groups, a row each, are put in one order.
     ranked = groups.withColumn("group_place", F.row_number().over(W.orderBy(F.desc_nulls_last("best"), key)))
-    return rows.join(ranked, key).withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc_nulls_last("score"), "id")))
+    return numbered_within(rows, key, [F.desc_nulls_last("score"), "id"], "place").join(ranked, key)
 
 
 def applications(rows: DataFrame, key: Sequence[str], as_of: Column) -> DataFrame:

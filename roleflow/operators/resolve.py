@@ -16,8 +16,9 @@ from roleflow.operators.lookalike import similarity, title_pairs  # noqa: F401
 
 def hub_edges(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Edges from the first holder of each ``company_id, key`` to its later holders; later ones are not compared with each other."""
-    first = F.first("id").over(W.partitionBy("company_id", "key").orderBy(*order))
-    return rows.withColumn("hub", first).where("id <> hub").select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct()
+    first = rows.groupBy(F.col("company_id").alias("_company"), F.col("key").alias("_key")).agg(F.min_by("id", F.struct(*order)).alias("hub"))
+    joined = rows.join(first, F.col("company_id").eqNullSafe(F.col("_company")) & F.col("key").eqNullSafe(F.col("_key")))
+    return joined.where("id <> hub").select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct()
 
 
 def clusters(rows: DataFrame, order: Sequence[str]) -> DataFrame:

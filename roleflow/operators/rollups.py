@@ -238,9 +238,10 @@ def representatives(rows: DataFrame, keys: Sequence[str], text: str = "descripti
 
 def trim_to_budget(rows: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
     """Sections of a key joined in order; if they exceed ``budget`` characters, each keeps its share from the head."""
-    total = F.sum(F.length(text)).over(W.partitionBy(key))
+    total = F.col("_total")
+    sums = rows.groupBy(F.col(key).alias("_key")).agg(F.sum(F.length(text)).alias("_total"))
     keep = F.when(total > budget, F.floor(F.length(text) * F.lit(budget) / total)).otherwise(F.length(text)).cast("int")
-    part = rows.select(key, order, F.substr(F.col(text), F.lit(1), keep).alias("part"))
+    part = rows.join(sums, F.col(key).eqNullSafe(F.col("_key"))).select(key, order, F.substr(F.col(text), F.lit(1), keep).alias("part"))
     parts = F.array_sort(F.collect_list(F.struct(order, "part")))
     return part.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n").alias("content"))
 
