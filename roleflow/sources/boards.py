@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roleflow.functions import text as T
@@ -195,3 +195,28 @@ def opportunity_rows(spark, path, org):
     place = F.coalesce(_text("location"), F.nullif(F.array_join(F.filter(F.transform("locationFilter", lambda x: F.trim(x)), lambda x: x != ""), ", "), F.lit("")))
     pay = F.coalesce(_text("salaryOriginal"), F.when(F.col("salary") > 0, F.format_number("salary", 0)))
     return _shape(j, F.col("_org"), external_id=F.coalesce(_text("id"), _short_key(F.col("applicationLink"))), title=F.trim("title"), url=F.trim("applicationLink"), location=place, department=F.array_join("causeAreas", ", "), description=T.html_to_text(F.col("description")), compensation=pay, deadline=D.strict_date(F.substring("applicationDeadline", 1, 10)))
+
+
+def sitemap_links(spark: SparkSession, path: str) -> DataFrame:
+    """``url, reason`` of a host's sitemap: its links, or the reason why it has none: an index of other sitemaps is no empty site."""
+    urls = spark.read.format("xml").option("rowTag", "url").schema("loc string").load(path)
+    inner = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path)
+    links = urls.select(F.trim("loc").alias("url"), F.lit(None).cast("string").alias("reason")).where("url <> ''").distinct()
+    return links.unionByName(inner.limit(1).select(F.lit(None).cast("string").alias("url"), F.lit("sitemap_index").alias("reason")))
+
+
+def marked_postings(pages: DataFrame, org: str) -> DataFrame:
+    """Postings of detail pages ``url, html`` by their marked-up title and blocks of description; pages without a title go."""
+    plain = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " ")
+    title = T.html_to_line(F.regexp_extract("html", r"""(?is)itemprop="title"[^>]*>\s*(.*?)\s*<""", 1))
+    blocks = F.regexp_extract_all(plain, F.lit(r"""(?is)<(?:span|div|p)\b[^>]*itemprop="description"[^>]*>(.*?)</(?:span|div)>"""), F.lit(1))
+    body = F.array_join(F.filter(F.transform(blocks, lambda b: T.html_to_text(b)), lambda b: b != ""), "\n\n")
+    place = T.html_to_line(F.regexp_extract("html", r"""(?is)itemprop="(?:jobLocation|addressLocality)"[^>]*>(.*?)</""", 1))
+    rows = pages.select("url", title.alias("t"), place.alias("w"), F.nullif(body, F.lit("")).alias("b"))
+    key = F.coalesce(F.nullif(F.regexp_extract("url", r"/(\d+)/?(?:[?#].*)?$", 1), F.lit("")), _short_key(F.col("url")))
+    return _shape(rows, org, external_id=key, title=F.col("t"), url=F.col("url"), location=F.nullif("w", F.lit("")), description=F.col("b"))
+
+
+def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The first source's postings, and for employers of which it has none those of the second."""
+    return first.unionByName(second.join(first.select("org").distinct(), "org", "left_anti").select(*first.columns))
