@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roleflow.plans.bindings import Registry
 from roleflow.session import cut, ensure_checkpoint_dir, table
+from roleflow.sources import boards  # noqa: F401  registers its connectors
 from roleflow.sources import connectors as C
 from roleflow.sources import landed as L
 
@@ -50,29 +51,45 @@ def _filled(template: str, drift: bool) -> Column:
     return F.translate(F.concat(*out), "\x01\x02", "{}")
 
 
-def _payloads(spark, sf: str, drift: bool) -> DataFrame:
+#: Further vendors: what stands around the list, and a posting.
+MORE = {
+    "pinpoint": ('{"data":[', "]}", '{{"id":"{k}","title":"{n}","url":"https://p.example/{k}","compensation":"Pay {k}","compensation_visible":true,"workplace_type_text":"Hybrid","location":{{"name":"{w}"}},"job":{{"department":{{"name":"{s}"}}}}}}'),
+    "adp": ('{"jobRequisitions":[', "]}", '{{"itemID":"{k}","requisitionTitle":"{n}","payGradeRange":{{"minimumRate":{{"amountValue":10,"currencyCode":"USD"}},"maximumRate":{{"amountValue":20}}}},"requisitionLocations":[{{"nameCode":{{"shortName":"{w}"}}}}]}}'),
+    "workday": ('{"total":9,"jobPostings":[', "]}", '{{"title":"{n}","externalPath":"/job/{w}/R-{k}","locationsText":"{w}"}}'),
+    "bamboohr": ('{"result":[', "]}", '{{"id":"{k}","jobOpeningName":"{n}","location":{{"city":"{w}","state":"ST"}},"isRemote":true,"departmentLabel":"{s}"}}'),
+    "amazon": ('{"hits":9,"jobs":[', "]}", '{{"title":"{n}","id_icims":"{k}","job_path":"/en/jobs/{k}","location":"{w}","job_category":"{s}"}}'),
+    "apple": ('{"searchResults":[', "]}", '{{"postingTitle":"{n}","positionId":"{k}","team":{{"teamName":"{s}"}},"locations":[{{"name":"{w}"}},{{"city":"X"}}]}}'),
+    "idealist": ('{"hits":[', "]}", '{{"objectID":"{k}","name":"{n}","orgName":"Org {s}","url":{{"en":"/j/{k}"}},"locationType":"REMOTE","remoteZone":"WORLD","country":"NO","functions":["A","B"],"salaryMinimum":1000,"salaryMaximum":2000,"salaryCurrency":"EUR","salaryPeriod":"MONTH"}}'),
+    "tagged_index": ('{"hits":[', "]}", '{{"objectID":"{k}","title":"{n}","org":{{"name":"Org {s}"}},"url_external":"https://t.example/{k}","locations":[{{"name":"{w}"}}],"tags_area":[{{"name":"{s}"}}],"has_salary":false,"salary_text":"x"}}'),
+    "fastforward": ('{"results":{"count":9,"jobs":[', "]}}", '{{"id":{k},"title":"{n}  Featured","url":"https://f.example/{k}","organization":{{"name":"Org {s}"}},"locations":[{{"name":"{w}"}}],"work_mode":"remote","compensation_amount_min_cents":100000,"compensation_amount_max_cents":200000,"compensation_public":true,"compensation_period":"month"}}'),
+    "search_index": ('{"nbHits":9,"hits":[', "]}", '{{"objectID":"{k}","title":"{n}","company_name":"Org {s}","url":"https://s.example/{k}","tags_city":["{w}"],"tags_country":["NO"]}}'),
+    "wordpress_jobs": ("[", "]", '{{"id":{k},"link":"https://wp.example/{k}","title":{{"rendered":"{n}"}},"detail":{{"employer":"Org {s}","location":"{w}","salary":"5"}}}}'),
+}
+
+
+def _payloads(spark, sf: str, drift: bool, names=NAMES, around=AROUND, item=ITEM) -> DataFrame:
     """``source, day, value``: the employers of the table as postings, so many a payload; with ``drift`` some payloads are broken."""
     rows = table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_name AS n", "c_mktsegment AS s", "concat('City ', c_nationkey) AS w", f"c_custkey DIV {EACH} AS p")
-    kind = lambda m: {n: F.lit(m[n]) if isinstance(m[n], str) else m[n] for n in NAMES}
+    kind = lambda m: {n: F.lit(m[n]) for n in names}
 
     def of(values: dict[str, Column]) -> Column:
         out = F.lit(None).cast("string")
-        for i, name in enumerate(NAMES):
-            out = F.when(F.col("p") % len(NAMES) == i, values[name]).otherwise(out)
+        for i, name in enumerate(names):
+            out = F.when(F.col("p") % len(names) == i, values[name]).otherwise(out)
         return out
 
-    items = rows.select("p", "k", of({n: _filled(ITEM[n], drift) for n in NAMES}).alias("item"))
+    items = rows.select("p", "k", of({n: _filled(item[n], drift) for n in names}).alias("item"))
     lists = items.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("k", "item"))).alias("items"))
-    value = F.concat(of(kind({n: AROUND[n][0] for n in NAMES})), F.array_join(F.transform("items", lambda x: x["item"]), ","), of(kind({n: AROUND[n][1] for n in NAMES})))
+    value = F.concat(of(kind({n: around[n][0] for n in names})), F.array_join(F.transform("items", lambda x: x["item"]), ","), of(kind({n: around[n][1] for n in names})))
     if drift:
         value = F.when(F.col("p") % 13 == 5, F.substring(value, 1, 40)).when(F.col("p") % 13 == 6, '{"status":503}').when(F.col("p") % 13 == 8, '{"other":[]}').otherwise(value)
     day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("p") % 3).cast("int"))
-    return lists.select(of(kind({n: n for n in NAMES})).alias("source"), day.alias("day"), value.alias("value"))
+    return lists.select(of(kind({n: n for n in names})).alias("source"), day.alias("day"), value.alias("value"))
 
 
-def _land(spark, sf: str, drift: bool) -> str:
+def _land(spark, sf: str, drift: bool, **kinds) -> str:
     folder = f"{ensure_checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
-    _payloads(spark, sf, drift).write.option("maxRecordsPerFile", 1).partitionBy("source", "day").text(folder)
+    _payloads(spark, sf, drift, **kinds).write.option("maxRecordsPerFile", 1).partitionBy("source", "day").text(folder)
     return folder
 
 
@@ -106,8 +123,33 @@ def landed_failures(spark, sf):
 def vendor_postings(spark, sf):
     """Through the vendors' own connectors."""
     folder, out = _land(spark, sf, drift=False), None
+    there = {r["source"] for r in spark.read.text(folder, wholetext=True).select("source").distinct().collect()}
     for name in NAMES:
-        if not spark.read.text(folder, wholetext=True).where(F.col("source") == name).isEmpty():
+        if name in there:
             part = C.REGISTRY[name](spark, f"{folder}/source={name}", "Acme").select(F.lit(name).alias("source"), "external_id", "title", "url", "location", "department", F.nullif("description", F.lit("")).alias("description"))
             out = part if out is None else out.unionByName(part)
     return cut(out)
+
+
+_ORG = "CASE WHEN source IN ('idealist', 'tagged_index', 'fastforward', 'search_index', 'wordpress_jobs') THEN 'Org ' || s ELSE 'Acme' END"
+
+
+@q(
+    f"""WITH p AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS s, concat('City ', c_nationkey) AS w, ['{"', '".join(MORE)}'][CAST((c_custkey // {EACH}) % {len(MORE)} AS INT) + 1] AS source FROM customer)
+SELECT source, {_ORG} AS org, CASE source WHEN 'workday' THEN 'R-' || k ELSE CAST(k AS VARCHAR) END AS external_id, n AS title,
+CASE source WHEN 'pinpoint' THEN 'https://p.example/' || k WHEN 'workday' THEN '/job/' || w || '/R-' || k WHEN 'amazon' THEN 'https://www.amazon.jobs/en/jobs/' || k WHEN 'apple' THEN 'https://jobs.apple.com/en-us/details/' || k WHEN 'idealist' THEN 'https://www.idealist.org/j/' || k
+  WHEN 'tagged_index' THEN 'https://t.example/' || k WHEN 'fastforward' THEN 'https://f.example/' || k WHEN 'search_index' THEN 'https://s.example/' || k WHEN 'wordpress_jobs' THEN 'https://wp.example/' || k END AS url,
+CASE source WHEN 'pinpoint' THEN 'Hybrid, ' || w WHEN 'bamboohr' THEN 'Remote, ' || w || ', ST' WHEN 'apple' THEN w || ', X' WHEN 'idealist' THEN 'Remote, worldwide, NO' WHEN 'fastforward' THEN 'Remote, ' || w ELSE w END AS location,
+CASE WHEN source IN ('pinpoint', 'bamboohr', 'amazon', 'apple', 'tagged_index') THEN s WHEN source = 'idealist' THEN 'A, B' END AS department,
+CASE source WHEN 'pinpoint' THEN 'Pay ' || k WHEN 'adp' THEN '10–20 USD' WHEN 'idealist' THEN 'EUR 1,000–2,000/month' WHEN 'fastforward' THEN 'USD 1,000–2,000/month' WHEN 'wordpress_jobs' THEN '5' END AS compensation FROM p"""
+)
+def board_postings(spark, sf):
+    """Through the connectors of further vendors and boards."""
+    kinds = {"names": tuple(MORE), "around": {n: v[:2] for n, v in MORE.items()}, "item": {n: v[2] for n, v in MORE.items()}}
+    folder, out = _land(spark, sf, drift=False, **kinds), None
+    there = {r["source"] for r in spark.read.text(folder, wholetext=True).select("source").distinct().collect()}
+    for name in MORE:
+        if name in there:
+            part = C.REGISTRY[name](spark, f"{folder}/source={name}", "Acme").select(F.lit(name).alias("source"), "org", "external_id", "title", "url", "location", "department", "compensation")
+            out = part if out is None else out.unionByName(part)
+    return cut(out)
