@@ -14,6 +14,15 @@ BATCH = "pos long, source string, external_id string, org string, company_id lon
 DAY, OLD = dt.date(2026, 3, 1), dt.date(2026, 1, 5)
 
 
+@pytest.fixture(autouse=True, scope="module")
+def one_partition(spark):
+    """Small rows: a state store or a task each for every partition would be most of the time."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def body(word, n=60):
     return " ".join(f"{word}{i}" for i in range(n))
 

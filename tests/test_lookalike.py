@@ -8,6 +8,15 @@ import pytest
 from roleflow.operators import lookalike as A
 
 
+@pytest.fixture(autouse=True, scope="module")
+def one_partition(spark):
+    """Small rows: a state store or a task each for every partition would be most of the time."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def ratio(x, y):
     return SequenceMatcher(None, x, y, autojunk=False).ratio()
 

@@ -13,6 +13,15 @@ T0 = 1_760_000_000_000
 EVENT = "key long, ms long, id long, status string, reason string"
 
 
+@pytest.fixture(autouse=True, scope="module")
+def one_partition(spark):
+    """Small rows: a state store or a task each for every partition would be most of the time."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 class Stream:
     """Files that land one by one, and a query that stops after each and starts again from its checkpoint."""
 
