@@ -21,18 +21,26 @@ def observed(spark: SparkSession, folder: str, schema: str, pattern: str | None
     return reader.load(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _plain_state(events: DataFrame) -> DataFrame:
+    """The stream with state rows of the plain format: these operators refuse the one that keyed state sets for the session."""
+    if events.isStreaming:
+        events.sparkSession.conf.set("spark.sql.streaming.stateStore.encodingFormat", "unsaferow")
+    return events
+
+
 def once(events: DataFrame, key: tuple[str, ...] = KEY, late: str = "2 days") -> DataFrame:
     """Each event once by its key, within the time that events may be late; state is dropped behind the watermark."""
+    events = _plain_state(events)
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(key)) if events.isStreaming else events.dropDuplicates(list(key))
 
 
 def windowed(events: DataFrame, length: str, late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+    return _plain_state(events).withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
     """Sessions of a source: events less than ``gap`` apart."""
-    grouped = events.groupBy("source", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("start_ts"), F.count(F.lit(1)).alias("n"))
+    grouped = _plain_state(events).groupBy("source", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("start_ts"), F.count(F.lit(1)).alias("n"))
     return grouped.select("source", "start_ts", "n")
 
 
@@ -57,7 +65,7 @@ def changes(events: DataFrame) -> DataFrame:
             state.update((now.iloc[-1],))
             yield pd.DataFrame({"key": key[0], "ts": frame["ts"], "previous": before, "status": now})[changed.to_numpy()]
 
-    return events.groupBy("key").applyInPandasWithState(emit, "key long, ts timestamp, previous string, status string", "last string", "append", "NoTimeout")
+    return _plain_state(events).groupBy("key").applyInPandasWithState(emit, "key long, ts timestamp, previous string, status string", "last string", "append", "NoTimeout")
 
 
 def failure_counts(events: DataFrame) -> DataFrame:
@@ -71,7 +79,7 @@ def failure_counts(events: DataFrame) -> DataFrame:
         state.update((n,))
         yield pd.DataFrame({"key": [key[0]], "failures": [n]})
 
-    return events.groupBy("key").applyInPandasWithState(count, "key long, failures long", "n long", "update", "NoTimeout")
+    return _plain_state(events).groupBy("key").applyInPandasWithState(count, "key long, failures long", "n long", "update", "NoTimeout")
 
 
 def without_recent_tombstones(events: DataFrame, days: int = 90, late: str = "2 days") -> DataFrame:
@@ -89,7 +97,7 @@ def without_recent_tombstones(events: DataFrame, days: int = 90, late: str = "2
                 state.update(("archived",))
                 state.setTimeoutTimestamp(int(frame["ts"][archived].max().timestamp() * 1000) + days * 86_400_000)
 
-    marked = events.withWatermark("ts", late)
+    marked = _plain_state(events).withWatermark("ts", late)
     return marked.groupBy("key").applyInPandasWithState(keep, "key long, ts timestamp, status string", "reason string", "append", "EventTimeTimeout")
 
 

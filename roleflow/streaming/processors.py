@@ -21,7 +21,11 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def keyed_state(spark: SparkSession) -> None:
-    """The state store that keyed state needs, with rows that may gain columns between two starts of a query."""
+    """The state store that keyed state needs, with rows that may gain columns between two starts of a query.
+
+    State over a batch frame needs the driver's coordinator of state stores as well, which a session without a stream has only once its streams are asked for.
+    """
+    _ = spark.streams
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     spark.conf.set("spark.sql.streaming.stateStore.encodingFormat", "avro")
 

@@ -1,12 +1,16 @@
 """Keyed state of streams: each micro-batch gives what one batch over all events so far gives, restarts included."""
 
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from roleflow.operators import rollups as G
+from roleflow.streaming import events as E
 from roleflow.streaming import processors as P
 
 T0 = 1_760_000_000_000
@@ -177,3 +181,29 @@ def test_hard_rules_and_the_alarm(spark, tmp_path):
 def test_batches_of_little(spark, rows):
     out = P.status_log(spark.createDataFrame(rows, EVENT)).collect()
     assert [(r["key"], r["status"], r["times"]) for r in out] == [(k, None, 1) for k, *_ in rows]
+
+
+def test_keyed_state_over_a_batch_in_a_session_without_streams(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+from roleflow.streaming import processors as P
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").config("spark.local.dir", "{tmp_path}").getOrCreate()
+runs = spark.createDataFrame([(1, 5, 5, 3, True, 0, 1), (1, 6, 6, 9, True, 0, 1)], "source long, ms long, id long, n long, enabled boolean, errored long, live long")
+print("got", [r["verdict"] for r in P.run_verdicts(runs).orderBy("ms").collect()])
+seen = spark.createDataFrame([(1, 5, 5, "reviewed"), (1, 6, 6, "decided")], "key long, ms long, id long, kind string")
+print("got", [tuple(r) for r in P.review_cursor(seen).collect()])
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=tmp_path, env={**os.environ, "PYTHONPATH": repo})
+    assert [line for line in done.stdout.splitlines() if line.startswith("got")] == ["got ['no baseline', 'out of range']", "got [(1, 5, 1, 6)]"], done.stderr[-2000:]
+
+
+def test_keyed_state_leaves_other_streams_startable(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    P.keyed_state(spark)
+    spark.createDataFrame([(1, dt.datetime(2026, 1, 1), "a")], "key long, ts timestamp, status string").write.parquet(str(tmp_path / "in" / "f"))
+    source = spark.readStream.schema("key long, ts timestamp, status string").parquet(str(tmp_path / "in" / "*"))
+    for name, frame in (("changed", E.changes(source)), ("once", E.once(source, ("key",)))):
+        out = []
+        query = frame.writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert query.awaitTermination(60) and len(out) == 1
