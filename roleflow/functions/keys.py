@@ -69,10 +69,13 @@ def sibling_key(key: Column, fingerprint: Column) -> Column:
 def strip_places(title: Column, places: tuple[str, ...] = ()) -> Column:
     """The title without trailing segments that name a place or a work mode; it is never emptied."""
     known = F.array(*[F.lit(x) for x in sorted({*MODES, *REGIONS, *(p.lower() for p in places)})])
-    parts = F.split(F.coalesce(title, F.lit("")), SEGMENT)
-    # The last segment that is none of them ends the title.
-    last = F.array_max(F.transform(parts, lambda p, i: F.when(~F.array_contains(known, F.lower(F.trim(p))), i + 1).otherwise(F.lit(1))))
-    return F.array_join(F.filter(F.slice(parts, 1, F.greatest(last, F.lit(1))), lambda p: F.trim(p) != ""), ", ")
+
+    def named(parts: Column) -> Column:
+        # The last segment that is none of them ends the title.
+        last = F.array_max(F.transform(parts, lambda p, i: F.when(~F.array_contains(known, F.lower(F.trim(p))), i + 1).otherwise(F.lit(1))))
+        return F.array_join(F.filter(F.slice(parts, 1, F.greatest(last, F.lit(1))), lambda p: F.trim(p) != ""), ", ")
+
+    return let(F.split(F.coalesce(title, F.lit("")), SEGMENT), named)
 
 
 def singular(word: Column) -> Column:
@@ -85,33 +88,46 @@ def singular(word: Column) -> Column:
     )
 
 
+def _in_full(text: Column) -> Column:
+    for short, full in ABBREVIATIONS.items():
+        text = F.regexp_replace(text, rf"(?U)\b{short}\b", full)
+    return text
+
+
 def core_title(title: Column) -> Column:
     t = F.lower(bare_title(title))
     t = F.regexp_replace(F.regexp_replace(t, NOISE, " "), REQUISITION_TAG, " ")
-    for short, full in ABBREVIATIONS.items():
-        t = F.regexp_replace(t, rf"(?U)\b{short}\b", full)
+    t = let(t, lambda x: F.when(x.rlike(rf"(?U)\b(?:{'|'.join(ABBREVIATIONS)})\b"), _in_full(x)).otherwise(x))
     t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), r"(?U)[^\w\s]|_", " ")
     return _spaced(t)
 
 
 def strong_title(title: Column, places: tuple[str, ...] = ()) -> Column:
     """The title without place, level, plural and punctuation; a title of level words alone keeps them."""
-    core = core_title(strip_places(title, places))
-    bare = _spaced(F.regexp_replace(core, rf"(?U)\b(?:{'|'.join(LEVELS)})\b", " "))
-    folded = F.array_join(F.transform(F.split(bare, " "), singular), " ")
-    return F.when(bare == "", core).otherwise(folded)
+
+    def folded(core: Column, bare: Column) -> Column:
+        return F.when(bare == "", core).otherwise(F.array_join(F.transform(F.split(bare, " "), singular), " "))
+
+    def bare(core: Column) -> Column:
+        return _spaced(F.regexp_replace(core, rf"(?U)\b(?:{'|'.join(LEVELS)})\b", " "))
+
+    return let(core_title(strip_places(title, places)), lambda core: let(bare(core), lambda b: folded(core, b)))
 
 
 def normalized_key(org: Column, title: Column, places: tuple[str, ...] = ()) -> Column:
     return key16(org, strong_title(title, places))
 
 
-def segment_keys(org: Column, title: Column) -> Column:
-    """Keys of the segments of three words or more that are not the whole title, each once."""
-    full = strong_title(title)
-    parts = F.transform(F.split(F.coalesce(title, F.lit("")), SEGMENT), lambda p: strong_title(p))
-    kept = F.filter(parts, lambda p: (p != full) & (F.size(F.split(p, " ")) >= SEGMENT_LEAST))
-    return F.array_distinct(F.transform(kept, lambda p: key16(org, p)))
+def segment_keys(org: Column, title: Column, strong: Column | None = None) -> Column:
+    """Keys of the segments of three words or more that are not the whole title, each once; ``strong`` is the strong title where it is known."""
+    parts = F.split(F.coalesce(title, F.lit("")), SEGMENT)
+
+    def of(full: Column) -> Column:
+        kept = F.filter(F.transform(parts, lambda p: strong_title(p)), lambda p: (p != full) & (F.size(F.split(p, " ")) >= SEGMENT_LEAST))
+        return F.array_distinct(F.transform(kept, lambda p: key16(org, p)))
+
+    # A title of one segment has none that is not the whole.
+    return F.when(F.size(parts) > 1, let(strong_title(title) if strong is None else strong, of)).otherwise(F.array().cast("array<string>"))
 
 
 def body_text(description: Column) -> Column:
@@ -126,17 +142,20 @@ def body_fingerprint(description: Column) -> Column:
 
 def apply_url(url: Column) -> Column:
     """A link without fragment, tracking parameters and trailing slash, scheme and host in lower case."""
-    u = F.trim(F.coalesce(url, F.lit("")))
     whole = r"^(?:([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-    part = [F.regexp_extract(u, whole, i) for i in range(1, 5)]
-    query = F.regexp_replace(part[3], r"(?i)utm_[a-z]+=[^&]*", "")
-    kept = F.filter(
-        F.split(query, "&"),
-        lambda p: (p != "") & ~F.lower(F.element_at(F.split(p, "="), 1)).isin(*TRACKING) & ~F.lower(p).startswith("utm_"),
-    )
-    site = F.when(part[0] != "", F.concat(F.lower(part[0]), F.lit("://"), F.lower(part[1]))).otherwise(F.lit(""))
-    tail = F.array_join(kept, "&")
-    return F.concat(site, F.regexp_replace(part[2], "/+$", ""), F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(F.lit("")))
+
+    def tail(query: Column) -> Column:
+        kept = F.filter(
+            F.split(F.regexp_replace(query, r"(?i)utm_[a-z]+=[^&]*", ""), "&"),
+            lambda p: (p != "") & ~F.lower(F.element_at(F.split(p, "="), 1)).isin(*TRACKING) & ~F.lower(p).startswith("utm_"),
+        )
+        return let(F.array_join(kept, "&"), lambda t: F.when(t != "", F.concat(F.lit("?"), t)).otherwise(F.lit("")))
+
+    def joined(part: Column) -> Column:
+        site = F.when(part[0] != "", F.concat(F.lower(part[0]), F.lit("://"), F.lower(part[1]))).otherwise(F.lit(""))
+        return F.concat(site, F.regexp_replace(part[2], "/+$", ""), F.when(part[3] != "", tail(part[3])).otherwise(F.lit("")))
+
+    return let(F.trim(F.coalesce(url, F.lit(""))), lambda u: let(F.array(*[F.regexp_extract(u, whole, i) for i in range(1, 5)]), joined))
 
 
 # Where vendors' links carry the id of a requisition, in the order in which they are tried.

@@ -14,7 +14,7 @@ from roleflow.operators import joins as J
 from roleflow.operators import rollups as G
 from roleflow.operators import screening as C
 from roleflow.plans.bindings import AS_OF, Registry, bound
-from roleflow.session import table
+from roleflow.session import spread, table
 from roleflow.sources import connectors, listings
 
 REGISTRY = Registry()
@@ -123,7 +123,8 @@ SELECT substring(md5(org || '|' || seg), 1, 16) AS key, count(DISTINCT id) AS n
 )
 def segment_title_keys(spark, sf):
     title = F.concat_ws(", ", "title", "kind", F.concat_ws(" ", "title", "kind", F.lit("role")))
-    rows = bound(spark, sf, "role").select("id", F.explode(K.segment_keys(F.col("org"), title)).alias("key"))
+    # Before an inner explode the optimizer would make all keys once more, to see whether there are any.
+    rows = spread(bound(spark, sf, "role"), "id").select("id", F.explode_outer(K.segment_keys(F.col("org"), title)).alias("key")).where("key is not null")
     return rows.groupBy("key").agg(F.count_distinct("id").alias("n"))
 
 

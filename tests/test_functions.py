@@ -104,3 +104,12 @@ def test_a_long_consent_text(spark):
     assert column(spark, texts, T.is_cookie_boilerplate) == [True, False, False, False]
     got = column(spark, texts, T.strip_cookie_boilerplate)
     assert got[0] == "text here" and got[1].startswith("text here xxx") and got[2] == LONG.strip() and got[3].startswith(". xxx")
+
+
+def test_costly_parts_of_keys_are_named_once(spark):
+    """Before, a lambda made the whole title anew for each of its segments, and each link for each other one."""
+    row = spark.createDataFrame([("Org", "Senior VP of Ops, Data Engineers of Health, Remote")], "org string, title string")
+    plan = row.select(K.segment_keys(F.col("org"), F.col("title")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("chief executive officer") <= 4
+    assert row.select(K.strong_title(F.col("title"))).first()[0] == "vice president of operation data engineer of health"
+    assert row.select(K.segment_keys(F.col("org"), F.lit("One segment only"))).first()[0] == []
