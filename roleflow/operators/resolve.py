@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from roleflow import vocabulary as V
 from roleflow.functions import keys as K
+from roleflow.functions.naming import let
 from roleflow.operators.graph import connected_components
 from roleflow.operators.lookalike import similarity, title_pairs  # noqa: F401
 
@@ -92,9 +93,13 @@ def fold_places(places: Column) -> Column:
     """Places of ``array<struct<url,city,country>>`` folded by link: an entry without a place gives way to one of its link with a place."""
     keyed = F.transform(places, lambda x: F.struct(K.apply_url(x["url"]).alias("url"), x["city"].alias("city"), x["country"].alias("country")))
     bare = lambda x: x["city"].isNull() & x["country"].isNull()
-    placed = F.filter(keyed, lambda x: ~bare(x))
-    rest = F.filter(keyed, lambda x: bare(x) & ~F.exists(placed, lambda p: p["url"] == x["url"]))
-    return F.array_distinct(F.concat(placed, rest))
+
+    def folded(each: Column, placed: Column) -> Column:
+        # Each place once before they meet, so that links seen many times cost no more than different ones.
+        links = F.transform(placed, lambda p: p["url"])
+        return F.concat(placed, let(links, lambda urls: F.filter(each, lambda x: bare(x) & ~F.array_contains(urls, x["url"]))))
+
+    return let(F.array_distinct(keyed), lambda each: let(F.filter(each, lambda x: ~bare(x)), lambda placed: folded(each, placed)))
 
 
 def triage(rows: DataFrame, priority: Sequence[str]) -> DataFrame:
