@@ -15,7 +15,7 @@ from roleflow import vocabulary as V
 from roleflow.functions import keys as K
 from roleflow.functions import values as D
 from roleflow.operators.graph import connected_components
-from roleflow.operators.joins import latest
+from roleflow.operators.joins import first_of_keys
 from roleflow.session import cut
 
 # Words that never tell two titles at one link apart.
@@ -56,9 +56,8 @@ def first_holders(store: DataFrame) -> DataFrame:
     """The first holder of each key of an employer, decided rows before others: ``company_id, kind, key, id``."""
     one = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
     pairs = F.flatten(F.array(one("norm", F.array("norm")), one("desc", F.array("desc")), one("url", F.col("urls")), one("req", F.col("reqs")), one("seg", F.col("seg"))))
-    decided = F.col("status").isin(*V.DECIDED).cast("int").alias("decided")
-    spread = store.select("id", "company_id", "first_seen", decided, F.explode(pairs).alias("p")).select("id", "company_id", "first_seen", "decided", "p.*").where("key <> ''")
-    return latest(spread, ["company_id", "kind", "key"], F.desc("decided"), F.asc("first_seen"), F.asc("id")).select("company_id", "kind", "key", "id")
+    decided = F.col("status").isin(*V.DECIDED).alias("decided")
+    return first_of_keys(store.select("id", "company_id", "first_seen", decided, F.explode(pairs).alias("p")).select("id", "company_id", "first_seen", "decided", "p.*").where("key <> ''"))
 
 
 def exact_hits(batch: DataFrame, store: DataFrame) -> DataFrame:
@@ -202,10 +201,16 @@ def import_outcomes(gated: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def by_posting_url(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The stored row, of any employer, at one of the links of ``asked(ask, urls, title)`` whose title fits; the oldest of several."""
-    stored = rows.select("id", "first_seen", F.col("title").alias("_title"), F.explode("urls").alias("url"))
-    hits = asked.select("ask", "title", F.explode("urls").alias("url")).where("url <> ''").join(stored, "url").where(same_title(F.col("title"), F.col("_title")))
-    return latest(hits, ["ask"], F.asc("first_seen"), F.asc("id")).select("ask", "id")
+    """The stored row, of any employer, at one of the links of ``asked(ask, urls, title)`` whose title fits; the oldest of several.
+
+    Titles of a link meet once each, however many rows have them: the oldest row stands for the stored ones.
+    """
+    of_link = rows.select("id", "first_seen", F.col("title").alias("_title"), F.explode("urls").alias("url")).where("url <> ''")
+    stored = of_link.groupBy("url", "_title").agg(F.min(F.struct("first_seen", "id")).alias("m"))
+    links = asked.select("ask", "title", F.explode("urls").alias("url")).where("url <> ''")
+    hits = links.select("url", "title").distinct().join(stored, "url").where(same_title(F.col("title"), F.col("_title")))
+    found = hits.groupBy("url", "title").agg(F.min("m").alias("m"))
+    return links.join(found, ["url", "title"]).groupBy("ask").agg(F.min("m").alias("m")).select("ask", "m.id")
 
 
 def across_companies(rows: DataFrame) -> DataFrame:

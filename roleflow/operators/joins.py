@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from roleflow import vocabulary as V
 from roleflow.functions import keys as K
+from roleflow.session import spread
 
 
 def awaiting(score: Column) -> Column:
@@ -79,11 +80,12 @@ def key_index(rows: DataFrame) -> DataFrame:
 
     ``rows`` has ``id, company_id, org, title, description, urls, status, first_seen``.
     """
+    rows = spread(rows, "id").withColumn("_strong", K.strong_title(F.col("title")))
     made = {
         "exact": F.array(K.exact_key(F.col("org"), F.col("title"))),
-        "norm": F.array(K.normalized_key(F.col("org"), F.col("title"))),
+        "norm": F.array(K.key16(F.col("org"), F.col("_strong"))),
         "desc": F.array(K.body_fingerprint(F.col("description"))),
-        "seg": K.segment_keys(F.col("org"), F.col("title")),
+        "seg": K.segment_keys(F.col("org"), F.col("title"), F.col("_strong")),
         "url": F.transform("urls", K.apply_url),
         "req": F.transform("urls", K.requisition_key),
     }
@@ -92,10 +94,15 @@ def key_index(rows: DataFrame) -> DataFrame:
         return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
 
     pairs = F.flatten(F.array(*[pair(k, v) for k, v in made.items()]))
-    spread = rows.select("id", "company_id", "status", "first_seen", F.explode(pairs).alias("p")).where("p.key is not null and p.key <> ''")
-    decided = F.col("status").isin(*V.DECIDED).cast("int")
-    spread = spread.select("id", "company_id", "first_seen", "p.*", decided.alias("decided"))
-    return latest(spread, ["company_id", "kind", "key"], F.desc("decided"), F.asc("first_seen"), F.asc("id")).select("company_id", "kind", "key", "id")
+    # Before an inner explode the optimizer would make all keys once more, to see whether there are any.
+    keyed = rows.select("id", "company_id", "status", "first_seen", F.explode_outer(pairs).alias("p")).where("p.key is not null and p.key <> ''")
+    return first_of_keys(keyed.select("id", "company_id", "first_seen", "p.*", F.col("status").isin(*V.DECIDED).alias("decided")))
+
+
+def first_of_keys(keyed: DataFrame) -> DataFrame:
+    """The first holder of each key of rows ``id, company_id, kind, key, decided, first_seen``, decided ones before others: a sum by parts, so a key of many rows is no task of its own."""
+    order = F.struct(F.coalesce(~F.col("decided"), F.lit(True)).alias("d"), F.col("decided").isNull().alias("n"), F.col("first_seen").alias("f"), F.col("id").alias("id"))
+    return keyed.groupBy("company_id", "kind", "key").agg(F.min(order).alias("m")).select("company_id", "kind", "key", "m.id")
 
 
 def same_link(rows: DataFrame) -> DataFrame:
