@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from roleflow.operators import identity as I
 from roleflow.operators import joins as J
 from roleflow.operators import lifecycle as L
 from roleflow.operators import ranking as K
@@ -170,3 +171,46 @@ def test_rollup_of_no_rows(spark):
     none = spark.createDataFrame([], "id long, status string, score int, deadline date, company_id long, first_seen date, board string")
     assert G.company_rollup(none).collect() == [] and G.application_counts(none).first()["sent"] == 0
     assert G.confusion(none, F.col("score") > 1, F.col("score") > 2).first()["f1"] is None
+
+
+def test_of_judgements_with_one_seq_the_most_careful_counts(spark):
+    asked = spark.createDataFrame([(i, "years of travel") for i in range(1, 5)], "id long, text string")
+    said = [(1, "KILL", 5, "travel", 1), (1, "KEEP", 5, "travel", 1), (2, "KILL", 5, "travel", 1), (2, "KILL", 4, "travel", 1), (3, "KILL", 5, "travel", 1), (3, "KILL", 5, "absent", 1), (4, "KILL", 4, "travel", 1), (4, "KILL", 5, "travel", 2)]
+    for rows in (said, said[::-1]):
+        got = L.decide(spark.createDataFrame(rows, "id long, verdict string, confidence int, quote string, seq int"), asked)
+        assert {r["id"]: r["outcome"] for r in got.collect()} == {1: "kept", 2: "held", 3: "held", 4: "killed"}
+
+
+def produced(frame):
+    """Rows that each join of the executed plan made."""
+    frame.collect()
+    seen, todo = [], [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if "Join" in node.getClass().getSimpleName() and node.metrics().contains("numOutputRows"):
+            seen.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return seen
+
+
+def test_titles_of_a_link_meet_once_each(spark):
+    day = dt.date(2026, 1, 1)
+    rows = spark.range(400).select("id", F.date_sub(F.lit(day), (F.col("id") % 7).cast("int")).alias("first_seen"), F.when(F.col("id") % 2 == 0, "data lead").otherwise("cook").alias("title"), F.array(F.lit("u"), F.lit("")).alias("urls"))
+    asked = spark.range(400).select(F.col("id").alias("ask"), F.lit("lead").alias("title"), F.array(F.lit("u"), F.lit("")).alias("urls"))
+    found = I.by_posting_url(rows, asked)
+    assert {(r["ask"], r["id"]) for r in found.collect()} == {(i, 6) for i in range(400)}
+    assert max(produced(found)) <= 400
+
+
+def test_first_holders_are_summed_by_parts(spark):
+    rows = spark.createDataFrame([(1, 7, "url", "a", False, DAY), (2, 7, "url", "a", True, DAY), (3, 7, "url", "a", True, ago(2)), (4, 7, "url", "b", None, ago(9)), (5, 7, "url", "b", False, DAY), (6, 8, "url", "a", False, DAY)], "id long, company_id long, kind string, key string, decided boolean, first_seen date")
+    first = J.first_of_keys(rows)
+    assert {(r["company_id"], r["key"], r["id"]) for r in first.collect()} == {(7, "a", 3), (7, "b", 5), (8, "a", 6)}
+    assert "Window" not in first._jdf.queryExecution().optimizedPlan().toString()
