@@ -113,3 +113,17 @@ def test_costly_parts_of_keys_are_named_once(spark):
     assert plan.count("chief executive officer") <= 4
     assert row.select(K.strong_title(F.col("title"))).first()[0] == "vice president of operation data engineer of health"
     assert row.select(K.segment_keys(F.col("org"), F.lit("One segment only"))).first()[0] == []
+
+
+def test_a_gate_judges_a_text_once_and_stems_spare_only_what_cannot_match(spark):
+    row = spark.createDataFrame([("t", "d", "", "")], "title string, text string, snippet string, url string")
+    plan = row.select(T.gate_reason(*[F.col(c) for c in row.columns], ("w",)))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE(lambda") and plan.count("(?i)tap to unmute") <= 2
+    shown = ["FUNCTION x() { jQuery( Window.Location", "TYPEOF a == 1 DOCUMENT.write document.cookie", "quiet text"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(shown)], "id long, t string")
+    assert [r[0] for r in rows.orderBy("id").select(T.is_script_junk(F.col("t"))).collect()] == [True, True, False]
+    label = ["Home", "ABOUT US", "about", "Terms Of Service", "News Center", "skip to MAIN content", "Who we are"]
+    long = spark.createDataFrame([(i, " ".join(label[i : i + 4]) + " prose" * 200) for i in range(4)] + [(9, " ".join(label[:3]) + " prose" * 200)], "id long, t string")
+    assert [r[0] for r in long.orderBy("id").select(T.is_navigation_junk(F.col("t"))).collect()] == [True] * 4 + [False]
+    market = spark.createDataFrame([("LATEST NEWS. Funding Partners.",), ("Grants range from 1. We're funding it.",), ("Full story",)], "t string")
+    assert [r[0] for r in market.select(T.is_marketing_page(F.col("t"))).collect()] == [True, True, False]
