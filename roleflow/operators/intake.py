@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from roleflow.functions import keys as K
 from roleflow.functions import text as T
+from roleflow.functions.naming import let
 from roleflow.operators import identity as I
 from roleflow.operators.joins import without_tombstones
 from roleflow.operators.resolve import fold_places
-from roleflow.session import cut
+from roleflow.session import cut, spread
 
 ROW = ("id", "org", "company_id", "hash", "title", "description", "snippet", "department", "deadline", "status", "status_reason", "score", "first_seen", "last_seen", "places")
 
@@ -39,38 +40,47 @@ def new_id(key: Column) -> Column:
     return F.xxhash64(key)
 
 
-def _keys(org: Column, title: Column, description: Column) -> tuple[Column, ...]:
+def _keys(org: Column, title: Column, strong: Column, description: Column) -> tuple[Column, ...]:
     return (
-        K.normalized_key(org, title).alias("norm"),
+        K.key16(org, strong).alias("norm"),
         K.body_fingerprint(description).alias("desc"),
         F.length(F.coalesce(description, F.lit(""))).alias("body_len"),
-        K.strong_title(title).alias("title"),
-        K.segment_keys(org, title).alias("seg"),
+        strong.alias("title"),
+        K.segment_keys(org, title, strong).alias("seg"),
     )
 
 
 def posting_keys(postings: DataFrame) -> DataFrame:
     """What :func:`roleflow.operators.identity.resolve_batch` needs of a batch."""
-    org, title, body = F.col("org"), F.col("title"), F.col("description")
-    return postings.select("pos", "company_id", K.exact_key(org, title).alias("hash"), *_keys(org, title, body), K.apply_url(F.col("url")).alias("url"), K.requisition_key(F.col("url")).alias("req"))
+    org, title, strong, body = F.col("org"), F.col("title"), F.col("_strong"), F.col("description")
+    titled = postings.withColumn("_strong", K.strong_title(title))
+    return titled.select("pos", "company_id", K.exact_key(org, title).alias("hash"), *_keys(org, title, strong, body), K.apply_url(F.col("url")).alias("url"), K.requisition_key(F.col("url")).alias("req"))
 
 
 def stored_keys(store: DataFrame) -> DataFrame:
     """What it needs of the stored rows; their links are those of their places."""
     links = F.filter(F.transform(F.col("places"), lambda p: K.apply_url(p["url"])), lambda u: u != "")
     requisitions = F.filter(F.transform(F.col("places"), lambda p: K.requisition_key(p["url"])), lambda r: r.isNotNull())
-    keys = _keys(F.col("org"), F.col("title"), F.col("description"))
-    return store.select("id", "company_id", "hash", *keys, F.array_distinct(links).alias("urls"), F.array_distinct(requisitions).alias("reqs"), "status", "score", "first_seen")
+    keys = _keys(F.col("org"), F.col("title"), F.col("_strong"), F.col("description"))
+    return store.withColumn("_strong", K.strong_title(F.col("title"))).select("id", "company_id", "hash", *keys, F.array_distinct(links).alias("urls"), F.array_distinct(requisitions).alias("reqs"), "status", "score", "first_seen")
+
+
+def place_name(place: Column) -> Column:
+    return F.coalesce(place["city"], place["country"], F.lit(""))
 
 
 def add_places(old: Column, new: Column) -> Column:
-    """Places with those of new sightings: a place that is seen again takes its newest link."""
-    none = F.array().cast(PLACES)
-    name = lambda p: F.coalesce(p["city"], p["country"], F.lit(""))
-    # Of several new links of a place the last one stays.
-    fresh = F.filter(new, lambda p, i: ~F.exists(F.slice(new, i + 2, F.size(new)), lambda n: name(n) == name(p)))
-    kept = F.filter(F.coalesce(old, none), lambda p: ~F.exists(fresh, lambda n: (name(n) == name(p)) & n["url"].isNotNull()))
-    return fold_places(F.concat(kept, fresh))
+    """Places with those of new sightings, one for each name: a place that is seen again takes its newest link."""
+    linked = F.transform(F.filter(new, lambda n: n["url"].isNotNull()), place_name)
+    kept = let(linked, lambda names: F.filter(F.coalesce(old, F.array().cast(PLACES)), lambda p: ~F.array_contains(names, place_name(p))))
+    return fold_places(F.concat(kept, new))
+
+
+def last_places(seen: DataFrame, *keys: str) -> DataFrame:
+    """``_seen``: of several sightings of a place under ``keys`` the last one, in the order of the batch."""
+    place = F.struct("url", "city", "country")
+    last = seen.withColumn("_place", place).groupBy(*keys, place_name(F.col("_place")).alias("_name")).agg(F.max("pos").alias("pos"), F.max_by("_place", "pos").alias("p"))
+    return last.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]).alias("_seen"))
 
 
 def take_in(store: DataFrame, postings: DataFrame, stones: DataFrame, today: Column, *, board: bool, words: Sequence[str] = (), stems: Sequence[str] = ()) -> Intake:
@@ -80,6 +90,7 @@ def take_in(store: DataFrame, postings: DataFrame, stones: DataFrame, today: Col
     reason, archived_at)`` of the last days bars its exact or normalised key; on the direct path (``board`` off) one for a listing that merely went away doesn't. Else
     it is ``existing`` where it is a stored row, which it then brings up to date, or ``new``. Postings that resolve to one row give it all their places.
     """
+    store, postings = spread(store, "id"), spread(postings, "pos")
     gate = T.gate_reason(F.col("title"), F.col("description"), F.col("snippet"), F.col("url"), words, stems)
     exact = K.exact_key(F.col("org"), F.col("title"))
     gated = cut(postings.withColumn("skip", gate).withColumn("_hash", exact).withColumn("_norm", K.normalized_key(F.col("org"), F.col("title"))))
@@ -89,19 +100,19 @@ def take_in(store: DataFrame, postings: DataFrame, stones: DataFrame, today: Col
     barred = cut(barred)
     live = cut(passed.join(barred, "pos", "left_anti"))
 
-    resolved = cut(I.resolve_batch(posting_keys(live), stored_keys(store)))
+    resolved = cut(I.resolve_batch(posting_keys(live), cut(stored_keys(store))))
     written = I.merge_batch(store, live, resolved, today, board=board)
 
-    place = F.struct("pos", F.struct(F.col("url"), F.col("city"), F.col("country")).alias("p"))
     seen = resolved.join(live.select("pos", "url", "city", "country", "org", "company_id", "snippet", "department", "deadline", "description"), "pos")
     filled = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     first = lambda c: F.min_by(filled(c), F.when(filled(c).isNotNull(), F.col("pos"))).alias(f"_{c}")
     longest = F.max(F.struct(F.length("description").alias("n"), (-F.col("pos")).alias("p"), F.col("description").alias("d")))["d"].alias("_longest")
-    facts = (F.transform(F.array_sort(F.collect_list(place)), lambda x: x["p"]).alias("_seen"), F.min_by("org", "pos").alias("_org"), F.min_by("company_id", "pos").alias("_company"))
-    of_row = seen.where("match is not null").groupBy(F.col("match").alias("id")).agg(facts[0])
+    facts = (F.min_by("org", "pos").alias("_org"), F.min_by("company_id", "pos").alias("_company"))
+    of_row = last_places(seen.where("match is not null").select("pos", F.col("match").alias("id"), "url", "city", "country"), "id")
     # What a later posting of a new row brings fills it as it would a stored one.
     more = (first("snippet"), first("department"), F.min_by("deadline", F.when(F.col("deadline").isNotNull(), F.col("pos"))).alias("_deadline"), first("description"), longest)
-    of_new = seen.where("match is null").groupBy(F.col("insert_hash").alias("hash")).agg(*facts, *more)
+    new = seen.where("match is null").withColumn("hash", F.col("insert_hash"))
+    of_new = new.groupBy("hash").agg(*facts, *more).join(last_places(new, "hash"), "hash")
 
     old = store.select("id", "org", "company_id", "score", "places")
     updated = written.where("id is not null").join(old, "id").join(of_row, "id").withColumn("places", add_places(F.col("places"), F.col("_seen")))

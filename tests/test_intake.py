@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roleflow.functions import keys as K
+from roleflow.operators.intake import last_places
 from roleflow.operators import intake as I
 from roleflow.operators.stages import Run
 
@@ -155,3 +156,10 @@ def test_of_two_attempts_one_counts(spark, tmp_path):
     assert first.count() == 3 and one.done == ["s"] and two.done == []
     one.clear()
     assert Run(spark, str(tmp_path), "r").stage("s", lambda: spark.range(4)).count() == 4
+
+
+def test_sightings_of_a_place_are_one_before_they_meet_the_stored_ones(spark):
+    """A role that a batch brings many times hands on each place once, with its last link, in the order of those."""
+    seen = spark.range(600).selectExpr("7L AS id", "id AS pos", "concat('https://e.org/', id) AS url", "CASE WHEN id % 3 > 0 THEN concat('C', id % 3) END AS city", "CASE WHEN id % 2 = 0 THEN 'X' END AS country")
+    got = last_places(seen, "id").collect()
+    assert [(r["id"], [p["url"] for p in r["_seen"]]) for r in got] == [(7, [f"https://e.org/{i}" for i in (594, 597, 598, 599)])]
