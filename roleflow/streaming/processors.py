@@ -30,11 +30,15 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.encodingFormat", "avro")
 
 
+def _plain(column: pd.Series) -> list:
+    return [None if pd.isna(x) else x for x in column.tolist()] if column.hasnans else column.tolist()
+
+
 def in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
     """What a micro-batch brings of a key, as tuples in order; nulls are None."""
     found: list[tuple] = []
     for frame in rows:
-        found += frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False, name=None)
+        found += zip(*[_plain(frame[c]) for c in columns])
     return sorted(found, key=lambda r: r[:2])
 
 
@@ -54,31 +58,40 @@ class StatusLog(StatefulProcessor):
         self.last = handle.getValueState("last", ", ".join(["status string", "ms long", *(f"{c} string" for c in self.extra)]))
         self.times = handle.getMapState("times", "status string", "n long")
 
-    def _enter(self, status: str | None) -> int:
+    def _enter(self, status: str | None, counted: dict[tuple, int]) -> int:
+        """How often the key has come to ``status``; ``counted`` spares the state a call for each event, and is stored at the end."""
         # A map's key is never null.
-        name = (("null",) if status is None else (f"= {status}",))
-        n = (self.times.getValue(name)[0] if self.times.containsKey(name) else 0) + 1
-        self.times.updateValue(name, (n,))
-        return n
+        name = ("null",) if status is None else (f"= {status}",)
+        if name not in counted:
+            counted[name] = self.times.getValue(name)[0] if self.times.containsKey(name) else 0
+        counted[name] += 1
+        return counted[name]
+
+    def _store(self, counted: dict[tuple, int]) -> None:
+        for name, n in counted.items():
+            self.times.updateValue(name, (n,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.last.exists()
         last = self.last.get() if known else None
-        out = []
+        out, counted = [], {}
         for ms, id_, status, *extra in in_order(rows, ["ms", "id", "status", *self.extra]):
             if known and last[0] == status:
                 continue
-            out.append((key[0], id_, ms, last[0] if known else None, status, last[1] if known else None, self._enter(status)))
+            out.append((key[0], id_, ms, last[0] if known else None, status, last[1] if known else None, self._enter(status, counted)))
             known, last = True, (status, ms, *extra)
         if out:
             self.last.update(last)
+            self._store(counted)
             yield pd.DataFrame(out, columns=["key", "id", "ms", "previous", "status", "since", "times"]).astype({"since": "Int64"})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
         value = lambda c: None if c not in initialState or pd.isna(row[c]) else row[c]
         self.last.update((value("status"), None if value("ms") is None else int(value("ms")), *(value(c) for c in self.extra)))
-        self._enter(value("status"))
+        counted: dict[tuple, int] = {}
+        self._enter(value("status"), counted)
+        self._store(counted)
 
     def close(self) -> None:
         pass

@@ -6,6 +6,7 @@ import random
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,30 @@ def test_keyed_state_leaves_other_streams_startable(spark, tmp_path):
         out = []
         query = frame.writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         assert query.awaitTermination(60) and len(out) == 1
+
+
+def test_the_status_log_asks_the_state_once_a_status():
+    """A key of many events made three calls to the state for each change before."""
+
+    class Kept:
+        def __init__(self):
+            self.values, self.calls = {}, 0
+
+        def call(self):
+            self.calls += 1
+            return self.values
+
+        exists = lambda self: None in self.call()
+        get = lambda self: self.call()[None]
+        update = lambda self, v: self.call().update({None: v})
+        containsKey = lambda self, k: k in self.call()
+        getValue = lambda self, k: self.call()[k]
+        updateValue = lambda self, k, v: self.call().update({k: v})
+
+    log = P.StatusLog()
+    log.last, log.times = Kept(), Kept()
+    for start in (0, 200):
+        frame = pd.DataFrame({"ms": range(start, start + 200), "id": range(start, start + 200), "status": ["a", None] * 100})
+        (got,) = log.handleInputRows((1,), iter([frame]), None)
+        assert got["times"].tolist() == [start // 2 + i // 2 + 1 for i in range(200)]
+    assert log.times.calls <= 12
