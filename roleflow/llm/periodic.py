@@ -20,7 +20,7 @@ TOGETHER = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """A run has at least ``words`` words and ``times`` periods."""
+    """A run has at least ``words`` words and ``times`` periods, two or more."""
 
     words: int = 6
     times: int = 4
@@ -115,7 +115,8 @@ def crossing(words: np.ndarray, grammar: Grammar, settings: Settings) -> np.ndar
     """Columns symbol, start, end, period: the runs across the boundary of each nonterminal, as places within it.
 
     A run holds the word after the boundary and the one a period before it, or starts less than a period before it and then holds three
-    periods behind it: words that must agree then leave few periods, of which equal stretches to both sides decide.
+    periods behind it (one less than ``times``, where that is fewer): words that must agree then leave few periods, of which equal stretches
+    to both sides decide. A run of three periods or more that holds the first two words also holds one a period further to either side.
     """
     running = np.zeros(len(words) + 1, U64)
     step = powers(max(len(words), 1))[0]
@@ -138,9 +139,10 @@ def crossing(words: np.ndarray, grammar: Grammar, settings: Settings) -> np.ndar
         for k in range(2, far + 1):
             ahead = ahead[same(bound[ahead], bound[ahead] + k * q[ahead])]
         behind = np.flatnonzero((bound - q >= low) & same(bound, bound - q))
-        more = (bound[behind] + q[behind] < high[behind]) & same(bound[behind], bound[behind] + q[behind])
-        more |= (bound[behind] - 2 * q[behind] >= low[behind]) & same(bound[behind], bound[behind] - 2 * q[behind])
-        behind = behind[more]
+        if settings.times > 2:
+            more = (bound[behind] + q[behind] < high[behind]) & same(bound[behind], bound[behind] + q[behind])
+            more |= (bound[behind] - 2 * q[behind] >= low[behind]) & same(bound[behind], bound[behind] - 2 * q[behind])
+            behind = behind[more]
         pick = np.r_[ahead, behind]
         at = np.r_[bound[ahead], bound[behind] - q[behind]]
         q, low, high, x = q[pick], low[pick], high[pick], x[pick]

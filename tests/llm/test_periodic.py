@@ -78,6 +78,14 @@ def test_other_limits_and_texts_together():
         assert got == [brute(x, settings.words, settings.times) for x in many]
 
 
+def test_runs_of_exactly_two_periods():
+    """Such a run may hold no third word a period apart on either side of a boundary."""
+    rng = random.Random(5)
+    for words, text in ((2, "aa"), (4, "abab"), (2, "bacdacde"), *((rng.choice((2, 4, 7)), "".join(rng.choice("abc") for _ in range(rng.randint(2, 40)))) for _ in range(60))):
+        _, runs = periodic.runs_of(np.array(["abcde".index(w) for w in text], np.int64), np.array([0, len(text)]), periodic.Settings(words=words, times=2))
+        assert sorted((int(s), int(e - s), int(q)) for s, e, q in runs) == brute(list(text), words, 2), text
+
+
 def test_the_grammar_derives_the_text():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 3, 500)
