@@ -13,12 +13,11 @@ from roleflow.session import cut
 KEY = ("run_id", "source_key", "external_id")
 
 
-def observed(spark: SparkSession, folder: str, schema: str, pattern: str | None = None) -> DataFrame:
-    """Files of events as they land, with ``ts`` as an instant that a watermark accepts."""
-    reader = spark.readStream.format("parquet").schema(schema)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+def observed(spark: SparkSession, folder: str, schema: str, name: str | None = None) -> DataFrame:
+    """Files of events as they land, with ``ts`` as an instant that a watermark accepts; with ``name`` those of one table in ``folder``, a file or a folder of files."""
+    # A stream takes a single file only by a pattern.
+    path = f"{folder}/{{{name}}}" if name else folder
+    return spark.readStream.format("parquet").schema(schema).load(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _plain_state(events: DataFrame) -> DataFrame:

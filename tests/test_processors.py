@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roleflow.operators import rollups as G
+from roleflow.plans import streams
 from roleflow.streaming import events as E
 from roleflow.streaming import processors as P
 
@@ -210,6 +211,15 @@ def test_keyed_state_leaves_other_streams_startable(spark, tmp_path):
         assert query.awaitTermination(60) and len(out) == 1
 
 
+def test_a_streamed_table_may_be_a_folder_of_files(spark, tmp_path):
+    """The stream found none of them before, and the result was empty."""
+    rows = [(i, dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i), i % 2, "ab"[i // 6 % 2], 1.0) for i in range(24)]
+    frame = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    frame.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = streams.status_stream(spark, str(tmp_path)).collect()
+    assert sorted((r["key"], r["id"], r["status"], r["times"]) for r in got) == [(k, i + k, "ab"[i // 6 % 2], i // 12 + 1) for k in (0, 1) for i in range(0, 24, 6)]
+
+
 def test_the_status_log_asks_the_state_once_a_status():
     """A key of many events made three calls to the state for each change before."""
 
